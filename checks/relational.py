@@ -67,13 +67,13 @@ def dedupe_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT source_no, page_id AS ordinal, url FROM (
-  SELECT 0 AS source_no, page_id, url FROM pages WHERE page_id % 2 = 1
+  SELECT 0 AS source_no, page_id, url FROM pages WHERE url LIKE '%?%'
   UNION ALL SELECT 1, page_id, url || '?again' FROM pages)
 """)
 def union_url_inputs(spark: SparkSession, sf: str) -> DataFrame:
     pages = R.table(spark, sf, "pages").select(F.col("page_id").alias("ordinal"), "url")
     again = pages.withColumn("url", F.concat("url", F.lit("?again")))
-    return union_inputs(pages.filter("ordinal % 2 = 1"), again)
+    return union_inputs(pages.filter("url LIKE '%?%'"), again)
 
 
 _EVENT_URL = """CASE event_type
@@ -115,11 +115,12 @@ def dedupe_catalog(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 SELECT k AS review_id_hash, min(doc_id) AS doc_id
 FROM (SELECT doc_id, {_REVIEW_SQL} AS k FROM documents)
-WHERE k NOT IN (SELECT {_REVIEW_SQL} FROM documents WHERE doc_id % 3 = 0) GROUP BY 1
+WHERE k NOT IN (SELECT {_REVIEW_SQL} FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) GROUP BY 1
 """)
 def incremental_reviews(spark: SparkSession, sf: str) -> DataFrame:
     reviews = _doc_reviews(spark, sf)
-    seen = D.with_review_key(reviews.filter("doc_id % 3 = 0")).select("review_id_hash").distinct()
+    labelled = reviews.join(R.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    seen = D.with_review_key(labelled).select("review_id_hash").distinct()
     fresh = D.only_new(D.dedupe_reviews(reviews, "doc_id"), seen, "review_id_hash")
     return fresh.select("review_id_hash", "doc_id")
 
@@ -312,7 +313,7 @@ WITH RECURSIVE edges AS (
   SELECT c_custkey AS src, unnest([2 * c_custkey % n, (3 * c_custkey + 1) % n]) AS dst
   FROM customer, (SELECT count(*) AS n FROM customer) WHERE c_custkey % 11 <> 5),
 reached AS (
-  SELECT c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey < 40
+  SELECT c_custkey AS node, 0 AS depth FROM customer WHERE c_nationkey = 7
     AND NOT contains('itm' || c_custkey, 'itm13')
   UNION
   SELECT dst, depth + 1 FROM reached JOIN edges ON src = node
@@ -322,7 +323,7 @@ SELECT 'https://www.shop.example/mobile-phone/p/itm' || node AS product_url,
 FROM reached GROUP BY node
 """)
 def link_bfs(spark: SparkSession, sf: str) -> DataFrame:
-    seeds = R.table(spark, sf, "customer").filter("c_custkey < 40").select(
+    seeds = R.table(spark, sf, "customer").filter("c_nationkey = 7").select(
         F.col("c_custkey").alias("ordinal"), R.product_url(F.col("c_custkey")).alias("url")
     )
     found = G.seed_candidates(

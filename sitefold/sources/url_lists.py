@@ -2,39 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefold.functions.text import extract_urls, normalize_space, strip
+from sitefold.session import ordered_ids
 
-# What ends a line in a text file, also outside ASCII.
-_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-
-
-def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")
-    )
-
-
-def _listed(files: DataFrame, urls: Column) -> DataFrame:
-    return files.select("file", F.posexplode(urls).alias("ordinal", "url")).select(
-        "file", F.col("ordinal").cast("long").alias("ordinal"), "url"
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines with their place; large files are read in splits."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        # Rises within a split, which is all the order needs.
+        F.monotonically_increasing_id().alias("_line"),
+        F.col("value").alias("line"),
     )
 
 
-def text_urls(text: Column) -> Column:
-    """URLs of a text: all that match, or without any the lines that are no comment."""
-    lines = F.filter(
-        F.transform(F.split(text, _LINE_ENDS), strip),
-        lambda line: (line != "") & ~line.startswith("#"),
-    )
-    found = extract_urls(text)
-    return F.when(F.size(found) > 0, found).otherwise(lines)
+def _numbered(rows: DataFrame, *place: str) -> DataFrame:
+    return ordered_ids(rows, "file", "_start", "_line", *place).select("file", "ordinal", "url")
 
 
 def read_url_text(spark: SparkSession, path: str) -> DataFrame:
-    return _listed(_whole_files(spark, path), text_urls(F.col("text")))
+    """All URLs of each file; from files without any, the lines that are no comment."""
+    lines = _lines(spark, path).withColumn("_urls", extract_urls(F.col("line")))
+    with_urls = lines.groupBy("file").agg(F.max(F.size("_urls") > 0).alias("_any"))
+    line = strip(F.col("line"))
+    plain = F.when((line != "") & ~line.startswith("#"), F.array(line))
+    rows = lines.join(with_urls, "file").select(
+        "file", "_start", "_line",
+        F.posexplode(F.when(F.col("_any"), F.col("_urls")).otherwise(plain)).alias("_no", "url"),
+    )
+    return _numbered(rows, "_no")
 
 
 def read_url_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -56,14 +55,19 @@ def read_url_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_url_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON array per file; anything but an array is an error."""
-    items = F.from_json(F.col("text"), "array<string>")
-    is_list = strip(F.col("text")).startswith("[") & items.isNotNull()
-    blank = strip(F.col("text")) == ""
-    checked = F.when(is_list, items).when(
-        ~blank, F.raise_error(F.lit("JSON input must be an array of URLs")).cast("array<string>")
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")
     )
-    rows = _listed(_whole_files(spark, path), checked)
-    return rows.withColumn("url", strip(F.coalesce(F.col("url"), F.lit("None")))).filter("url <> ''")
+    text = strip(F.col("text"))
+    items = F.from_json(F.col("text"), "array<string>")
+    bad = F.raise_error(F.lit("JSON input must be an array of URLs")).cast("array<string>")
+    checked = F.when(text.startswith("[") & items.isNotNull(), items).when(text != "", bad)
+    rows = files.select("file", F.posexplode(checked).alias("ordinal", "url"))
+    return rows.select(
+        "file",
+        F.col("ordinal").cast("long").alias("ordinal"),
+        strip(F.coalesce("url", F.lit("None"))).alias("url"),
+    ).filter("url <> ''")
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
@@ -78,6 +82,5 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     """One URL per line; blank and '#' lines are skipped, a missing file is an error."""
-    lines = F.transform(F.split(F.col("text"), _LINE_ENDS), normalize_space)
-    kept = F.filter(lines, lambda line: (line != "") & ~line.startswith("#"))
-    return _listed(_whole_files(spark, path), kept)
+    lines = _lines(spark, path).withColumn("url", normalize_space(F.col("line")))
+    return _numbered(lines.filter("url <> '' AND NOT startswith(url, '#')"))
