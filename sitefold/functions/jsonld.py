@@ -1,4 +1,6 @@
-"""JSON-LD expressions over VARIANT: documents, members, Python-style text, walk.
+"""JSON-LD over VARIANT as SQL expressions: documents, members, text forms, walk.
+
+Functions take and return SQL text, as in ``markup``.
 
 Spark's VARIANT sorts object keys, so keys get their place in the source text as
 a prefix before parsing. Members then come in source order, and a key written
@@ -7,10 +9,7 @@ twice keeps both members, of which the last one counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from sitefold.functions.text import let, normalize_space, to_int
+from sitefold.functions.text import literal, normalize_space_sql, to_int_sql
 
 # Fixed value: the only script type that holds JSON-LD.
 JSONLD_TYPE = "application/ld+json"
@@ -19,219 +18,176 @@ _PLACE_DIGITS = 9
 _STRING = r'"(?:[^"\\]|\\[\s\S])*+"'
 # A key with its colon, another string, text without quotes, a lone quote.
 _JSON_PARTS = _STRING + r"\s*+:|" + _STRING + r'|[^"]++|"'
-_VARIANTS = "array<variant>"
-_OBJECT = "map<string,variant>"
-_ENTRIES = "array<struct<k:string,v:variant>>"
-
-
-def _number_keys(raw: Column) -> Column:
-    parts = F.regexp_extract_all(raw, F.lit(_JSON_PARTS), F.lit(0))
-    numbered = F.transform(
-        parts,
-        lambda p, i: F.when(
-            p.startswith('"') & p.endswith(":"),
-            F.concat(
-                F.lit('"'),
-                F.lpad(i.cast("string"), _PLACE_DIGITS, "0"),
-                F.lit(" "),
-                F.substr(p, F.lit(2)),
-            ),
-        ).otherwise(p),
-    )
-    return F.array_join(numbered, "")
+_PLACE_PREFIX = r'(?<=[{,])"\d{%d} ' % _PLACE_DIGITS
+_VARIANTS = "ARRAY<VARIANT>"
+_OBJECT = "MAP<STRING, VARIANT>"
+_ENTRIES = "ARRAY<STRUCT<k: STRING, v: VARIANT>>"
+_NODES = "ARRAY<STRUCT<path: ARRAY<INT>, node: VARIANT>>"
 
 
-def parse_items(raw: Column) -> Column:
+def parse_items(raw: str) -> str:
     """ARRAY<VARIANT> with the value of a JSON text; other than one item if it is bad."""
-    wrapped = F.concat(F.lit("["), _number_keys(raw), F.lit("]"))
-    return F.try_parse_json(wrapped).try_cast(_VARIANTS)
-
-
-def parse(raw: Column) -> Column:
-    """VARIANT of a whole JSON text, null when it is not exactly one JSON value."""
-    return let(parse_items(raw), lambda xs: F.when(F.size(xs) == 1, F.get(xs, F.lit(0))))
+    numbered = (
+        f"array_join(transform(regexp_extract_all({raw}, {literal(_JSON_PARTS)}, 0), (p, i) ->"
+        " if(startswith(p, '\"') AND endswith(p, ':'),"
+        f" concat('\"', lpad(CAST(i AS STRING), {_PLACE_DIGITS}, '0'), ' ', substr(p, 2)), p)), '')"
+    )
+    return f"try_cast(try_parse_json(concat('[', {numbered}, ']')) AS {_VARIANTS})"
 
 
-def type_of(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def _kind(value: str) -> str:
+    return f"schema_of_variant({value})"
 
 
-def is_object(value: Column) -> Column:
-    return type_of(value).startswith("OBJECT")
+def is_object(value: str) -> str:
+    return f"startswith({_kind(value)}, 'OBJECT')"
 
 
-def is_array(value: Column) -> Column:
-    return type_of(value).startswith("ARRAY")
+def is_array(value: str) -> str:
+    return f"startswith({_kind(value)}, 'ARRAY')"
 
 
-def items(value: Column) -> Column:
+def items(value: str) -> str:
     """Items of a JSON array; no items for any other value."""
-    return F.when(is_array(value), value.try_cast(_VARIANTS)).otherwise(
-        F.array().cast(_VARIANTS)
-    )
+    return f"if({is_array(value)}, try_cast({value} AS {_VARIANTS}), CAST(array() AS {_VARIANTS}))"
 
 
-def members(value: Column) -> Column:
+def members(value: str) -> str:
     """ARRAY<STRUCT<k, v>> of an object in source order; empty for any other value."""
-    entries = F.transform(
-        F.map_entries(value.try_cast(_OBJECT)),
-        lambda e: F.struct(
-            F.substr(e["key"], F.lit(_PLACE_DIGITS + 2)).alias("k"), e["value"].alias("v")
-        ),
+    entries = (
+        f"transform(map_entries(try_cast({value} AS {_OBJECT})), e -> named_struct("
+        f"'k', substr(e.key, {_PLACE_DIGITS + 2}), 'v', e.value))"
     )
-    return F.when(is_object(value), entries).otherwise(F.array().cast(_ENTRIES))
+    return f"if({is_object(value)}, {entries}, CAST(array() AS {_ENTRIES}))"
 
 
-def member(entries: Column, key: str) -> Column:
+def member(entries: str, key: str) -> str:
     """VARIANT under ``key``, of equal keys the last; SQL null when it is missing."""
-    return F.try_element_at(F.filter(entries, lambda e: e["k"] == key), F.lit(-1))["v"]
+    return f"try_element_at(filter({entries}, e -> e.k = {literal(key)}), -1).v"
 
 
-def _float_text(text: Column) -> Column:
+def _float_text(text: str) -> str:
     """Shortest decimal text of a float: 14999.0, 0.0001, 1e-05, 1e+16."""
-    size = F.abs(text.try_cast("double"))
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), F.lit(r"\.0\z"), F.lit(""))
-    exponent = F.substring_index(text, "E", -1).try_cast("int")
-    plain = F.regexp_replace(
-        text.try_cast("decimal(38,20)").cast("string"), F.lit(r"(?<!\.)0+\z"), F.lit("")
+    size = f"abs(try_cast({text} AS DOUBLE))"
+    exponent = f"try_cast(substring_index({text}, 'E', -1) AS INT)"
+    plain = (
+        f"regexp_replace(CAST(try_cast({text} AS DECIMAL(38, 20)) AS STRING),"
+        f" {literal(r'(?<!\.)0+\z')}, '')"
     )
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")),
-        F.abs(exponent).cast("string"),
+    scientific = (
+        f"concat(regexp_replace(substring_index({text}, 'E', 1), {literal(r'\.0\z')}, ''),"
+        f" if({exponent} < 0, 'e-', 'e+'), lpad(CAST(abs({exponent}) AS STRING),"
+        f" greatest(2, length(CAST(abs({exponent}) AS STRING))), '0'))"
     )
     return (
-        F.when(
-            text.contains("E"),
-            F.when((size >= 1e-4) & (size < 1e16), plain).otherwise(scientific),
-        )
-        .when(text.contains("."), text)
-        .otherwise(F.concat(text, F.lit(".0")))
+        f"CASE WHEN contains({text}, 'E') THEN"
+        f" if({size} >= 1e-4 AND {size} < 1e16, {plain}, {scientific})"
+        f" WHEN contains({text}, '.') THEN {text} ELSE concat({text}, '.0') END"
     )
 
 
-def text_of(value: Column) -> Column:
-    """Text form of a JSON value: missing '', null 'None', True/False, 14999.0."""
-    text, kind = value.try_cast("string"), type_of(value)
+def text_of(value: str) -> str:
+    """Text form of a JSON value: missing '', null 'None', True/False, 14999.0.
+
+    Nested values print as JSON, keys without their place prefix. ``value`` is
+    written several times, so it should be a plain name.
+    """
+    text, kind = f"try_cast({value} AS STRING)", _kind(value)
+    whole = literal(r"^-?\d{20,}\z")
     return (
-        F.when(value.isNull(), F.lit(""))
-        .when(kind == "STRING", text)
-        .when(kind == "VOID", F.lit("None"))
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .when(
-            (kind == "DOUBLE") | (kind.startswith("DECIMAL") & ~text.rlike(r"^-?\d{20,}\z")),
-            _float_text(text),
-        )
-        .when(
-            kind.rlike("^(OBJECT|ARRAY)"),
-            # Nested values print as JSON, keys without their place prefix.
-            F.regexp_replace(text, F.lit(r'(?<=[{,])"\d{%d} ' % _PLACE_DIGITS), F.lit('"')),
-        )
-        .otherwise(text)
+        f"CASE WHEN {value} IS NULL THEN '' WHEN {kind} = 'STRING' THEN {text}"
+        f" WHEN {kind} = 'VOID' THEN 'None' WHEN {kind} = 'BOOLEAN' THEN initcap({text})"
+        f" WHEN {kind} = 'DOUBLE' OR (startswith({kind}, 'DECIMAL') AND NOT {text} rlike {whole})"
+        f" THEN {_float_text(text)}"
+        f" WHEN {is_object(value)} OR {is_array(value)}"
+        f" THEN regexp_replace({text}, {literal(_PLACE_PREFIX)}, '\"') ELSE {text} END"
     )
 
 
-def type_name(value: Column) -> Column:
-    return F.when(type_of(value) == "STRING", value.try_cast("string"))
-
-
-def has_type(entries: Column, name: str) -> Column:
-    """@type is ``name`` or a list holding it."""
-    value = member(entries, "@type")
-    hit = (type_name(value) == name) | F.exists(items(value), lambda x: type_name(x) == name)
-    return F.coalesce(hit, F.lit(False))
+def _type_name(value: str) -> str:
+    return f"if({_kind(value)} = 'STRING', try_cast({value} AS STRING), NULL)"
 
 
-def is_type(entries: Column, name: str) -> Column:
+def is_type(entries: str, name: str) -> str:
     """@type is exactly the string ``name``."""
-    return F.coalesce(type_name(member(entries, "@type")) == name, F.lit(False))
+    return f"coalesce({_type_name(member(entries, '@type'))} = {literal(name)}, false)"
 
 
-NODES = "array<struct<path:array<int>,node:variant>>"
+def has_type(entries: str, name: str) -> str:
+    """@type is ``name`` or a list holding it."""
+    listed = f"exists({items(member(entries, '@type'))}, t -> {_type_name('t')} = {literal(name)})"
+    return f"({is_type(entries, name)} OR coalesce({listed}, false))"
 
 
-def nesting(raw: Column) -> Column:
+def nesting(raw: str) -> str:
     """Depth of the deepest bracket of a JSON text."""
-    brackets = F.regexp_extract_all(
-        F.regexp_replace(raw, F.lit(_STRING), F.lit("")), F.lit(r"[\[\]{}]"), F.lit(0)
+    brackets = (
+        f"regexp_extract_all(regexp_replace({raw}, {literal(_STRING)}, ''),"
+        f" {literal(r'[\[\]{}]')}, 0)"
+    )
+    now = "s.now + if(b IN ('{', '['), 1, -1)"
+    return (
+        f"aggregate({brackets}, named_struct('now', 0, 'top', 0), (s, b) -> named_struct("
+        f"'now', {now}, 'top', greatest(s.top, {now})), s -> s.top)"
     )
-
-    def step(s: Column, b: Column) -> Column:
-        now = s["now"] + F.when(b.isin("{", "["), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(s["top"], now).alias("top"))
-
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-    return F.aggregate(brackets, start, step, lambda s: s["top"])
 
 
-def all_nodes(documents: Column, depth: Column) -> Column:
+def all_nodes(documents: str, depth: str) -> str:
     """All objects and arrays in the documents: ARRAY<STRUCT<path, node>>.
 
     ``path`` sorts in document order. Works level by level down to ``depth``, the
     nesting the texts really have, so nothing is cut off.
     """
-
-    def numbered(values: Column, path: Column) -> Column:
-        return F.transform(
-            values,
-            lambda v, i: F.struct(F.concat(path, F.array(i)).alias("path"), v.alias("node")),
-        )
-
-    def children(x: Column) -> Column:
-        values = F.coalesce(
-            F.map_values(x["node"].try_cast(_OBJECT)), x["node"].try_cast(_VARIANTS)
-        )
-        return numbered(values, x["path"])
-
-    def step(s: Column, _: Column) -> Column:
-        below = F.filter(
-            F.flatten(F.transform(s["open"], children)),
-            lambda c: type_of(c["node"]).rlike("^(OBJECT|ARRAY)"),
-        )
-        return F.struct(
-            below.cast(NODES).alias("open"), F.concat(s["found"], s["open"]).alias("found")
-        )
-
-    roots = numbered(documents, F.array().cast("array<int>")).cast(NODES)
-    return F.aggregate(
-        F.sequence(F.lit(1), F.greatest(depth, F.lit(1))),
-        F.struct(roots.alias("open"), F.array().cast(NODES).alias("found")),
-        step,
-        lambda s: s["found"],
+    roots = f"transform({documents}, (d, i) -> named_struct('path', array(i), 'node', d))"
+    values = (
+        f"coalesce(map_values(try_cast(x.node AS {_OBJECT})), try_cast(x.node AS {_VARIANTS}))"
+    )
+    children = (
+        f"transform(s.open, x -> transform({values}, (v, i) -> named_struct("
+        "'path', concat(x.path, array(i)), 'node', v)))"
+    )
+    nested = f"filter(flatten({children}), c -> {is_object('c.node')} OR {is_array('c.node')})"
+    return (
+        f"aggregate(sequence(1, greatest({depth}, 1)),"
+        f" named_struct('open', CAST({roots} AS {_NODES}), 'found', CAST(array() AS {_NODES})),"
+        f" (s, level) -> named_struct('open', CAST({nested} AS {_NODES}),"
+        " 'found', concat(s.found, s.open)), s -> s.found)"
     )
 
 
-def review_parts(n: Column) -> Column:
-    """Values of a Review node that its columns come from."""
-    es = n["es"]
+def review_parts(n: str) -> str:
+    """STRUCT of the values of a Review node (``path``, ``es``) its columns come from."""
+    es = f"{n}.es"
     author = member(es, "author")
-    return F.struct(
-        n["path"].alias("path"),
-        member(members(member(es, "reviewRating")), "ratingValue").alias("rating"),
-        member(es, "name").alias("title"),
-        member(es, "reviewBody").alias("review_text"),
-        author.alias("author"),
-        member(members(author), "name").alias("author_name"),
-        member(es, "datePublished").alias("review_date"),
-        member(es, "sku").alias("variant"),
-        member(members(member(es, "interactionStatistic")), "userInteractionCount").alias(
-            "helpful_count"
+    fields = {
+        "path": f"{n}.path",
+        "rating": member(members(member(es, "reviewRating")), "ratingValue"),
+        "title": member(es, "name"),
+        "review_text": member(es, "reviewBody"),
+        "author": author,
+        "author_name": member(members(author), "name"),
+        "review_date": member(es, "datePublished"),
+        "variant": member(es, "sku"),
+        "helpful_count": member(
+            members(member(es, "interactionStatistic")), "userInteractionCount"
         ),
-    )
+    }
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
-def review_fields(p: Column) -> list[Column]:
+def review_fields(p: str) -> dict[str, str]:
     """The seven review columns from ``review_parts``."""
-    reviewer = F.when(is_object(p["author"]), text_of(p["author_name"])).otherwise(
-        text_of(p["author"])
-    )
-    return [
-        to_int(text_of(p["rating"])).alias("rating"),
-        normalize_space(text_of(p["title"])).alias("title"),
-        normalize_space(text_of(p["review_text"])).alias("review_text"),
-        normalize_space(reviewer).alias("reviewer"),
-        normalize_space(text_of(p["review_date"])).alias("review_date"),
-        normalize_space(text_of(p["variant"])).alias("variant"),
-        to_int(text_of(p["helpful_count"])).alias("helpful_count"),
-    ]
+
+    def text(name: str) -> str:
+        return normalize_space_sql(text_of(f"{p}.{name}"))
+
+    reviewer = f"if({is_object(f'{p}.author')}, {text_of(f'{p}.author_name')}, {text_of(f'{p}.author')})"
+    return {
+        "rating": to_int_sql(text_of(f"{p}.rating")),
+        "title": text("title"),
+        "review_text": text("review_text"),
+        "reviewer": normalize_space_sql(reviewer),
+        "review_date": text("review_date"),
+        "variant": text("variant"),
+        "helpful_count": to_int_sql(text_of(f"{p}.helpful_count")),
+    }

@@ -1,4 +1,7 @@
-"""HTML expressions: one page's text to tokens, an element tree, and block texts.
+"""HTML as SQL expressions: tokens, attributes, an element tree, and visible text.
+
+Functions take and return SQL text, since most of this runs inside array lambdas
+(``transform(tokens, t -> ...)``) and one SQL text is one call to the engine.
 
 A page is one row, so all of this is row-local: tokens by one regular expression,
 the tree by folding over the tokens with a stack of open tags, no shuffle.
@@ -9,10 +12,7 @@ nothing, and what is still open at the end of the page ends there.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from sitefold.functions.text import normalize_space
+from sitefold.functions.text import literal, literals, normalize_space_sql
 
 # Elements that never have content.
 VOID_TAGS = (
@@ -26,7 +26,7 @@ RAW_TAGS = ("script", "style")
 
 # Entities decoded in text and attributes besides numeric ones.
 ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
     ("&amp;", "&"),
 )
 
@@ -41,214 +41,198 @@ _OTHER = r"<[!?/][^>]*+>"
 _TEXT = r"(?:[^<]|<(?![a-z/!?]))++"
 _TOKEN = "(?i)" + "|".join((_COMMENT, _SCRIPT, _STYLE, _OPEN, _CLOSE, _OTHER, _TEXT, "<"))
 _SCRIPT_ONLY = "(?i)" + "|".join((_COMMENT, _SCRIPT, _STYLE))
-
 _START_TAGS = "(?i)" + "|".join((_COMMENT, _SCRIPT, _STYLE, _OPEN))
 
 _VALUE = r"""\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
 _NAME = r"""([^\s/=>"'][^\s/=>]*+)"""
 _ATTRIBUTE = _NAME + "(?:" + _VALUE + ")?+"
+_QUOTED = r"""^"([\s\S]*)"\z|^'([\s\S]*)'\z"""
+_QUOTED_VALUE = r"""=\s*(?:"[^"]*"|'[^']*')"""
+_OPEN_VALUE_AT_END = r"""=\s*[^\s"'>][^\s>]*/>\z"""
 
 # Tokens folded per inner step; keeps the growing result arrays short.
 _FOLD_CHUNK = 256
 
 
-def unescape(text: Column) -> Column:
-    """Decode numeric entities and the common named ones; '&amp;' last."""
-    parts = F.regexp_extract_all(
-        text, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?|&|[^&]++"), F.lit(0)
+def unescape(text: str) -> str:
+    """Decode numeric entities and the common named ones; '&amp;' last.
+
+    ``text`` is written several times, so it should be a plain name.
+    """
+    number = (
+        "try_cast(if(p rlike '(?i)^&#x', conv(regexp_extract(p, '(?i)^&#x([0-9a-f]+)', 1), 16, 10),"
+        " regexp_extract(p, '([0-9]+)', 1)) AS INT)"
+    )
+    point = (
+        f"if({number} BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343,"
+        f" decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32'), '\\uFFFD')"
     )
-    numbered = F.array_join(
-        F.transform(parts, lambda p: F.when(p.startswith("&#"), _code_point(p)).otherwise(p)), ""
+    parts = literal(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?|&|[^&]++")
+    out = (
+        f"if(contains({text}, '&#'), array_join(transform(regexp_extract_all({text}, {parts}, 0),"
+        f" p -> if(startswith(p, '&#'), {point}, p)), ''), {text})"
     )
-    out = F.when(text.contains("&#"), numbered).otherwise(text)
     for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(text.contains("&"), out).otherwise(text)
+        out = f"replace({out}, '{name}', {literal(char)})"
+    return f"if(contains({text}, '&'), {out}, {text})"
 
 
-def _code_point(entity: Column) -> Column:
-    hexa = F.regexp_extract(entity, r"(?i)^&#x([0-9a-f]+)", 1)
-    number = F.when(hexa != "", F.conv(hexa, 16, 10)).otherwise(
-        F.regexp_extract(entity, r"^&#(\d+)", 1)
-    ).try_cast("int")
-    utf32 = F.unhex(F.lpad(F.hex(number), 8, "0"))
-    fits = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    return F.when(fits, F.decode(utf32, "UTF-32")).otherwise(F.lit("�"))
+def _all_matches(text: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({text}, {literal(pattern)}, {group})"
 
 
-def tokens(html: Column) -> Column:
+def tokens(html: str) -> str:
     """ARRAY<STRING>: comments, whole scripts and styles, tags and text runs in order."""
-    return F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
+    return _all_matches(html, _TOKEN)
 
 
-def scripts(html: Column) -> Column:
+def scripts(html: str) -> str:
     """ARRAY<STRING> of whole script elements; those inside comments do not count."""
-    found = F.regexp_extract_all(html, F.lit(_SCRIPT_ONLY), F.lit(0))
-    return F.filter(found, lambda t: t.rlike("(?i)^<script"))
+    return f"filter({_all_matches(html, _SCRIPT_ONLY)}, t -> t rlike '(?i)^<script')"
 
 
-def start_tags(html: Column) -> Column:
+def start_tags(html: str) -> str:
     """ARRAY<STRING> of the start tags of a page; scripts and comments do not count."""
-    found = F.regexp_extract_all(html, F.lit(_START_TAGS), F.lit(0))
-    return F.filter(found, lambda t: t.rlike(r"(?i)^<(?!(?:script|style)[\s/>]|!)"))
+    other = literal(r"(?i)^<(?!(?:script|style)[\s/>]|!)")
+    return f"filter({_all_matches(html, _START_TAGS)}, t -> t rlike {other})"
 
 
-def script_body(script: Column) -> Column:
-    body = F.regexp_replace(script, F.lit("(?i)^" + _RAW), F.lit(""))
-    return F.regexp_replace(body, F.lit(r"(?i)</script\s*>\z"), F.lit(""))
+def script_body(script: str) -> str:
+    body = f"regexp_replace({script}, {literal('(?i)^' + _RAW)}, '')"
+    return f"regexp_replace({body}, {literal(r'(?i)</script\s*>\z')}, '')"
 
 
-def open_tag(element: Column) -> Column:
+def open_tag(element: str) -> str:
     """Start tag of a whole script or style element."""
-    return F.regexp_extract(element, "(?i)^" + _RAW, 0)
+    return f"regexp_extract({element}, {literal('(?i)^' + _RAW)}, 0)"
 
 
-def tag_name(token: Column) -> Column:
-    return F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1))
+def tag_name(token: str) -> str:
+    return f"lower(regexp_extract({token}, {literal(r'^</?([a-zA-Z][^\s/>]*)')}, 1))"
 
 
-def _unquote(value: Column) -> Column:
-    return F.regexp_replace(
-        value, F.lit(r"""^"([\s\S]*)"\z|^'([\s\S]*)'\z"""), F.lit("$1$2")
-    )
+def _unquote(value: str) -> str:
+    return f"regexp_replace({value}, {literal(_QUOTED)}, '$1$2')"
 
 
-def attributes(tag: Column) -> Column:
+def attributes(tag: str) -> str:
     """ARRAY<STRUCT<k, v>> of a start tag; names lower case, values decoded."""
-    body = F.regexp_replace(tag, F.lit(r"^<[a-zA-Z][^\s/>]*|>\z"), F.lit(""))
-    names = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(1))
-    values = F.transform(
-        F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(2)), lambda v: _unquote(v)
-    )
-    return F.arrays_zip(
-        F.transform(names, lambda k: F.lower(k)).alias("k"),
-        F.transform(values, unescape).alias("v"),
-    )
+    body = f"regexp_replace({tag}, {literal(r'^<[a-zA-Z][^\s/>]*|>\z')}, '')"
+    names = f"transform({_all_matches(body, _ATTRIBUTE, 1)}, k -> lower(k))"
+    values = f"transform({_all_matches(body, _ATTRIBUTE, 2)}, v -> {_unquote('v')})"
+    decoded = f"transform({values}, v -> {unescape('v')})"
+    return f"zip_with({names}, {decoded}, (k, v) -> named_struct('k', k, 'v', v))"
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of ``name`` in a start tag, of equal names the last; '' without one."""
+def raw_attribute(tag: str, name: str) -> str:
+    """Value of ``name`` as written in a start tag, of equal names the last; '' without one."""
     # All attributes, then back to the last one of this name.
     others = r"(?:[\s/]*+" + _ATTRIBUTE + ")*"
     pattern = r"(?i)^<[a-z][^\s/>]*+" + others + r"""[\s/]*+(?<=[\s/"'])""" + name + _VALUE
-    return unescape(_unquote(F.regexp_extract(tag, pattern, 3)))
+    return _unquote(f"regexp_extract({tag}, {literal(pattern)}, 3)")
 
 
-def classes(tag: Column) -> Column:
-    """ARRAY<STRING> of the classes of a start tag."""
-    return F.filter(F.split(attribute(tag, "class"), r"\s+"), lambda c: c != "")
+def attribute_list(tags: str, name: str) -> str:
+    """Decoded value of ``name`` for each start tag of an array."""
+    return f"transform(transform({tags}, t -> {raw_attribute('t', name)}), v -> {unescape('v')})"
 
 
-def _kind(token: Column, tag: Column) -> Column:
-    """+1 opens, -1 closes, 0 element without content, null anything else."""
-    # A closing slash counts unless it ends an unquoted attribute value.
-    unquoted = F.regexp_replace(
-        token, F.lit(r"""=\s*(?:"[^"]*"|'[^']*')"""), F.lit("")
-    )
-    self_closed = token.endswith("/>") & ~unquoted.rlike(r"=\s*[^\s\"'>][^\s>]*/>\z")
-    return (
-        F.when(tag == "", F.lit(None).cast("int"))
-        .when(token.startswith("</"), F.when(tag.isin(*VOID_TAGS), None).otherwise(-1))
-        .when(tag.isin(*VOID_TAGS) | tag.isin(*RAW_TAGS) | self_closed, 0)
-        .otherwise(1)
-    )
+def class_list(value: str) -> str:
+    """ARRAY<STRING> of a class attribute."""
+    return f"filter(split({value}, {literal(r'\s+')}), c -> c <> '')"
+
 
+def tags(toks: str) -> str:
+    """ARRAY<STRUCT<pos, kind, tag>> of all tag tokens.
 
-def tags(toks: Column) -> Column:
-    """ARRAY<STRUCT<pos, kind, tag>> of all tag tokens."""
-    named = F.filter(
-        F.transform(
-            toks, lambda t, i: F.struct(i.alias("pos"), t.alias("token"), tag_name(t).alias("tag"))
-        ),
-        lambda x: x["tag"] != "",
+    ``kind`` is 1 for a tag that opens, -1 for one that closes, 0 for an element
+    without content. A closing slash counts unless it ends an unquoted value.
+    """
+    void, raw = literals(VOID_TAGS), literals(RAW_TAGS)
+    named = (
+        f"filter(transform({toks}, (t, i) -> named_struct('pos', i, 'token', t,"
+        f" 'tag', {tag_name('t')})), x -> x.tag <> '')"
+    )
+    self_closed = (
+        "endswith(x.token, '/>') AND NOT regexp_replace(x.token, "
+        f"{literal(_QUOTED_VALUE)}, '') rlike {literal(_OPEN_VALUE_AT_END)}"
+    )
+    kind = (
+        f"CASE WHEN startswith(x.token, '</') THEN if(x.tag IN ({void}), NULL, -1)"
+        f" WHEN x.tag IN ({void}) OR x.tag IN ({raw}) OR ({self_closed}) THEN 0 ELSE 1 END"
     )
-    kinds = F.transform(
-        named,
-        lambda x: F.struct(
-            x["pos"].alias("pos"), _kind(x["token"], x["tag"]).alias("kind"), x["tag"].alias("tag")
-        ),
+    return (
+        f"filter(transform({named}, x -> named_struct('pos', x.pos, 'kind', {kind},"
+        " 'tag', x.tag)), x -> x.kind IS NOT NULL)"
     )
-    return F.filter(kinds, lambda x: x["kind"].isNotNull())
 
 
-_STACK = "array<struct<pos:int,tag:string,parent:int>>"
-_SPANS = "array<struct<pos:int,end:int,parent:int,tag:string>>"
+_STACK = "CAST(array() AS ARRAY<STRUCT<pos: INT, tag: STRING, parent: INT>>)"
+_SPANS_TYPE = "ARRAY<STRUCT<pos: INT, end: INT, parent: INT, tag: STRING>>"
 
 
-def _ended(closed: Column, end: Column) -> Column:
-    return F.transform(
-        closed,
-        lambda c: F.struct(
-            c["pos"].alias("pos"), end.alias("end"), c["parent"].alias("parent"),
-            c["tag"].alias("tag"),
-        ),
-    )
+def _ended(closed: str, end: str) -> str:
+    return (
+        f"transform({closed}, c -> named_struct("
+        f"'pos', c.pos, 'end', {end}, 'parent', c.parent, 'tag', c.tag))"
+    )
 
 
-def _state(stack: Column, out: Column, done: Column) -> Column:
-    return F.struct(stack.alias("stack"), out.alias("out"), done.alias("done"))
+def _state(stack: str, out: str, done: str) -> str:
+    return f"named_struct('stack', {stack}, 'out', {out}, 'done', {done})"
 
 
-def _fold_tag(s: Column, t: Column) -> Column:
-    """Next state after one tag token."""
-    stack, out, done = s["stack"], s["out"], s["done"]
-    names = stack["tag"]
+def _fold_tag() -> str:
+    """Next state ``s`` after tag token ``t``."""
     # 1-based place of the nearest open tag of this name
-    place = F.size(names) - F.array_position(F.reverse(names), t["tag"]).cast("int") + 1
-    parent = F.coalesce(F.try_element_at(stack, F.lit(-1))["pos"], F.lit(-1))
-    entry = F.struct(t["pos"].alias("pos"), t["tag"].alias("tag"), parent.alias("parent"))
+    place = (
+        "(size(s.stack) - CAST(array_position(reverse(s.stack.tag), t.tag) AS INT) + 1)"
+    )
+    entry = (
+        "array(named_struct('pos', t.pos, 'tag', t.tag,"
+        " 'parent', coalesce(try_element_at(s.stack, -1).pos, -1)))"
+    )
+    opened = _state(f"concat(s.stack, {entry})", "s.out", "s.done")
+    empty = _state("s.stack", f"concat(s.out, {_ended(entry, 't.pos')})", "s.done")
+    shut = f"slice(s.stack, {place}, size(s.stack))"
+    closed = _state(
+        f"slice(s.stack, 1, {place} - 1)", f"concat(s.out, {_ended(shut, 't.pos')})", "s.done"
+    )
     return (
-        F.when(t["kind"] == 1, _state(F.concat(stack, F.array(entry)), out, done))
-        .when(t["kind"] == 0, _state(stack, F.concat(out, _ended(F.array(entry), t["pos"])), done))
-        .when(
-            F.array_contains(names, t["tag"]),
-            _state(
-                F.slice(stack, F.lit(1), place - 1),
-                F.concat(out, _ended(F.slice(stack, place, F.size(stack)), t["pos"])),
-                done,
-            ),
-        )
-        .otherwise(s)
+        f"CASE WHEN t.kind = 1 THEN {opened} WHEN t.kind = 0 THEN {empty}"
+        f" WHEN array_contains(s.stack.tag, t.tag) THEN {closed} ELSE s END"
     )
 
 
-def spans(tag_tokens: Column, page_end: Column) -> Column:
+def spans(tag_tokens: str, page_end: str) -> str:
     """ARRAY<STRUCT<pos, end, parent, tag>> of all elements, in document order.
 
     ``pos`` is the token of the start tag, ``end`` the token that closes it and
     ``parent`` the start of the surrounding element (-1 at the top).
     """
-    no_stack, no_spans = F.array().cast(_STACK), F.array().cast(_SPANS)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tag_tokens), F.lit(1)), F.lit(_FOLD_CHUNK))
-
-    def fold_chunk(s: Column, start: Column) -> Column:
-        # ``done`` gets one array per chunk, so no growing array is copied per tag.
-        return F.aggregate(
-            F.slice(tag_tokens, start, F.lit(_FOLD_CHUNK)),
-            _state(s["stack"], no_spans, s["done"]),
-            _fold_tag,
-            lambda r: _state(r["stack"], no_spans, F.concat(r["done"], F.array(r["out"]))),
-        )
-
-    folded = F.aggregate(
-        F.when(tag_tokens.isNotNull(), starts),
-        _state(no_stack, no_spans, F.array().cast(f"array<{_SPANS}>")),
-        fold_chunk,
-        lambda s: F.concat(F.flatten(s["done"]), _ended(s["stack"], page_end)),
+    none = f"CAST(array() AS {_SPANS_TYPE})"
+    starts = f"sequence(1, greatest(size({tag_tokens}), 1), {_FOLD_CHUNK})"
+    # ``done`` gets one array per chunk, so no growing array is copied per tag.
+    chunk = (
+        f"aggregate(slice({tag_tokens}, start, {_FOLD_CHUNK}), {_state('a.stack', none, 'a.done')},"
+        f" (s, t) -> {_fold_tag()},"
+        f" r -> {_state('r.stack', none, 'concat(r.done, array(r.out))')})"
     )
-    return F.sort_array(folded)
+    first = _state(_STACK, none, f"CAST(array() AS ARRAY<{_SPANS_TYPE}>)")
+    folded = (
+        f"aggregate(if({tag_tokens} IS NOT NULL, {starts}, NULL), {first}, (a, start) -> {chunk},"
+        f" z -> concat(flatten(z.done), {_ended('z.stack', page_end)}))"
+    )
+    return f"sort_array({folded})"
 
 
-def text_runs(toks: Column) -> Column:
+def text_runs(toks: str) -> str:
     """ARRAY<STRING> as long as the tokens: decoded text, null where a token is none."""
-    return F.transform(
-        toks,
-        lambda t: F.when(~t.startswith("<") | t.rlike("^<(?![a-zA-Z/!?])"), unescape(t)),
-    )
+    is_text = f"NOT startswith(t, '<') OR t rlike {literal('^<(?![a-zA-Z/!?])')}"
+    return f"transform({toks}, t -> if({is_text}, {unescape('t')}, NULL))"
 
 
-def text_between(runs: Column, pos: Column, end: Column) -> Column:
+def text_between(runs: str, pos: str, end: str) -> str:
     """Visible text of an element: its text runs joined by a blank, normalised."""
-    return normalize_space(
-        F.array_join(F.slice(runs, pos + 2, F.greatest(end - pos - 1, F.lit(0))), " ")
-    )
+    inner = f"slice({runs}, {pos} + 2, greatest({end} - {pos} - 1, 0))"
+    return normalize_space_sql(f"array_join({inner}, ' ')")

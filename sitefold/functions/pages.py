@@ -1,29 +1,33 @@
-"""Page expressions shared by the page operators: script texts, elements, selectors."""
+"""Elements and selectors of a page as SQL expressions (SQL text, as in ``markup``)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from sitefold.functions import jsonld as J
 from sitefold.functions import markup as M
-from sitefold.functions import text as X
+from sitefold.functions.text import first_nonblank_sql, literal, strip_sql
+
+_ELEMENT_FIELDS = ("pos", "end", "parent", "tag", "classes", "prev_tag", "prev_classes")
+
+
+def struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
-_ELEMENT = (
-    "array<struct<pos:int,end:int,parent:int,tag:string,classes:array<string>,"
-    "prev_tag:string,prev_classes:array<string>>>"
-)
 
+def fields_of(name: str, fields: Sequence[str]) -> dict[str, str]:
+    return {f: f"{name}.{f}" for f in fields}
 
-def jsonld_texts(html: Column) -> Column:
+
+def jsonld_texts(html: str) -> str:
     """ARRAY<STRING> of the non-blank JSON-LD script texts of a page."""
-    chosen = F.filter(
-        M.scripts(html), lambda s: M.attribute(M.open_tag(s), "type") == J.JSONLD_TYPE
-    )
-    texts = F.filter(F.transform(chosen, lambda s: X.strip(M.script_body(s))), lambda t: t != "")
-    return F.when(html.rlike(r"ld(\+|&)"), texts).otherwise(F.array().cast("array<string>"))
+    kind = M.raw_attribute(M.open_tag("s"), "type")
+    # The type may be written with an entity for its plus sign.
+    plain = f"replace(replace({kind}, '&#43;', '+'), '&plus;', '+')"
+    chosen = f"filter({M.scripts(html)}, s -> {plain} = '{J.JSONLD_TYPE}')"
+    texts = f"transform({chosen}, s -> {strip_sql(M.script_body('s'))})"
+    none = "CAST(array() AS ARRAY<STRING>)"
+    return f"if({html} rlike {literal(r'ld(\+|&)')}, filter({texts}, t -> t <> ''), {none})"
 
 
 def selector_names(*selectors: Sequence) -> str:
@@ -32,83 +36,62 @@ def selector_names(*selectors: Sequence) -> str:
     return "(?i)" + "|".join(r"\Q" + w + r"\E" for w in sorted(words))
 
 
-def elements_by_parent(toks: Column, spans: Column, wanted: str | None = None) -> Column:
+def elements_by_parent(toks: str, spans: str, wanted: str) -> str:
     """Elements with their classes, siblings next to each other.
 
-    ``wanted`` limits class reads to start tags with that pattern.
+    Classes are read only from start tags that hold the pattern ``wanted``.
     """
+    token = f"get({toks}, e.pos)"
+    classes = M.class_list(M.raw_attribute(token, "class"))
+    none = "CAST(array() AS ARRAY<STRING>)"
+    fields = struct(
+        parent="e.parent", pos="e.pos", end="e.end", tag="e.tag",
+        classes=f"if({token} rlike {literal(wanted)}, {classes}, {none})",
+    )
+    return f"sort_array(transform({spans}, e -> {fields}))"
 
-    def with_class(e: Column) -> Column:
-        token = F.get(toks, e["pos"])
-        read = M.classes(token)
-        none = F.array().cast("array<string>")
-        classes = read if wanted is None else F.when(token.rlike(wanted), read).otherwise(none)
-        return F.struct(
-            e["parent"].alias("parent"), e["pos"].alias("pos"), e["end"].alias("end"),
-            e["tag"].alias("tag"), classes.alias("classes"),
-        )
-
-    return F.sort_array(F.transform(spans, with_class))
 
-
-def elements_in_order(by_parent: Column) -> Column:
+def elements_in_order(by_parent: str) -> str:
     """Elements in document order, each with the tag and classes of the sibling before."""
+    before = f"get({by_parent}, i - 1)"
+    near = f"(i > 0 AND {before}.parent = e.parent)"
+    fields = struct(
+        pos="e.pos", end="e.end", parent="e.parent", tag="e.tag", classes="e.classes",
+        prev_tag=f"if({near}, {before}.tag, NULL)",
+        prev_classes=f"if({near}, {before}.classes, NULL)",
+    )
+    return f"sort_array(transform({by_parent}, (e, i) -> {fields}))"
 
-    def one(e: Column, i: Column) -> Column:
-        before = F.get(by_parent, i - 1)
-        near = (i > 0) & (before["parent"] == e["parent"])
-        return F.struct(
-            e["pos"].alias("pos"), e["end"].alias("end"), e["parent"].alias("parent"),
-            e["tag"].alias("tag"), e["classes"].alias("classes"),
-            F.when(near, before["tag"]).alias("prev_tag"),
-            F.when(near, before["classes"]).alias("prev_classes"),
-        )
-
-    return F.sort_array(F.transform(by_parent, one)).cast(_ELEMENT)
 
-
-def with_text(elements: Column, runs: Column) -> Column:
+def with_text(elements: str, runs: str) -> str:
     """The same elements with their visible text."""
-    return F.transform(
-        elements,
-        lambda e: F.struct(
-            *[e[c].alias(c) for c in ("pos", "end", "tag", "classes", "prev_tag", "prev_classes")],
-            M.text_between(runs, e["pos"], e["end"]).alias("text"),
-        ),
-    )
+    text = M.text_between(runs, "e.pos", "e.end")
+    return f"transform({elements}, e -> {struct(**fields_of('e', _ELEMENT_FIELDS), text=text)})"
 
 
-def matches(element: Column, selector: Sequence) -> Column:
+def matches(element: str, selector: Sequence) -> str:
     """Element fits ``(tag, classes)`` or ``(tag, classes, "+", next_tag)``."""
     tag, classes = selector[0], selector[1]
     if len(selector) > 2:
-        hit = (element["tag"] == selector[3]) & (element["prev_tag"] == tag)
-        found = element["prev_classes"]
+        hits = [f"{element}.tag = '{selector[3]}'", f"{element}.prev_tag = '{tag}'"]
+        found = f"{element}.prev_classes"
     else:
-        hit, found = element["tag"] == tag, element["classes"]
-    for name in classes:
-        hit = hit & F.array_contains(found, name)
-    return F.coalesce(hit, F.lit(False))
+        hits, found = [f"{element}.tag = '{tag}'"], f"{element}.classes"
+    hits += [f"array_contains({found}, '{c}')" for c in classes]
+    return "coalesce(" + " AND ".join(hits) + ", false)"
 
 
-def matches_any(element: Column, selectors: Sequence) -> Column:
-    hit = matches(element, selectors[0])
-    for s in selectors[1:]:
-        hit = hit | matches(element, s)
-    return hit
+def matches_any(element: str, selectors: Sequence) -> str:
+    return "(" + " OR ".join(matches(element, s) for s in selectors) + ")"
 
 
-def first_in_order(elements: Column, selectors: Sequence) -> Column:
+def first_in_order(elements: str, selectors: Sequence) -> str:
     """Text of the first element in document order that any selector matches, else ''."""
-    hits = F.filter(elements, lambda e: matches_any(e, selectors))
-    return F.coalesce(F.get(hits, F.lit(0))["text"], F.lit(""))
+    return f"coalesce(get(filter({elements}, e -> {matches_any('e', selectors)}), 0).text, '')"
 
 
-def first_by_selector(elements: Column, selectors: Sequence) -> Column:
+def first_by_selector(elements: str, selectors: Sequence) -> str:
     """Text by selector order: of each selector only its first element counts."""
-
-    def text(selector: Sequence) -> Column:
-        hits = F.filter(elements, lambda e: matches(e, selector))
-        return F.get(hits, F.lit(0))["text"]
-
-    return X.first_nonblank(*[text(s) for s in selectors])
+    return first_nonblank_sql(
+        *[f"get(filter({elements}, e -> {matches('e', s)}), 0).text" for s in selectors]
+    )

@@ -1,6 +1,7 @@
 """Text expressions: whitespace, integers, hashes and small pattern reads.
 
-Every function maps Columns to a Column and stays on the JVM.
+Functions map Columns to a Column and stay on the JVM. Those ending in ``_sql`` map
+SQL text to SQL text, for use inside array lambdas.
 """
 
 from __future__ import annotations
@@ -102,55 +103,95 @@ def first_match(html: Column, key: str) -> Column:
     return F.coalesce(F.get(real, F.lit(0)), F.lit(""))
 
 
-# --- reads from the visible text of one review block ------------------------------
+def count_in_text(text: Column) -> Column:
+    """First number of a text as digits without commas, else ''."""
+    return F.replace(find(text, r"(?U)\d[\d,]*"), F.lit(","), F.lit(""))
 
 
-def rating_in_text(text: Column) -> Column:
-    """First free-standing 1-5, with or without a fraction or the word 'stars'."""
-    return to_int(find(text, r"(?iU)\b([1-5])(\.[0-9])?\s*(stars?)?\b", 1))
+def safe_product_id(product_id: Column) -> Column:
+    """Product id fit for a folder name."""
+    return F.regexp_replace(product_id, F.lit("[^A-Za-z0-9_-]+"), F.lit("_"))
 
 
-def date_in_text(text: Column) -> Column:
-    return normalize_space(find(text, r"(?U)\b\d{1,2}\s+[A-Za-z]+\s*,?\s*\d{4}\b"))
+def iso_utc(as_of: Column | None = None) -> Column:
+    """ISO-8601 UTC text of ``as_of`` (default: now)."""
+    moment = F.current_timestamp() if as_of is None else as_of
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
 
 
-_NAME_AND_DATE = r"(?U)([A-Za-z0-9_.\- ]+)\s*,\s*(\d{1,2}\s+[A-Za-z]+\s*\d{4})"
+def all_of(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def name_before_date(text: Column) -> Column:
-    return normalize_space(find(text, _NAME_AND_DATE, 1))
+# --- SQL text ---------------------------------------------------------------------
 
 
-def date_after_name(text: Column) -> Column:
-    return normalize_space(find(text, _NAME_AND_DATE, 2))
+def literal(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def variant_in_text(text: Column) -> Column:
-    return normalize_space(
-        find(text, r"(?iU)(?:Color|Storage|RAM|Variant)\s*:\s*([^|,]+)", 1)
-    )
+def literals(texts: Iterable[str]) -> str:
+    return ", ".join(literal(t) for t in texts)
 
 
-def helpful_in_text(text: Column) -> Column:
-    return to_int(find(text, r"(?iU)(\d[\d,]*)\s+people\s+found\s+this\s+helpful", 1))
+def strip_sql(value: str) -> str:
+    return f"regexp_replace({value}, {literal(_EDGE_BLANKS)}, '')"
 
 
-def count_in_text(text: Column) -> Column:
-    """First number of a text as digits without commas, else ''."""
-    return F.replace(find(text, r"(?U)\d[\d,]*"), F.lit(","), F.lit(""))
+def normalize_space_sql(value: str) -> str:
+    return f"trim(regexp_replace(coalesce({value}, ''), {literal(_BLANKS)}, ' '))"
 
 
-def safe_product_id(product_id: Column) -> Column:
-    """Product id fit for a folder name."""
-    return F.regexp_replace(product_id, F.lit("[^A-Za-z0-9_-]+"), F.lit("_"))
+def first_nonblank_sql(*values: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif({v}, '')" for v in values) + ", '')"
 
 
-def iso_utc(as_of: Column | None = None) -> Column:
-    """ISO-8601 UTC text of ``as_of`` (default: now)."""
-    moment = F.current_timestamp() if as_of is None else as_of
-    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))
-    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+def find_sql(text: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract({text}, {literal(pattern)}, {group})"
 
 
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+def to_int_sql(value: str) -> str:
+    digits = find_sql(f"replace({value}, ',', '')", r"(?U)\d+")
+    return f"try_cast(nullif({digits}, '') AS INT)"
+
+
+def in_page_review_key_sql(reviewer: str, date: str, title: str, text: str) -> str:
+    parts = (reviewer, date, title, f"substring({text}, 1, {IN_PAGE_KEY_CHARS})")
+    joined = ", ".join(normalize_space_sql(p) for p in parts)
+    return f"sha2(concat_ws('||', {joined}), 256)"
+
+
+# Reads from the visible text of one review block.
+
+
+def rating_in_text_sql(text: str) -> str:
+    """First free-standing 1-5, with or without a fraction or the word 'stars'."""
+    return to_int_sql(find_sql(text, r"(?iU)\b([1-5])(\.[0-9])?\s*(stars?)?\b", 1))
+
+
+def date_in_text_sql(text: str) -> str:
+    pattern = r"(?U)\b\d{1,2}\s+[A-Za-z]+\s*,?\s*\d{4}\b"
+    return normalize_space_sql(find_sql(text, pattern))
+
+
+_NAME_AND_DATE = r"(?U)([A-Za-z0-9_.\- ]+)\s*,\s*(\d{1,2}\s+[A-Za-z]+\s*\d{4})"
+
+
+def name_before_date_sql(text: str) -> str:
+    return normalize_space_sql(find_sql(text, _NAME_AND_DATE, 1))
+
+
+def date_after_name_sql(text: str) -> str:
+    return normalize_space_sql(find_sql(text, _NAME_AND_DATE, 2))
+
+
+def variant_in_text_sql(text: str) -> str:
+    pattern = r"(?iU)(?:Color|Storage|RAM|Variant)\s*:\s*([^|,]+)"
+    return normalize_space_sql(find_sql(text, pattern, 1))
+
+
+def helpful_in_text_sql(text: str) -> str:
+    pattern = r"(?iU)(\d[\d,]*)\s+people\s+found\s+this\s+helpful"
+    return to_int_sql(find_sql(text, pattern, 1))

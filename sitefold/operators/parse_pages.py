@@ -6,7 +6,7 @@ columns row by row and drops ``html`` before anything can shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefold import settings as S
@@ -14,7 +14,7 @@ from sitefold.functions import jsonld as J
 from sitefold.functions import markup as M
 from sitefold.functions import pages as P
 from sitefold.functions import text as X
-from sitefold.functions.classify import classify_product, is_product_link, is_review_block
+from sitefold.functions.classify import classify_product, is_product_link
 from sitefold.functions.urls import (
     canonical_product_url,
     extract_product_id,
@@ -26,89 +26,63 @@ from sitefold.functions.urls import (
 REVIEW_FIELDS = (
     "rating", "title", "review_text", "reviewer", "review_date", "variant", "helpful_count",
 )
-REVIEW_TYPE = (
-    "struct<rating:int,title:string,review_text:string,reviewer:string,"
-    "review_date:string,variant:string,helpful_count:int>"
+_REVIEWS = (
+    "ARRAY<STRUCT<rating: INT, title: STRING, review_text: STRING, reviewer: STRING,"
+    " review_date: STRING, variant: STRING, helpful_count: INT>>"
 )
-_REVIEWS = f"array<{REVIEW_TYPE}>"
+_NO_REVIEWS = f"CAST(array() AS {_REVIEWS})"
 
 
 def _keep(df: DataFrame, *dropped: str) -> list[str]:
     return [c for c in df.columns if c not in dropped and not c.startswith("_")]
 
 
-# --- JSON-LD ----------------------------------------------------------------------
+def staged(df: DataFrame, **columns: str) -> DataFrame:
+    """Add columns computed exactly once per row.
 
+    The one-row generator keeps the optimizer from inlining a step into the next one;
+    nested array functions would otherwise be evaluated many times over.
+    """
+    return df.selectExpr("*", f"inline(array({P.struct(**columns)}))")
 
-def jsonld_documents(pages: DataFrame) -> DataFrame:
-    """One row per JSON-LD script that parses: ``script_no``, ``document`` (JSON text)."""
-    found = pages.select(
-        *_keep(pages, "html"),
-        F.posexplode(P.jsonld_texts(F.col("html"))).alias("script_no", "document"),
-    )
-    return found.filter(F.size(J.parse_items(F.col("document"))) == 1)
 
+# --- JSON-LD ----------------------------------------------------------------------
 
-def staged(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns computed exactly once per row.
 
-    The one-item explode keeps the optimizer from inlining a step into the next
-    one; nested array functions would otherwise be evaluated many times over.
-    """
-    step = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-    rest = [c for c in df.columns if c not in columns]
-    return df.select(*rest, step.alias("_step")).select(
-        *rest, *[F.col("_step")[n].alias(n) for n in columns]
-    )
+def jsonld_documents(pages: DataFrame) -> DataFrame:
+    """One row per JSON-LD script that parses: ``script_no``, ``document`` (JSON text)."""
+    texts = f"posexplode({P.jsonld_texts('html')}) AS (script_no, document)"
+    found = pages.selectExpr(*_keep(pages, "html"), texts)
+    return found.filter(f"size({J.parse_items('document')}) = 1")
 
 
-def _with_documents(df: DataFrame, likely: str | None = None) -> DataFrame:
-    """Adds ``_texts`` and ``_docs``: the JSON-LD texts that parse, and their values."""
-    texts = P.jsonld_texts(F.col("html"))
-    if likely:
-        # The word may be spelled with \u escapes; no other text can hold it.
-        texts = F.filter(texts, lambda t: t.contains(likely) | t.contains("\\u"))
-    df = staged(df, _texts=texts)
-    df = staged(df, _items=F.transform("_texts", J.parse_items))
-    docs = F.transform(
-        F.filter("_items", lambda xs: F.size(xs) == 1), lambda xs: F.get(xs, F.lit(0))
-    )
-    return staged(df, _docs=docs)
+def _with_documents(df: DataFrame, likely: str) -> DataFrame:
+    """Adds ``_texts`` that may hold the word, and ``_docs``, the values that parse."""
+    # The word may be spelled with \\u escapes; no other text can hold it.
+    has_word = f"contains(t, '{likely}') OR contains(t, {X.literal('\\u')})"
+    df = staged(df, _texts=f"filter({P.jsonld_texts('html')}, t -> {has_word})")
+    df = staged(df, _items=f"transform(_texts, t -> {J.parse_items('t')})")
+    return staged(df, _docs="transform(filter(_items, x -> size(x) = 1), x -> get(x, 0))")
 
 
 def _with_json_reviews(df: DataFrame) -> DataFrame:
     """Adds ``_json``: reviews of the JSON-LD documents in document order."""
-    df = _with_documents(df, likely="Review")
-    df = staged(df, _depth=J.nesting(F.array_join("_texts", "")))
-    df = staged(df, _nodes=J.all_nodes(F.col("_docs"), F.col("_depth")))
-    df = staged(
-        df,
-        _nodes=F.transform(
-            "_nodes",
-            lambda n: F.struct(
-                n["path"].alias("path"), J.members(n["node"]).alias("es")
-            ),
-        ),
-    )
-    df = staged(
-        df,
-        _nodes=F.filter("_nodes", lambda n: J.has_type(n["es"], "Review")),
-    )
-    df = staged(df, _parts=F.transform("_nodes", J.review_parts))
-    df = staged(
-        df,
-        _rows=F.transform(
-            "_parts", lambda p: F.struct(p["path"].alias("path"), *J.review_fields(p))
-        ),
-    )
-    reviews = F.transform(
-        F.sort_array("_rows"), lambda r: F.struct(*[r[c].alias(c) for c in REVIEW_FIELDS])
-    )
-    return staged(df, _json=_or_none(reviews))
+    df = _with_documents(df, "Review")
+    df = staged(df, _depth=J.nesting("array_join(_texts, '')"))
+    df = staged(df, _nodes=J.all_nodes("_docs", "_depth"))
+    objects = P.struct(path="n.path", es=J.members("n.node"))
+    df = staged(df, _objects=f"transform(_nodes, n -> {objects})")
+    df = staged(df, _found=f"filter(_objects, n -> {J.has_type('n.es', 'Review')})")
+    df = staged(df, _values=f"transform(_found, n -> {J.review_parts('n')})")
+    rows = P.struct(path="p.path", **J.review_fields("p"))
+    df = staged(df, _read=f"sort_array(transform(_values, p -> {rows}))")
+    return staged(df, _json=_reviews("_read"))
 
 
-def _or_none(reviews: Column) -> Column:
-    return F.coalesce(reviews.cast(_REVIEWS), F.array().cast(_REVIEWS))
+def _reviews(rows: str) -> str:
+    """Rows cut down to the review fields; no rows for null."""
+    fields = P.struct(**P.fields_of("r", REVIEW_FIELDS))
+    return f"coalesce(CAST(transform({rows}, r -> {fields}) AS {_REVIEWS}), {_NO_REVIEWS})"
 
 
 # --- HTML reviews -----------------------------------------------------------------
@@ -118,93 +92,83 @@ _REVIEW_PARTS = (
 )
 
 
-def _with_marks(df: DataFrame, when: Column, selectors: tuple) -> DataFrame:
+def _with_marks(df: DataFrame, when: str, selectors: tuple) -> DataFrame:
     """Adds ``_marks``: elements the selectors match, with text; null unless ``when``."""
     names = P.selector_names(*selectors)
-    df = staged(df, _toks=F.when(when & F.col("html").rlike(names), M.tokens(F.col("html"))))
-    df = staged(df, _tags=M.tags(F.col("_toks")))
-    df = staged(df, _spans=M.spans(F.col("_tags"), F.size("_toks")))
-    df = staged(df, _level=P.elements_by_parent(F.col("_toks"), F.col("_spans"), names))
-    df = staged(df, _els=P.elements_in_order(F.col("_level")))
-    df = staged(df, _hits=F.filter("_els", lambda e: P.matches_any(e, selectors)))
-    df = staged(df, _runs=F.when(F.size("_hits") > 0, M.text_runs(F.col("_toks"))))
-    return staged(df, _marks=P.with_text(F.col("_hits"), F.col("_runs")))
-
-
-def _block_parts(b: Column) -> Column:
-    inner = b["inner"]
-    return F.struct(
-        b["pos"].alias("pos"),
-        b["blob"].alias("blob"),
-        P.first_by_selector(inner, S.REVIEW_RATING).alias("rating"),
-        P.first_by_selector(inner, S.REVIEW_TITLE).alias("title"),
-        X.first_nonblank(P.first_by_selector(inner, S.REVIEW_TEXT), b["blob"]).alias("text"),
-        P.first_by_selector(inner, S.REVIEW_AUTHOR).alias("reviewer"),
-        X.first_nonblank(
-            P.first_by_selector(inner, S.REVIEW_DATE), X.date_in_text(b["blob"])
-        ).alias("date"),
+    df = staged(
+        df, _toks=f"if({when} AND html rlike {X.literal(names)}, {M.tokens('html')}, NULL)"
+    )
+    df = staged(df, _tags=M.tags("_toks"))
+    df = staged(df, _spans=M.spans("_tags", "size(_toks)"))
+    df = staged(df, _level=P.elements_by_parent("_toks", "_spans", names))
+    df = staged(df, _els=P.elements_in_order("_level"))
+    df = staged(df, _hits=f"filter(_els, e -> {P.matches_any('e', selectors)})")
+    df = staged(df, _runs=f"if(size(_hits) > 0, {M.text_runs('_toks')}, NULL)")
+    return staged(df, _marks=P.with_text("_hits", "_runs"))
+
+
+def _block_parts(b: str) -> str:
+    """What the selectors find inside a review block."""
+    inner, blob = f"{b}.inner", f"{b}.blob"
+    return P.struct(
+        pos=f"{b}.pos",
+        blob=blob,
+        rating=P.first_by_selector(inner, S.REVIEW_RATING),
+        title=P.first_by_selector(inner, S.REVIEW_TITLE),
+        text=X.first_nonblank_sql(P.first_by_selector(inner, S.REVIEW_TEXT), blob),
+        reviewer=P.first_by_selector(inner, S.REVIEW_AUTHOR),
+        date=X.first_nonblank_sql(
+            P.first_by_selector(inner, S.REVIEW_DATE), X.date_in_text_sql(blob)
+        ),
     )
 
 
-def _block_review(p: Column) -> Column:
-    blob = p["blob"]
-    guess_date = (p["date"] == "") & (p["reviewer"] == "")
-    return F.struct(
-        p["pos"].alias("pos"),
-        F.coalesce(X.to_int(p["rating"]), X.rating_in_text(blob)).alias("rating"),
-        p["title"].alias("title"),
-        p["text"].alias("review_text"),
-        X.first_nonblank(p["reviewer"], X.name_before_date(blob)).alias("reviewer"),
-        F.when(guess_date, X.date_after_name(blob)).otherwise(p["date"]).alias("review_date"),
-        X.variant_in_text(blob).alias("variant"),
-        X.helpful_in_text(blob).alias("helpful_count"),
+def _block_review(p: str) -> str:
+    """Review of a block; what no selector found is read from its text."""
+    blob = f"{p}.blob"
+    guess_date = f"{p}.date = '' AND {p}.reviewer = ''"
+    return P.struct(
+        pos=f"{p}.pos",
+        rating=f"coalesce({X.to_int_sql(f'{p}.rating')}, {X.rating_in_text_sql(blob)})",
+        title=f"{p}.title",
+        review_text=f"{p}.text",
+        reviewer=X.first_nonblank_sql(f"{p}.reviewer", X.name_before_date_sql(blob)),
+        review_date=f"if({guess_date}, {X.date_after_name_sql(blob)}, {p}.date)",
+        variant=X.variant_in_text_sql(blob),
+        helpful_count=X.helpful_in_text_sql(blob),
     )
 
 
-def _with_html_reviews(df: DataFrame, when: Column) -> DataFrame:
+def _is_review_block(text: str) -> str:
+    words = " OR ".join(f"contains(lower({text}), '{w}')" for w in S.REVIEW_BLOCK_WORDS)
+    return f"length({text}) >= {S.REVIEW_BLOCK_MIN_CHARS} AND ({words})"
+
+
+def _with_html_reviews(df: DataFrame, when: str) -> DataFrame:
     """Adds ``_html``: reviews of the markup blocks, first of equal keys per page."""
-    has_block = F.col("html").rlike(P.selector_names(*S.REVIEW_BLOCKS))
-    df = _with_marks(df, when & has_block, S.REVIEW_BLOCKS + _REVIEW_PARTS)
-    blocks = F.filter(
-        "_marks", lambda e: P.matches_any(e, S.REVIEW_BLOCKS) & is_review_block(e["text"])
-    )
-    df = staged(df, _blocks=F.transform(
-            blocks,
-            lambda b: F.struct(
-                b["pos"].alias("pos"),
-                b["text"].alias("blob"),
-                F.filter(
-                    "_marks", lambda e: (e["pos"] > b["pos"]) & (e["pos"] < b["end"])
-                ).alias("inner"),
-            ),
-        ),
-    )
-    df = staged(df, _parts=F.transform("_blocks", _block_parts))
-    df = staged(df, _rows=F.transform("_parts", _block_review))
-    keyed = F.transform(
-        "_rows",
-        lambda r: F.struct(
-            X.in_page_review_key(
-                r["reviewer"], r["review_date"], r["title"], r["review_text"]
-            ).alias("key"),
-            *[r[c].alias(c) for c in ("pos",) + REVIEW_FIELDS],
-        ),
+    has_block = f"html rlike {X.literal(P.selector_names(*S.REVIEW_BLOCKS))}"
+    df = _with_marks(df, f"{when} AND {has_block}", S.REVIEW_BLOCKS + _REVIEW_PARTS)
+    is_block = f"{P.matches_any('e', S.REVIEW_BLOCKS)} AND {_is_review_block('e.text')}"
+    block = P.struct(
+        pos="b.pos", blob="b.text", inner="filter(_marks, e -> e.pos > b.pos AND e.pos < b.end)"
     )
+    df = staged(df, _blocks=f"transform(filter(_marks, e -> {is_block}), b -> {block})")
+    df = staged(df, _parts=f"transform(_blocks, b -> {_block_parts('b')})")
+    df = staged(df, _rows=f"transform(_parts, p -> {_block_review('p')})")
+    placed = P.fields_of("r", ("pos",) + REVIEW_FIELDS)
+    key = X.in_page_review_key_sql("r.reviewer", "r.review_date", "r.title", "r.review_text")
     # Equal keys stand next to each other after the sort, the first in the page first.
-    df = staged(df, _keyed=F.sort_array(keyed))
-    firsts = F.filter(
-        "_keyed", lambda r, i: (i == 0) | (F.get(F.col("_keyed"), i - 1)["key"] != r["key"])
-    )
-    in_order = F.sort_array(
-        F.transform(firsts, lambda r: F.struct(*[r[c].alias(c) for c in ("pos",) + REVIEW_FIELDS]))
+    df = staged(df, _keyed=f"sort_array(transform(_rows, r -> {P.struct(key=key, **placed)}))")
+    df = staged(
+        df, _firsts="filter(_keyed, (r, i) -> i = 0 OR get(_keyed, i - 1).key <> r.key)"
     )
-    reviews = F.transform(in_order, lambda r: F.struct(*[r[c].alias(c) for c in REVIEW_FIELDS]))
-    return staged(df, _html=_or_none(reviews))
+    df = staged(df, _ordered=f"sort_array(transform(_firsts, r -> {P.struct(**placed)}))")
+    return staged(df, _html=_reviews("_ordered"))
 
 
 def _explode_reviews(df: DataFrame, keep: list[str], column: str) -> DataFrame:
-    rows = df.select(*keep, F.posexplode(column).alias("pos", "_r"))
-    return rows.select(*keep, "pos", *[F.col("_r")[c].alias(c) for c in REVIEW_FIELDS])
+    rows = df.selectExpr(*keep, f"posexplode({column}) AS (pos, _r)")
+    return rows.selectExpr(*keep, "pos", "_r.*")
 
 
 def jsonld_reviews(pages: DataFrame) -> DataFrame:
@@ -214,15 +178,14 @@ def jsonld_reviews(pages: DataFrame) -> DataFrame:
 
 def html_reviews(pages: DataFrame) -> DataFrame:
     """One row per review read from markup, ``pos`` in document order."""
-    return _explode_reviews(_with_html_reviews(pages, F.lit(True)), _keep(pages, "html"), "_html")
+    return _explode_reviews(_with_html_reviews(pages, "true"), _keep(pages, "html"), "_html")
 
 
 def review_lists(pages: DataFrame) -> DataFrame:
     """One row per page with ``reviews``: JSON-LD rows if any, else markup rows."""
-    df = _with_json_reviews(pages)
-    df = _with_html_reviews(df, F.size("_json") == 0)
-    chosen = F.when(F.size("_json") > 0, F.col("_json")).otherwise(F.col("_html"))
-    return df.select(*_keep(pages, "html"), chosen.alias("reviews"))
+    df = _with_html_reviews(_with_json_reviews(pages), "size(_json) = 0")
+    chosen = "if(size(_json) > 0, _json, _html) AS reviews"
+    return df.selectExpr(*_keep(pages, "html"), chosen)
 
 
 def explode_reviews(lists: DataFrame) -> DataFrame:
@@ -241,99 +204,90 @@ _JSON_FIELDS = ("title", "category", "price", "currency", "rating", "review_coun
 
 
 def _with_json_product(df: DataFrame) -> DataFrame:
-    """Adds ``_json``: text fields of the first top-level Product object, or nulls."""
-
-    def tops(doc: Column) -> Column:
-        return F.when(J.is_array(doc), J.items(doc)).otherwise(F.array(doc))
-
-    df = _with_documents(df, likely="Product")
-    df = staged(df, _tops=F.flatten(F.transform("_docs", tops)))
-    df = staged(df, _nodes=F.transform("_tops", J.members))
-    products = F.filter("_nodes", lambda es: J.is_type(es, "Product"))
-    df = staged(df, _es=F.get(products, F.lit(0)))
-    es = F.col("_es")
-    offers, stars = J.members(J.member(es, "offers")), J.members(J.member(es, "aggregateRating"))
+    """Adds ``_json``: text fields of the first top-level Product object, or blanks."""
+    df = _with_documents(df, "Product")
+    tops = f"if({J.is_array('d')}, {J.items('d')}, array(d))"
+    df = staged(df, _tops=f"flatten(transform(_docs, d -> {tops}))")
+    df = staged(df, _nodes=f"transform(_tops, d -> {J.members('d')})")
+    df = staged(df, _es=f"get(filter(_nodes, es -> {J.is_type('es', 'Product')}), 0)")
+    offers, stars = (J.members(J.member("_es", k)) for k in ("offers", "aggregateRating"))
     df = staged(
         df,
-        _parts=F.struct(
-            J.member(es, "name").alias("title"),
-            J.member(es, "category").alias("category"),
-            J.member(offers, "price").alias("price"),
-            J.member(offers, "priceCurrency").alias("currency"),
-            J.member(stars, "ratingValue").alias("rating"),
-            J.member(stars, "reviewCount").alias("review_count"),
-        ),
-    )
-    known = F.col("_es").isNotNull()
-    return staged(df, _json=F.struct(
-            *[
-                F.when(known, X.normalize_space(J.text_of(F.col("_parts")[name])))
-                .otherwise(F.lit(""))
-                .alias(name)
-                for name in _JSON_FIELDS
-            ]
-        ),
+        _v_title=J.member("_es", "name"),
+        _v_category=J.member("_es", "category"),
+        _v_price=J.member(offers, "price"),
+        _v_currency=J.member(offers, "priceCurrency"),
+        _v_rating=J.member(stars, "ratingValue"),
+        _v_review_count=J.member(stars, "reviewCount"),
     )
+    texts = {f: X.normalize_space_sql(J.text_of(f"_v_{f}")) for f in _JSON_FIELDS}
+    return staged(df, _json=P.struct(**texts))
 
 
-def canonical_href(html: Column) -> Column:
-    """href of the first canonical link of a page, null when there is none."""
-    tags = F.filter(
-        M.start_tags(html),
-        lambda t: t.rlike(r"(?i)^<link[\s/]")
-        & F.array_contains(
-            F.split(M.attribute(t, "rel"), r"\s+"), "canonical"
-        ),
-    )
-    href = M.attribute(F.get(tags, F.lit(0)), "href")
-    return F.when(html.contains("canonical"), X.blank_to_null(href))
+def canonical_href(html: str) -> str:
+    """href of the first canonical link of a page, as written; '' when there is none."""
+    rel = f"split({M.raw_attribute('t', 'rel')}, {X.literal(r'\s+')})"
+    is_link = f"t rlike {X.literal(r'(?i)^<link[\s/]')} AND array_contains({rel}, 'canonical')"
+    first = f"get(filter({M.start_tags(html)}, t -> {is_link}), 0)"
+    href = f"coalesce({M.raw_attribute(first, 'href')}, '')"
+    return f"if(contains({html}, 'canonical'), {href}, '')"
 
 
 def products(pages: DataFrame, source_url: str = "request_url") -> DataFrame:
     """One row per page: the ten product columns and ``is_mobile``."""
     keep = [c for c in _keep(pages, "html") if c not in S.PRODUCT_COLUMNS]
-    html, json = F.col("html"), F.col("_json")
     df = _with_json_product(pages)
-    blank = (json["title"] == "") | (json["rating"] == "") | (json["review_count"] == "")
+    blank = "(_json.title = '' OR _json.rating = '' OR _json.review_count = '')"
     df = _with_marks(
         df, blank, S.PRODUCT_TITLE + S.PRODUCT_RATING + S.PRODUCT_REVIEW_COUNT + _PAGE_TITLE
     )
-    marks = F.col("_marks")
-    df = staged(df, _href=canonical_href(html))
-    df = staged(df, _url=F.when(F.col("_href").isNotNull(), canonical_product_url(F.col("_href"))).otherwise(
-            F.col(source_url)
-        ),
-    )
+    df = staged(df, _href=canonical_href("html"))
+    df = staged(df, _href_text=M.unescape("_href"))
+    html, shown = F.col("html"), _shown_texts()
+    url = F.when(
+        F.col("_href_text") != "", canonical_product_url(F.col("_href_text"))
+    ).otherwise(F.col(source_url))
     df = df.select(
         *keep,
-        F.coalesce(
-            X.blank_to_null(extract_product_id(F.col("_url"))),
-            X.blank_to_null(X.first_match(html, "productId")),
-            surrogate_id(F.col("_url")),
-        ).alias("product_id"),
-        F.col("_url").alias("product_url"),
-        X.first_nonblank(
-            json["title"],
-            P.first_in_order(marks, S.PRODUCT_TITLE),
-            P.first_in_order(marks, _PAGE_TITLE),
-        ).alias("title"),
-        json["price"].alias("price"),
-        json["currency"].alias("currency"),
-        X.first_nonblank(json["rating"], P.first_in_order(marks, S.PRODUCT_RATING)).alias("rating"),
-        X.first_nonblank(
-            json["review_count"],
-            X.count_in_text(P.first_in_order(marks, S.PRODUCT_REVIEW_COUNT)),
-        ).alias("review_count"),
-        X.first_nonblank(json["category"], X.first_match(html, "category")).alias("category"),
+        url.alias("product_url"),
+        F.expr(X.first_nonblank_sql("_json.title", *shown["title"])).alias("title"),
+        F.expr("_json.price").alias("price"),
+        F.expr("_json.currency").alias("currency"),
+        F.expr(X.first_nonblank_sql("_json.rating", *shown["rating"])).alias("rating"),
+        F.col("_json.review_count").alias("_json_count"),
+        F.expr(shown["review_count"][0]).alias("_count_text"),
+        X.first_nonblank(F.col("_json.category"), X.first_match(html, "category")).alias("category"),
         X.first_match(html, "superCategory").alias("super_category"),
         X.first_match(html, "subCategory").alias("sub_category"),
+        X.first_match(html, "productId").alias("_page_id"),
     )
-    return df.withColumn(
-        "is_mobile",
-        classify_product(*[F.col(c) for c in ("title", "category", "super_category", "sub_category")]),
+    named = ("title", "category", "super_category", "sub_category")
+    return df.select(
+        *keep,
+        F.coalesce(
+            X.blank_to_null(extract_product_id(F.col("product_url"))),
+            X.blank_to_null(F.col("_page_id")),
+            surrogate_id(F.col("product_url")),
+        ).alias("product_id"),
+        "product_url",
+        *("title", "price", "currency", "rating"),
+        X.first_nonblank(F.col("_json_count"), X.count_in_text(F.col("_count_text"))).alias(
+            "review_count"
+        ),
+        *("category", "super_category", "sub_category"),
+        classify_product(*[F.col(c) for c in named]).alias("is_mobile"),
     )
 
 
+def _shown_texts() -> dict[str, list[str]]:
+    """Texts that the markup shows, by column, in order of preference."""
+    return {
+        "title": [P.first_in_order("_marks", s) for s in (S.PRODUCT_TITLE, _PAGE_TITLE)],
+        "rating": [P.first_in_order("_marks", S.PRODUCT_RATING)],
+        "review_count": [P.first_in_order("_marks", S.PRODUCT_REVIEW_COUNT)],
+    }
+
+
 # --- links ------------------------------------------------------------------------
 
 
@@ -345,25 +299,20 @@ def link_lists(
     base_url: str = "final_url",
 ) -> DataFrame:
     """One row per page with ``links``: sorted distinct canonical product links."""
-    html, none = F.col("html"), F.array().cast("array<string>")
-    hrefs = F.transform(
-        F.filter(M.start_tags(html), lambda t: t.rlike(r"(?i)^<a[\s/]")),
-        lambda t: M.attribute(t, "href"),
-    )
-    marked = F.filter(hrefs, lambda h: h.contains(marker))
+    anchors = f"filter({M.start_tags('html')}, t -> t rlike {X.literal(r'(?i)^<a[\s/]')})"
     # An entity may hide the marker, so pages with numeric entities are read too.
-    likely = html.contains(marker) | html.contains("&#")
-    df = staged(pages, _hrefs=F.when(likely, marked).otherwise(none))
-    df = staged(df, _hrefs=F.array_distinct(
-            F.filter(F.transform("_hrefs", X.normalize_space), lambda h: h != "")
-        ),
-    )
-    df = staged(df, _base=url_parts(F.col(base_url)))
-    df = staged(df, _split=F.transform("_hrefs", lambda h: F.struct(h.alias("h"), url_parts(h).alias("p")))
+    likely = f"contains(html, {X.literal(marker)}) OR contains(html, '&#')"
+    df = staged(pages, _anchors=f"if({likely}, {anchors}, CAST(array() AS ARRAY<STRING>))")
+    df = staged(df, _hrefs=M.attribute_list("_anchors", "href"))
+    marked = f"filter(_hrefs, h -> contains(h, {X.literal(marker)}))"
+    df = staged(df, _paths=f"array_distinct(transform({marked}, h -> {X.normalize_space_sql('h')}))")
+    df = df.withColumn("_base", url_parts(F.col(base_url)))
+    links = F.transform(
+        "_paths", lambda h: resolve_parts(F.col("_base"), url_parts(h), h)
     )
-    df = staged(df, _full=F.transform("_split", lambda x: resolve_parts(F.col("_base"), x["p"], x["h"]))
-    )
-    df = staged(df, _urls=F.array_distinct(F.transform("_full", canonical_product_url)))
+    df = df.select("*", F.explode(F.array(links)).alias("_full"))
+    urls = F.array_distinct(F.transform("_full", canonical_product_url))
+    df = df.select("*", F.explode(F.array(urls)).alias("_urls"))
     kept = F.filter("_urls", lambda u: is_product_link(u, domain, marker, exact_domain))
     return df.select(*_keep(pages, "html"), F.sort_array(kept).alias("links"))
 
@@ -371,37 +320,34 @@ def link_lists(
 def product_links(pages: DataFrame, domain: str, **options) -> DataFrame:
     """One row per page and link; ``link_no`` counts the sorted links of a page."""
     lists = link_lists(pages, domain, **options)
-    return lists.select(*_keep(lists, "links"), F.posexplode("links").alias("link_no", "link"))
+    return lists.selectExpr(*_keep(lists, "links"), "posexplode(links) AS (link_no, link)")
 
 
 # --- elements ---------------------------------------------------------------------
 
 
+_CLASS = "coalesce(attrs['class'], '')"
+
+
 def elements(pages: DataFrame) -> DataFrame:
     """One row per HTML element: ``node_id``, ``end_id``, ``parent_id``, tag, attributes.
 
     ``x`` lies inside ``b`` iff ``x.node_id > b.node_id AND x.node_id < b.end_id``.
     """
     keep = _keep(pages, "html")
-    df = staged(pages, _toks=M.tokens(F.col("html")))
-    df = staged(df, _tags=M.tags(F.col("_toks")))
-    df = staged(df, _spans=M.spans(F.col("_tags"), F.size("_toks")))
-    df = staged(df, _els=F.transform(
-            "_spans", lambda e: F.struct(e["pos"], e["end"], e["parent"], e["tag"], F.get("_toks", e["pos"]).alias("token"))
-        ),
-    )
-    rows = df.select(*keep, F.explode("_els").alias("_e"))
-    rows = rows.withColumn("_attrs", M.attributes(F.col("_e.token")))
-    names = F.transform("_attrs", lambda a: a["k"])
-    attrs = F.filter(
-        "_attrs", lambda a, i: ~F.array_contains(F.slice(names, i + 2, F.size("_attrs")), a["k"])
-    )
-    return rows.select(
-        *keep,
-        F.col("_e.pos").alias("node_id"),
-        F.col("_e.end").alias("end_id"),
-        F.col("_e.parent").alias("parent_id"),
-        F.col("_e.tag").alias("tag"),
-        M.classes(F.col("_e.token")).alias("classes"),
-        F.map_from_entries(attrs).alias("attrs"),
+    df = staged(pages, _toks=M.tokens("html"))
+    df = staged(df, _tags=M.tags("_toks"))
+    df = staged(df, _spans=M.spans("_tags", "size(_toks)"))
+    token = P.struct(
+        node_id="e.pos", end_id="e.end", parent_id="e.parent", tag="e.tag",
+        token="get(_toks, e.pos)",
+    )
+    rows = df.selectExpr(*keep, f"inline(transform(_spans, e -> {token}))")
+    rows = staged(rows, _read=M.attributes("token"))
+    names = "transform(_read, a -> a.k)"
+    last = f"filter(_read, (a, i) -> NOT array_contains(slice({names}, i + 2, size(_read)), a.k))"
+    rows = staged(rows, attrs=f"map_from_entries({last})")
+    columns = ("node_id", "end_id", "parent_id", "tag")
+    return rows.selectExpr(
+        *keep, *columns, f"{M.class_list(_CLASS)} AS classes", "attrs"
     )
