@@ -216,7 +216,7 @@ def event_review_pages(spark: SparkSession, sf: str) -> DataFrame:
     days = rows.select("user_id").distinct().withColumn(
         "page_no", F.explode(F.sequence(F.lit(1), F.lit(_DAYS)))
     )
-    pages = days.join(filled, ["user_id", "page_no"], "left")
+    pages = R.many_tasks(days.join(filled, ["user_id", "page_no"], "left"))
     user = F.lpad(F.col("user_id").cast("string"), 9, "0")
     body = F.when(F.col("reviews").isNull(), F.lit("")).otherwise(R.jsonld(F.col("reviews")))
     return pages.select(

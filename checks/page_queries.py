@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import render as R
@@ -83,16 +83,14 @@ _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
 
 @query(f"""
-SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY link) - 1 AS link_no
-FROM (SELECT DISTINCT page_id, 'https://' || lower({_HOST})
+SELECT page_id, link FROM (SELECT DISTINCT page_id, 'https://' || lower({_HOST})
         || regexp_replace(regexp_extract(href, '^[^?#]*'), '([^/])/+$', '\\1') AS link
   FROM (SELECT page_id, url, unnest(regexp_extract_all({_NO_SCRIPT}, '<a href="([^"]*)"', 1)) AS href
         FROM pages))
 """)
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
     pages = as_landed(R.table(spark, sf, "pages")).select("page_id", "final_url", "html")
-    links = P.product_links(pages, "example.", marker="/").drop("final_url")
-    return links.withColumn("link_no", F.col("link_no").cast("long"))
+    return P.product_links(pages, "example.", marker="/").drop("final_url")
 
 
 @query("""
@@ -120,8 +118,6 @@ def element_tree(spark: SparkSession, sf: str) -> DataFrame:
     items = found.filter("tag = 'li'").select("page_id", F.col("node_id").alias("parent_id"), "tag")
     links = found.filter("tag = 'a'").select("page_id", "parent_id", "node_id", F.col("attrs")["href"].alias("href"))
     rows = links.join(items, ["page_id", "parent_id"])
-    # A page has few links, so the window stays within one page.
-    from pyspark.sql import Window
-
+    # The window stays within one page.
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")) - 1
     return rows.select("page_id", "tag", place.cast("long").alias("place"), "href")

@@ -8,12 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitefold.sources.pages import spread
+
 SITE = "https://www.shop.example"
 DOMAIN = "shop.example"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+
+
+def many_tasks(df: DataFrame) -> DataFrame:
+    """Render on all cores even where the table is small."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def escape_html(text: Column) -> Column:
@@ -157,7 +164,7 @@ def review_pages(spark: SparkSession, sf: str, kind: str = "json") -> DataFrame:
             html_page(F.lit("<body>"), blocks)
         ),
     }[kind]
-    return page.select(
+    return many_tasks(page).select(
         "conv_id", "product_url", "page_no", F.lit(200).alias("status"), html.alias("html")
     )
 

@@ -204,12 +204,21 @@ def extract_pid(url: Column) -> Column:
     return F.coalesce(_query_id(u), blank_to_null(code), F.lit(UNKNOWN_ID))
 
 
+def _id_in_path(url: Column, path: Column) -> Column:
+    segment = find(path, r"/p/([^/?#]+)", 1)
+    code = find(url, r"(?U)\b([A-Z0-9]{10,20})\b", 1)
+    return F.coalesce(blank_to_null(segment), code)
+
+
 def extract_product_id(url: Column) -> Column:
     """Catalog-side id: ``pid`` value, else segment after /p/, else a code, else ''."""
     u = _clean(url)
-    segment = find(path_of(u), r"/p/([^/?#]+)", 1)
-    code = find(url, r"(?U)\b([A-Z0-9]{10,20})\b", 1)
-    return F.coalesce(_query_id(u), blank_to_null(segment), code)
+    return F.coalesce(_query_id(u), _id_in_path(url, path_of(u)))
+
+
+def canonical_product_id(url: Column) -> Column:
+    """The same for a canonical product URL, which has neither query nor params."""
+    return _id_in_path(url, full_path_of(url))
 
 
 def surrogate_id(url: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefold.functions.text import in_page_review_key, review_key
-from sitefold.functions.urls import canonicalize_url, extract_product_id
+from sitefold.functions.urls import canonical_product_id, canonicalize_url
 
 
 def _columns(names: str | Column | Sequence) -> list[Column]:
@@ -57,7 +57,7 @@ def dedupe_urls(urls: DataFrame, url: str = "url", order: str = "ordinal") -> Da
 
 def candidate_key(url: Column) -> Column:
     """Product id of a canonical URL, or the URL; tagged so that the two never meet."""
-    product_id = extract_product_id(url)
+    product_id = canonical_product_id(url)
     return F.when(product_id != "", F.concat(F.lit("i:"), product_id)).otherwise(
         F.concat(F.lit("u:"), url)
     )

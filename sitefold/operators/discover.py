@@ -16,7 +16,7 @@ from sitefold.functions.classify import expands, is_blocked, is_candidate_url
 from sitefold.functions.text import normalize_space
 from sitefold.functions.urls import canonical_product_url, path_of
 from sitefold.operators.dedupe import candidate_key, first_per_key, first_rows, limit_shards
-from sitefold.operators.parse_pages import link_lists
+from sitefold.operators.parse_pages import page_hrefs, resolve_links
 from sitefold.operators.stops import search_cutoff
 from sitefold.session import is_small, ordered_ids, settle, text_bytes
 from sitefold.settings import CatalogOptions
@@ -49,16 +49,19 @@ def search_candidates(pages: DataFrame, options: CatalogOptions) -> DataFrame:
         & ~F.coalesce(F.col("status").isin(*S.STATUS_UNAVAILABLE), F.lit(True))
     )
     flagged = pages.withColumn("blocked", is_blocked(F.col("status"), F.col("html")))
-    links = link_lists(flagged, options.domain, exact_domain=options.exact_domain)
-    read = search_cutoff(links.drop("status", "final_url"))
-    found = read.select(
+    # Settled without html: the walls and the links both read it.
+    hrefs = settle(page_hrefs(flagged.drop("status")), "search-pages")
+    links = resolve_links(
+        search_cutoff(hrefs), options.domain, exact_domain=options.exact_domain
+    )
+    found = links.select(
         "search_ord",
         "page_no",
-        F.posexplode("links").alias("link_no", "product_url"),
+        F.col("link").alias("product_url"),
         F.col("search_url").alias("source_sitemap"),
         F.concat(F.lit("search_page_"), F.col("page_no").cast("string")).alias("sitemap_lastmod"),
     ).filter(wanted_url(F.col("product_url"), options))
-    return _finish(found, ["search_ord", "page_no", "link_no"], options, "search-candidates")
+    return _finish(found, ["search_ord", "page_no", "product_url"], options, "search-candidates")
 
 
 def sitemap_candidates(
@@ -98,20 +101,23 @@ def reached_shard_limit(shards: DataFrame, options: CatalogOptions) -> bool:
 
 
 def link_edges(pages: DataFrame, options: CatalogOptions) -> DataFrame:
-    """Wanted product links of pages the traversal may expand: (src, link_no, dst).
+    """Wanted product links of pages the traversal may expand: (src, dst, key of dst).
 
     Settled once, since each traversal step reads it.
     """
-    # The wall flag rides along instead of filtering first, so html is read once.
+    # html is blanked rather than filtered: a pushed-down filter would read it twice.
+    closed = ~expands(F.col("status"), F.col("html"))
     open_pages = pages.select(
         F.col("request_url").alias("src"),
         "final_url",
-        "html",
-        expands(F.col("status"), F.col("html")).alias("open"),
+        F.when(closed, F.lit("")).otherwise(F.col("html")).alias("html"),
+    )
+    links = resolve_links(
+        page_hrefs(open_pages), options.domain, exact_domain=options.exact_domain
     )
-    lists = link_lists(open_pages, options.domain, exact_domain=options.exact_domain)
-    edges = lists.filter("open").select("src", F.posexplode("links").alias("link_no", "dst"))
-    return settle(edges.filter(wanted_url(F.col("dst"), options)), "link-edges")
+    edges = links.select("src", F.col("link").alias("dst"))
+    wanted = edges.filter(wanted_url(F.col("dst"), options))
+    return settle(wanted.withColumn("_key", candidate_key(F.col("dst"))), "link-edges")
 
 
 def seed_candidates(pages: DataFrame, seeds: DataFrame, options: CatalogOptions) -> DataFrame:
@@ -128,7 +134,7 @@ def seed_candidates(pages: DataFrame, seeds: DataFrame, options: CatalogOptions)
     ).filter(
         path_of(F.col("product_url")).contains(S.PRODUCT_PATH_MARKER)
         & wanted_url(F.col("product_url"), options)
-    )
+    ).withColumn("_key", candidate_key(F.col("product_url")))
     edges = link_edges(pages, options)
     levels: list[DataFrame] = []
     found, total = start, 0
@@ -149,6 +155,7 @@ def seed_candidates(pages: DataFrame, seeds: DataFrame, options: CatalogOptions)
             "_from",
             F.col("dst").alias("product_url"),
             F.col("src").alias("source_sitemap"),
+            "_key",
         )
     if not levels:
         return level.select(*CANDIDATE_COLUMNS)
@@ -160,8 +167,7 @@ def seed_candidates(pages: DataFrame, seeds: DataFrame, options: CatalogOptions)
 
 def _new_level(found: DataFrame, levels: list[DataFrame], depth: int) -> DataFrame:
     """First arrivals that no earlier level reached, numbered in queue order."""
-    keyed = found.withColumn("_key", candidate_key(F.col("product_url")))
-    fresh = first_per_key(keyed, "_key", ["_from", "product_url"])
+    fresh = first_per_key(found, "_key", ["_from", "product_url"])
     if levels:
         reached = reduce(DataFrame.unionByName, [x.select("_key") for x in levels])
         fresh = fresh.join(reached, "_key", "left_anti")

@@ -291,36 +291,47 @@ def _shown_texts() -> dict[str, list[str]]:
 # --- links ------------------------------------------------------------------------
 
 
-def link_lists(
-    pages: DataFrame,
-    domain: str,
-    marker: str = S.PRODUCT_PATH_MARKER,
-    exact_domain: bool = False,
-    base_url: str = "final_url",
-) -> DataFrame:
-    """One row per page with ``links``: sorted distinct canonical product links."""
+def page_hrefs(pages: DataFrame, marker: str = S.PRODUCT_PATH_MARKER) -> DataFrame:
+    """One row per page with ``hrefs``: distinct link texts that hold the marker."""
     anchors = f"filter({M.start_tags('html')}, t -> t rlike {X.literal(r'(?i)^<a[\s/]')})"
     # An entity may hide the marker, so pages with numeric entities are read too.
     likely = f"contains(html, {X.literal(marker)}) OR contains(html, '&#')"
     df = staged(pages, _anchors=f"if({likely}, {anchors}, CAST(array() AS ARRAY<STRING>))")
     df = staged(df, _hrefs=M.attribute_list("_anchors", "href"))
     marked = f"filter(_hrefs, h -> contains(h, {X.literal(marker)}))"
-    df = staged(df, _paths=f"array_distinct(transform({marked}, h -> {X.normalize_space_sql('h')}))")
-    df = df.withColumn("_base", url_parts(F.col(base_url)))
-    links = F.transform(
-        "_paths", lambda h: resolve_parts(F.col("_base"), url_parts(h), h)
+    trimmed = f"transform({marked}, h -> {X.normalize_space_sql('h')})"
+    return df.selectExpr(*_keep(pages, "html"), f"array_distinct({trimmed}) AS hrefs")
+
+
+def resolve_links(
+    hrefs: DataFrame,
+    domain: str,
+    marker: str = S.PRODUCT_PATH_MARKER,
+    exact_domain: bool = False,
+    base_url: str = "final_url",
+) -> DataFrame:
+    """One row per page and product link on the site, canonical, as ``link``.
+
+    Row by row in generated code; two link texts of a page may lead to one link.
+    """
+    keep = _keep(hrefs, "hrefs")
+    rows = hrefs.withColumn("_base", url_parts(F.col(base_url))).select(
+        *keep, "_base", F.explode("hrefs").alias("_href")
     )
-    df = df.select("*", F.explode(F.array(links)).alias("_full"))
-    urls = F.array_distinct(F.transform("_full", canonical_product_url))
-    df = df.select("*", F.explode(F.array(urls)).alias("_urls"))
-    kept = F.filter("_urls", lambda u: is_product_link(u, domain, marker, exact_domain))
-    return df.select(*_keep(pages, "html"), F.sort_array(kept).alias("links"))
+    rows = rows.withColumn("_parts", url_parts(F.col("_href")))
+    full = resolve_parts(F.col("_base"), F.col("_parts"), F.col("_href"))
+    # One-item explodes, see ``staged``: a filter on the link must not repeat its making.
+    rows = rows.select(*keep, F.explode(F.array(full)).alias("_full"))
+    link = canonical_product_url(F.col("_full"))
+    rows = rows.select(*keep, F.explode(F.array(link)).alias("link"))
+    return rows.filter(is_product_link(F.col("link"), domain, marker, exact_domain))
 
 
-def product_links(pages: DataFrame, domain: str, **options) -> DataFrame:
-    """One row per page and link; ``link_no`` counts the sorted links of a page."""
-    lists = link_lists(pages, domain, **options)
-    return lists.selectExpr(*_keep(lists, "links"), "posexplode(links) AS (link_no, link)")
+def product_links(
+    pages: DataFrame, domain: str, marker: str = S.PRODUCT_PATH_MARKER, **options
+) -> DataFrame:
+    """Distinct product links of each page; their order is that of the text."""
+    return resolve_links(page_hrefs(pages, marker), domain, marker, **options).distinct()
 
 
 # --- elements ---------------------------------------------------------------------
