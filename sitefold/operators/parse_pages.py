@@ -349,10 +349,12 @@ def elements(pages: DataFrame) -> DataFrame:
     df = staged(pages, _toks=M.tokens("html"))
     df = staged(df, _tags=M.tags("_toks"))
     df = staged(df, _spans=M.spans("_tags", "size(_toks)"))
+    # A script or style is one token with its content; only its start tag has attributes.
+    whole = "get(_toks, e.pos)"
+    start = f"if(e.tag IN ({X.literals(M.RAW_TAGS)}), {M.open_tag(whole)}, {whole})"
     token = P.struct(
-        node_id="e.pos", end_id="e.end", parent_id="e.parent", tag="e.tag",
-        token="get(_toks, e.pos)",
-    )
+        node_id="e.pos", end_id="e.end", parent_id="e.parent", tag="e.tag", token=start
+    )
     rows = df.selectExpr(*keep, f"inline(transform(_spans, e -> {token}))")
     rows = staged(rows, _read=M.attributes("token"))
     names = "transform(_read, a -> a.k)"
