@@ -172,8 +172,7 @@ def review_pages(spark: SparkSession, sf: str, kind: str = "json") -> DataFrame:
 def graph_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as product pages that link to two others; some pages are walls."""
     customer = table(spark, sf, "customer")
-    n = customer.agg(F.count("*").alias("n"))
-    rows = customer.join(F.broadcast(n))  # one row
+    n = customer.count()
     key = F.col("c_custkey")
 
     def link(k: Column) -> Column:
@@ -182,15 +181,15 @@ def graph_pages(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     url = product_url(key)
-    return rows.select(
+    return customer.select(
         "c_custkey",
         url.alias("request_url"),
         url.alias("final_url"),
         F.when(key % 11 == 5, 500).otherwise(200).alias("status"),
         F.concat(
             F.lit("<body><!-- <a href='/mobile-phone/p/itm0'> -->"),
-            link(key * 2 % F.col("n")),
-            link((key * 3 + 1) % F.col("n")),
+            link(key * 2 % n),
+            link((key * 3 + 1) % n),
             F.lit('<a href="https://other.example/p/itm1">x</a></body>'),
         ).alias("html"),
     )

@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.text import in_page_review_key, review_key
 from sitefold.functions.urls import canonical_product_id, canonicalize_url
+from sitefold.session import ordered_ids, settle
+
+# Most rows that one task may collect for a limit.
+TOP_LIMIT = 100_000
+# monotonically_increasing_id: partition number above, row number in the low bits.
+_ROW_BITS = 33
 
 
 def _columns(names: str | Column | Sequence) -> list[Column]:
@@ -89,9 +95,31 @@ def only_new(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return df.join(seen.select(key), key, "left_anti")
 
 
-def first_rows(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
-    """The first ``n`` rows in the given order; every task sends at most ``n`` rows."""
-    return df.orderBy(*order).limit(n)
+def first_in_order(
+    df: DataFrame, n: int, *order: str | Column, name: str = "ordinal", top_limit: int = TOP_LIMIT
+) -> DataFrame:
+    """The first ``n`` rows in the given order, numbered by a rising ``name``.
+
+    Up to ``top_limit`` rows, every task sends its first ``n`` rows to one task. Beyond
+    that the rows are sorted across all tasks, and the cut follows from the row counts
+    of the sorted partitions, so no task sees more than its share.
+    """
+    if n <= top_limit:
+        top = df.orderBy(*order).limit(n)
+        return top.withColumn(name, F.monotonically_increasing_id())
+    placed = settle(ordered_ids(df, *order, name=name), "ordered-rows")
+    part = F.shiftright(name, _ROW_BITS)
+    left = n
+    for row in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        if left < row["count"]:
+            return placed.filter(F.col(name) < (row["part"] << _ROW_BITS) + left)
+        left -= row["count"]
+    return placed
+
+
+def first_rows(df: DataFrame, n: int, *order: str | Column, **options) -> DataFrame:
+    """The first ``n`` rows in the given order."""
+    return first_in_order(df, n, *order, name="_place", **options).drop("_place")
 
 
 def limit_shards(shards: DataFrame, max_shards: int) -> DataFrame:

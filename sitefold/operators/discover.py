@@ -15,7 +15,7 @@ from sitefold import settings as S
 from sitefold.functions.classify import expands, is_blocked, is_candidate_url
 from sitefold.functions.text import normalize_space
 from sitefold.functions.urls import canonical_product_url, path_of
-from sitefold.operators.dedupe import candidate_key, first_per_key, first_rows, limit_shards
+from sitefold.operators.dedupe import candidate_key, first_in_order, first_per_key, limit_shards
 from sitefold.operators.parse_pages import page_hrefs, resolve_links
 from sitefold.operators.stops import search_cutoff
 from sitefold.session import is_small, ordered_ids, settle, text_bytes
@@ -34,8 +34,8 @@ def wanted_url(url: Column, options: CatalogOptions) -> Column:
 def _finish(found: DataFrame, order: list[str], options: CatalogOptions, name: str) -> DataFrame:
     """First-wins on URL and id, the first ``max_candidates``, ordinals in that order."""
     keyed = found.withColumn("_key", candidate_key(F.col("product_url")))
-    kept = first_rows(first_per_key(keyed, "_key", order), options.max_candidates, *order)
-    numbered = kept.withColumn("ordinal", F.monotonically_increasing_id())
+    firsts = first_per_key(keyed, "_key", order)
+    numbered = first_in_order(firsts, options.max_candidates, *order)
     return settle(numbered.select(*CANDIDATE_COLUMNS), name)
 
 
@@ -160,8 +160,8 @@ def seed_candidates(pages: DataFrame, seeds: DataFrame, options: CatalogOptions)
     if not levels:
         return level.select(*CANDIDATE_COLUMNS)
     reached = reduce(DataFrame.unionByName, levels)
-    ordered = first_rows(reached, options.max_candidates, "_depth", "ordinal")
-    numbered = ordered.withColumn("ordinal", F.monotonically_increasing_id())
+    reached = reached.withColumnRenamed("ordinal", "_place")
+    numbered = first_in_order(reached, options.max_candidates, "_depth", "_place")
     return settle(numbered.select(*CANDIDATE_COLUMNS), "seed-candidates")
 
 

@@ -60,7 +60,7 @@ def decide(
         kept = kept & F.col("is_mobile")
     df = parsed.withColumn("_kept", kept)
     if seen is not None:
-        known = seen.select("product_id", F.lit(True).alias("_known"))
+        known = seen.select("product_id").distinct().withColumn("_known", F.lit(True))
         df = df.join(known, "product_id", "left")
     else:
         df = df.withColumn("_known", F.lit(None).cast("boolean"))

@@ -28,6 +28,11 @@ def review_counts(reviews: DataFrame) -> DataFrame:
 
 def review_totals(reviews: DataFrame, products: DataFrame) -> DataFrame:
     """One row: reviews written, products failed. ``products`` carries ``outcome``."""
-    total = reviews.agg(F.count("*").alias("total_reviews"))
-    failed = products.agg(F.count_if(F.col("outcome") == "failed").alias("failed_products"))
-    return total.join(failed)
+    written = reviews.agg(F.count("*").alias("total_reviews"), F.lit(0).alias("failed_products"))
+    failed = products.filter("outcome = 'failed'").agg(
+        F.lit(0).alias("total_reviews"), F.count("*").alias("failed_products")
+    )
+    return written.unionByName(failed).agg(
+        F.sum("total_reviews").alias("total_reviews"),
+        F.sum("failed_products").alias("failed_products"),
+    )

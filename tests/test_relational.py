@@ -88,6 +88,16 @@ def test_page_limit(spark):
     assert (row.last_page, row.stopped) == (10, False)
 
 
+@pytest.mark.parametrize("n", [1, 7, 50, 99, 100, 500])
+def test_first_rows_beyond_the_one_task_limit(spark, n):
+    rows = spark.range(100).select(F.col("id"), (99 - F.col("id")).alias("o")).repartition(5)
+    one_task = D.first_rows(rows, n, "o")
+    spread = D.first_rows(rows, n, "o", top_limit=0)
+    assert sorted(r.id for r in spread.collect()) == sorted(r.id for r in one_task.collect())
+    ids = D.first_in_order(rows, n, "o", top_limit=0).orderBy("ordinal").select("o").collect()
+    assert [r.o for r in ids] == list(range(min(n, 100)))
+
+
 # --- discovery --------------------------------------------------------------------
 
 SITE = "https://www.h.com/mobile/p/"
