@@ -12,6 +12,8 @@ nothing, and what is still open at the end of the page ends there.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from sitefold.functions.text import literal, literals, normalize_space_sql
 
 # Elements that never have content.
@@ -24,11 +26,8 @@ VOID_TAGS = (
 # Elements whose content is not markup.
 RAW_TAGS = ("script", "style")
 
-# Entities decoded in text and attributes besides numeric ones.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&amp;", "&"),
-)
+# Named entities: the HTML 4 set of the standard library, and the XML apostrophe.
+ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
 
 _TAG_REST = r"""[^\s/>]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>))|[^=>])*+>"""
 _COMMENT = r"<!--[\s\S]*?-->"
@@ -55,7 +54,7 @@ _FOLD_CHUNK = 256
 
 
 def unescape(text: str) -> str:
-    """Decode numeric entities and the common named ones; '&amp;' last.
+    """Decode numeric and named entities in one pass; unknown ones stay as they are.
 
     ``text`` is written several times, so it should be a plain name.
     """
@@ -67,14 +66,14 @@ def unescape(text: str) -> str:
         f"if({number} BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343,"
         f" decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32'), '\\uFFFD')"
     )
-    parts = literal(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?|&|[^&]++")
-    out = (
-        f"if(contains({text}, '&#'), array_join(transform(regexp_extract_all({text}, {parts}, 0),"
-        f" p -> if(startswith(p, '&#'), {point}, p)), ''), {text})"
+    names = ", ".join(f"'{name}', {literal(char)}" for name, char in ENTITIES.items())
+    named = f"try_element_at(map({names}), regexp_extract(p, '^&([a-zA-Z0-9]+)', 1))"
+    parts = literal(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?|&[a-zA-Z][a-zA-Z0-9]*+;?|&|[^&]++")
+    return (
+        f"if(contains({text}, '&'), array_join(transform(regexp_extract_all({text}, {parts}, 0),"
+        f" p -> CASE WHEN startswith(p, '&#') THEN {point}"
+        f" WHEN startswith(p, '&') THEN coalesce({named}, p) ELSE p END), ''), {text})"
     )
-    for name, char in ENTITIES:
-        out = f"replace({out}, '{name}', {literal(char)})"
-    return f"if(contains({text}, '&'), {out}, {text})"
 
 
 def _all_matches(text: str, pattern: str, group: int = 0) -> str:

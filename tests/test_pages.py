@@ -80,6 +80,12 @@ def test_elements_against_standard_parser(spark):
         assert got[i] == want, page
 
 
+def test_entities(one):
+    text = "a &amp;lt; &#38;lt; &rsquo;&eacute;&nbsp;&hellip; AT&T &copy 1 &#x1F600; &#0; &no; &"
+    want = "a &lt; &lt; ’é\xa0… AT&T © 1 😀 � &no; &"
+    assert one(F.expr(M.unescape("s")), text) == want
+
+
 def test_parents(spark):
     frame = spark.createDataFrame([("<ul><li>a<li>b</ul><p>",)], "html string")
     rows = P.elements(frame).select("tag", "parent_id", "node_id").orderBy("node_id").collect()
