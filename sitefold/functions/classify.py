@@ -68,12 +68,6 @@ def expands(status: Column, html: Column) -> Column:
     return (status == S.STATUS_OK) & ~is_challenge_page(html)
 
 
-def is_review_block(text: Column) -> Column:
-    return (F.length(text) >= S.REVIEW_BLOCK_MIN_CHARS) & contains_any(
-        F.lower(text), S.REVIEW_BLOCK_WORDS
-    )
-
-
 def is_product_link(
     url: Column, domain: str, marker: str = S.PRODUCT_PATH_MARKER, exact_domain: bool = False
 ) -> Column:
