@@ -59,6 +59,41 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Settled data of one run, in a folder of its own below the shared folder.
+
+    ``drop`` removes what no later step reads, ``close`` all but the frames named in
+    ``keep`` (a lazy result still reads those; remove them with ``close()`` once it is written).
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = new_path(spark, name)
+        self.names: list[str] = []
+
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        self.names.append(name)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.folder}/{name}")
+            self.names.remove(name)
+
+    def close(self, keep: tuple[str, ...] = ()) -> None:
+        self.drop(*[n for n in self.names if n not in keep])
+        if not keep:
+            self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        # The folder may be in any store that Spark reaches, so its file system API is used.
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        target.getFileSystem(conf).delete(target, True)
+
+
 def text_bytes(*columns: Column) -> Column:
     return sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))
 
