@@ -1,6 +1,6 @@
 """Registry of the operators' queries; importing the query modules fills it."""
 
 from sitefold.llm.registry import ORACLES, QUERIES
-from sitefold.llm import query_dedup, query_filters, query_layout  # noqa: F401  (registers queries)
+from sitefold.llm import query_dedup, query_filters, query_layout, query_text  # noqa: F401  (registers queries)
 
 __all__ = ["ORACLES", "QUERIES"]
