@@ -41,9 +41,16 @@ def maybe_broadcast(side: DataFrame, row_bytes: Column | int) -> DataFrame:
     return F.broadcast(side) if is_small(side, size, SMALL_SIDE_BYTES) else side
 
 
-def join_key(docs: DataFrame, side: DataFrame, how: str, row_bytes: Column | int) -> DataFrame:
-    """Join keyed documents with a settled side on the document key, keeping one pair of keys."""
-    side = maybe_broadcast(side, row_bytes)
+def join_key(
+    docs: DataFrame, side: DataFrame, how: str, row_bytes: Column | int | None = None
+) -> DataFrame:
+    """Join keyed documents with a settled side on the document key, keeping one pair of keys.
+
+    ``row_bytes``: the side is usually small and may be broadcast if it measures small. Without,
+    it grows with the documents and both sides shuffle at every size.
+    """
+    if row_bytes is not None:
+        side = maybe_broadcast(side, row_bytes)
     joined = docs.join(side, on_key(docs, side), how)
     if how in ("left_anti", "left_semi"):
         return joined

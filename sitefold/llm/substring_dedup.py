@@ -215,12 +215,8 @@ def repeated_spans(docs: DataFrame, work: Workspace, k: int = 35, m: int = 12) -
         .agg(F.collect_list(span).alias("pieces")),
         "branching",
     )
-    edges = work.settle(
-        join_key(rows, branching, "inner", 24 + F.size("pieces") * 8).mapInArrow(
-            _edges(k), EDGES
-        ),
-        "edges",
-    )
+    # Expanded twice, for the counts and for the join: cheaper than keeping the edges on disk.
+    edges = join_key(rows, branching, "inner").mapInArrow(_edges(k), EDGES)
     twins = edges.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
     single = edges.join(twins, ["h1", "h2"]).select(
         "k_id", "k_hash", "start", F.lit(1).alias("n")
@@ -233,7 +229,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, k: int = 35, m: int = 12) -
         .agg(F.collect_list(span).alias("spans")),
         "spans",
     )
-    work.drop("found", "branching", "edges")
+    work.drop("found", "branching")
     return spans
 
 
@@ -241,6 +237,6 @@ def dedup_substrings(docs: DataFrame, k: int = 35, m: int = 12) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: texts without windows of k words that occur twice."""
     work = Workspace(docs.sparkSession, "substring_dedup")
     spans = repeated_spans(docs, work, k, m)
-    joined = join_key(keyed(docs), spans, "left", 24 + F.size("spans") * 8)
+    joined = join_key(keyed(docs), spans, "left")
     kept = joined.mapInArrow(_cut(k), KEPT)
     return kept.withColumnRenamed("k_id", "doc_id")
