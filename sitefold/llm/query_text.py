@@ -1,8 +1,11 @@
 """Queries of the operators that judge whole texts."""
 
+from pyspark.sql import functions as F
+
 from sitefold.llm.decontaminate import find_contamination
-from sitefold.llm.frames import table
+from sitefold.llm.frames import id_fold, table
 from sitefold.llm.registry import query
+from sitefold.llm.toxicity import fit, score_texts
 from sitefold.session import Workspace
 
 
@@ -14,3 +17,12 @@ def op4_decontaminate(spark, sf_dir):
         Workspace(spark, "op4"),
     )
     return leaks.select("k_id", "item_id", "edits").withColumnRenamed("k_id", "doc_id")
+
+
+@query()
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"), id_fold(F.col("k_id"), 5) != 0)
+    return score_texts(docs, model).select(
+        "doc_id", (id_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted"
+    )
