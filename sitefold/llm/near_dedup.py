@@ -11,10 +11,12 @@ Bands of 5 of the registers are bucket keys. 25 bands find a pair with J_P = 0.8
 probability 0.99995. Candidates are verified by the exact J_P of their whole texts.
 
 Groups may be large, so a bucket never emits all its pairs. Equal texts (same lower-cased words)
-are first joined into one node. Then each bucket compares its members with one leader; verified
-links are contracted to components, and the next round looks only at members that lie in another
-component than the new leader. After the rounds, every pair of a bucket that still crosses
-components and was not compared is compared. So the components are those of all candidate pairs.
+are first joined into one node. Then each bucket compares its members with one leader, the
+member that meets most others in all its buckets (in a group of edited copies: the original),
+and verified links are contracted to components. Where a bucket still has several components,
+its members outside the largest one are compared with all its members, in blocks of bounded
+size: a block indexes its shingles, counts the overlaps inside the task, and emits no more links
+than it takes to join its components. So the components are those of all candidate pairs.
 
 Defined results
 - One row for each input row: its class is the smallest doc_id of its component.
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +45,8 @@ from sitefold.session import Workspace
 
 REGISTERS, BANDS, ROWS = 128, 25, 5
 ELEMENT_BITS = 48
-ROUNDS = 2
-SLICE = 4 << 20
+PROBE_BLOCK, BASE_BLOCK = 512, 1024
+SLICE = 2 << 20
 SECOND = U64(0x5851F42D4C957F2D)
 SIGNED = "k_id long, k_hash long, w1 long, w2 long, bands array<long>"
 
@@ -166,6 +169,97 @@ def _compare(size: int, threshold: float):
     return run
 
 
+def _crossing_links(here: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links between components that share a bucket; ``here``: bucket, node, comp."""
+    sizes = here.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    split = (
+        sizes.groupBy("bucket")
+        .agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"))
+        # Two members: the star has compared them.
+        .where("n > 2 and top.n < n")
+        .select(
+            "bucket",
+            F.col("top.comp").alias("main"),
+            F.ceil((F.col("n") - F.col("top.n")) / PROBE_BLOCK).cast("int").alias("probes"),
+            F.ceil(F.col("n") / BASE_BLOCK).cast("int").alias("bases"),
+        )
+    )
+    rows = here.join(split, "bucket").withColumn("outside", F.col("comp") != F.col("main"))
+    spot = F.xxhash64(F.lit("block"), "node")
+    as_base = rows.select(
+        "bucket", "node", "comp", F.lit(False).alias("probe"),
+        F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("pb"),
+        F.pmod(spot, "bases").cast("int").alias("bb"),
+    )
+    as_probe = rows.where("outside").select(
+        "bucket", "node", "comp", F.lit(True).alias("probe"),
+        F.pmod(spot, "probes").cast("int").alias("pb"),
+        F.explode(F.sequence(F.lit(0), F.col("bases") - 1)).alias("bb"),
+    )
+    blocks = as_base.unionByName(as_probe).join(texts, "node")
+    links = blocks.groupBy("bucket", "pb", "bb").applyInPandas(
+        _join_block(size, threshold), "u long, v long"
+    )
+    return links.distinct()
+
+
+def _join_block(size: int, threshold: float):
+    """Links between probes and base members of a block that join different components."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["probe", "node"])
+        base = block[~block.probe].drop_duplicates("node")
+        probe = block[block.probe]
+        both = pd.concat([base, probe])
+        raw = [t.encode() for t in both.text]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
+        words = Words(np.frombuffer(b"".join(raw), np.uint8), offsets, lower=True)
+        text, element, times = shingles(words.hash, words.offsets, size)
+        first = np.searchsorted(text, np.arange(len(both) + 1))
+        count = np.diff(first)
+        even = np.array([bool((times[a:b] == 1).all()) for a, b in zip(first[:-1], first[1:])])
+        # Postings of the base: members of each element.
+        n_base, held = len(base), first[len(base)]
+        order = np.argsort(element[:held], kind="stable")
+        keys, member = element[:held][order], text[:held][order]
+        root = {c: c for c in both.comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        node, comp = both.node.to_numpy(), both.comp.to_numpy()
+        links = []
+        for i in range(n_base, len(both)):
+            mine = element[first[i] : first[i + 1]]
+            low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            n = high - low
+            of = np.repeat(np.arange(len(n)), n)
+            shared = np.bincount(
+                member[np.arange(len(of)) - (np.cumsum(n) - n)[of] + low[of]], minlength=n_base
+            )
+            jaccard = shared / (count[i] + count[:n_base] - shared)
+            # With equal weights both measures are the same; else the exact one decides.
+            sure = even[:n_base] & even[i]
+            for j in np.flatnonzero(np.where(sure, jaccard >= threshold - 1e-9, shared > 0)):
+                if find(comp[i]) == find(comp[j]):
+                    continue
+                if not sure[j]:
+                    a, b = slice(first[i], first[i + 1]), slice(first[j], first[j + 1])
+                    near = probability_jaccard(
+                        (element[a], times[a].astype(float)), (element[b], times[b].astype(float))
+                    )
+                    if near < threshold - 1e-9:
+                        continue
+                links.append((node[i], node[j]))
+                root[find(comp[i])] = find(comp[j])
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    return run
+
+
 def near_classes(
     docs: DataFrame, work: Workspace, size: int = 5, threshold: float = 0.8
 ) -> DataFrame:
@@ -215,52 +309,32 @@ def near_classes(
         tested.append(out)
         return out
 
-    tested: list[DataFrame] = []
-    labels = members.select("node", F.col("node").alias("comp")).distinct()
-
-    def labelled() -> DataFrame:
-        return members.join(labels, "node")
+    # The leader of a bucket meets most documents over all its buckets.
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    met = members.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("met"))
+    leader = F.max(F.struct("met", "node")).alias("head")
+    heads = members.join(met, "node").groupBy("bucket").agg(leader)
+    star = members.join(heads, "bucket").select(F.col("head.node").alias("u"), F.col("node").alias("v"))
+    pairs = work.settle(star.where("u <> v").distinct(), "pairs")
+    with_v = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
+    both = with_v.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
+    compared = both.select("u", "v", "text_u", "text_v").mapInArrow(
+        _compare(size, threshold), "u long, v long, near boolean"
+    )
+    links = work.settle(compared.where("near").select("u", "v"), "links_star")
+    everyone = members.select("node").distinct()
 
-    def contract(name: str) -> DataFrame:
-        links = tested[0].where("near").select("u", "v")
-        for more in tested[1:]:
-            links = links.unionByName(more.where("near").select("u", "v"))
-        found = components(links, work, f"labels_{name}")
-        named = members.select("node").distinct().join(found, "node", "left")
+    def named(links: DataFrame, name: str) -> DataFrame:
+        found = components(links, work, f"components_{name}")
+        found = everyone.join(found, "node", "left")
         return work.settle(
-            named.select("node", F.coalesce("comp", "node").alias("comp")), f"named_{name}"
-        )
-
-    for turn in range(ROUNDS):
-        here = labelled()
-        leader = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "comp")
-        heads = (
-            here.groupBy("bucket")
-            .agg(F.min(leader).alias("head"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-            .where("a <> b")
-            .select("bucket", F.col("head.node").alias("u"), F.col("head.comp").alias("at"))
+            found.select("node", F.coalesce("comp", "node").alias("comp")), f"labels_{name}"
         )
-        star = here.join(heads, "bucket").where("comp <> at")
-        compared(star.select("u", F.col("node").alias("v")), str(turn))
-        labels = contract(str(turn))
 
-    here = labelled()
-    sizes = here.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = (
-        sizes.groupBy("bucket")
-        .agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
-        .where("comps > 1")
-        .select("bucket", F.col("top.comp").alias("main"))
-    )
-    # What lies outside a bucket's largest component meets all other components of the bucket.
-    rest = (
-        here.join(largest, "bucket")
-        .where("comp <> main")
-        .select("bucket", F.col("node").alias("u"), F.col("comp").alias("at"))
-    )
-    crossing = here.join(rest, "bucket").where("comp <> at")
-    compared(crossing.select("u", F.col("node").alias("v")), "rest")
-    labels = contract("rest")
+    labels = named(links, "star")
+    crossing = _crossing_links(members.join(labels, "node"), texts, size, threshold)
+    crossing = work.settle(crossing, "links_crossing")
+    labels = named(links.unionByName(crossing), "all")
 
     classes = nodes.select("w1", "w2", "node", "k_id", "k_hash").join(labels, "node", "left")
     classes = classes.withColumn("comp", F.coalesce("comp", "node")).drop("node")
