@@ -186,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
     luck = F.pmod(F.xxhash64(F.lit("toxicity"), "k_id"), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.where(luck < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
     texts = docs.select(F.col("doc_id").cast("long").alias("k_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(drawn, "k_id").select("y", signs_of("text").alias("signs"))
+    # At most about max_toxic + max_clean ids: a bounded side.
+    rows = texts.join(F.broadcast(drawn), "k_id").select("y", signs_of("text").alias("signs"))
     work = Workspace(docs.sparkSession, "toxicity")
     rows = work.settle(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
