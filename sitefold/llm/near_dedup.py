@@ -12,11 +12,11 @@ probability 0.99995. Candidates are verified by the exact J_P of their whole tex
 
 Groups may be large, so a bucket never emits all its pairs. Equal texts (same lower-cased words)
 are first joined into one node. Then each bucket compares its members with one leader, the
-member that meets most others in all its buckets (in a group of edited copies: the original),
-and verified links are contracted to components. Where a bucket still has several components,
-its members outside the largest one are compared with all its members, in blocks of bounded
+member that meets most others in all its buckets (in a group of edited copies: the original);
+members that verified links join are one part of the bucket. Where a bucket still has several parts, its
+members outside the largest one are compared with all its members, in blocks of bounded
 size: a block indexes its shingles, counts the overlaps inside the task, and emits no more links
-than it takes to join its components. So the components are those of all candidate pairs.
+than it takes to join its parts. Classes are the components of all links, so they are those of all candidate pairs.
 
 Defined results
 - One row for each input row: its class is the smallest doc_id of its component.
@@ -162,8 +162,8 @@ def _compare(size: int, threshold: float):
                 for a, b in zip(batch.column("text_u"), batch.column("text_v"))
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("u"), batch.column("v"), pa.array(near, pa.bool_())],
-                names=["u", "v", "near"],
+                [batch.column("u"), batch.column("v"), batch.column("met"), pa.array(near, pa.bool_())],
+                names=["u", "v", "met", "near"],
             )
 
     return run
@@ -314,27 +314,28 @@ def near_classes(
     met = members.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("met"))
     leader = F.max(F.struct("met", "node")).alias("head")
     heads = members.join(met, "node").groupBy("bucket").agg(leader)
-    star = members.join(heads, "bucket").select(F.col("head.node").alias("u"), F.col("node").alias("v"))
+    star = members.join(heads, "bucket").select(
+        F.col("head.node").alias("u"), F.col("node").alias("v"), F.col("head.met").alias("met")
+    )
     pairs = work.settle(star.where("u <> v").distinct(), "pairs")
     with_v = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
     both = with_v.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
-    compared = both.select("u", "v", "text_u", "text_v").mapInArrow(
-        _compare(size, threshold), "u long, v long, near boolean"
+    compared = both.select("u", "v", "met", "text_u", "text_v").mapInArrow(
+        _compare(size, threshold), "u long, v long, met long, near boolean"
     )
-    links = work.settle(compared.where("near").select("u", "v"), "links_star")
-    everyone = members.select("node").distinct()
-
-    def named(links: DataFrame, name: str) -> DataFrame:
-        found = components(links, work, f"components_{name}")
-        found = everyone.join(found, "node", "left")
-        return work.settle(
-            found.select("node", F.coalesce("comp", "node").alias("comp")), f"labels_{name}"
-        )
-
-    labels = named(links, "star")
-    crossing = _crossing_links(members.join(labels, "node"), texts, size, threshold)
+    links = work.settle(compared.where("near").drop("near"), "links_star")
+    # Two steps up to the most met leader: enough to tell who is joined already. Leaders rise in
+    # (met, node), so steps cannot go round; what they miss is only compared once more.
+    up = links.groupBy("v").agg(F.max(F.struct("met", "u")).alias("top"))
+    up = work.settle(up.select("v", F.col("top.u").alias("u")), "up")
+    higher = up.select(F.col("v").alias("u"), F.col("u").alias("uu"))
+    up = up.join(higher, "u", "left").select(
+        F.col("v").alias("node"), F.coalesce("uu", "u").alias("comp")
+    )
+    here = members.join(up, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    crossing = _crossing_links(here.select("bucket", "node", "comp"), texts, size, threshold)
     crossing = work.settle(crossing, "links_crossing")
-    labels = named(links.unionByName(crossing), "all")
+    labels = components(links.select("u", "v").unionByName(crossing), work, "labels")
 
     classes = nodes.select("w1", "w2", "node", "k_id", "k_hash").join(labels, "node", "left")
     classes = classes.withColumn("comp", F.coalesce("comp", "node")).drop("node")
