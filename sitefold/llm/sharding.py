@@ -66,14 +66,14 @@ def shard_documents(
     manifest = shard_manifest(docs, n_shards, seed, strata).select(
         "k_id", "k_hash", "shard", "slot"
     )
-    text = F.col("text").cast("string")
-    rows = docs.drop("shard", "slot").select(
-        "*", F.col("doc_id").cast("long").alias("k_id"), F.xxhash64(text).alias("k_hash")
-    )
+    doc = F.struct(*[F.col(c) for c in docs.columns]).alias("doc")
+    rows = keyed(docs, doc).drop("text")
     # Repeated rows share a key; numbering both sides matches each copy with one place.
     copy = W.partitionBy("k_id", "k_hash")
-    rows = rows.withColumn("_copy", F.row_number().over(copy.orderBy(F.lit(0))))
-    places = manifest.withColumn("_copy", F.row_number().over(copy.orderBy("shard", "slot")))
-    match = on_key(rows, places) & (rows["_copy"] == places["_copy"])
+    rows = rows.withColumn("copy", F.row_number().over(copy.orderBy(F.lit(0))))
+    places = manifest.withColumn("copy", F.row_number().over(copy.orderBy("shard", "slot")))
+    match = on_key(rows, places) & (rows["copy"] == places["copy"])
     names = [c for c in docs.columns if c not in ("shard", "slot")]
-    return rows.join(places, match).select(*[rows[c] for c in names], "shard", "slot")
+    return rows.join(places, match).select(
+        *[F.col(f"doc.{c}").alias(c) for c in names], places["shard"], places["slot"]
+    )
