@@ -315,10 +315,9 @@ def quarantine(spark: SparkSession, sf: str) -> DataFrame:
 # --- catalog job ------------------------------------------------------------------
 
 
-def _catalog_run(spark: SparkSession, sf: str):
+def _catalog_run(spark: SparkSession, sf: str, max_products: int | None = None):
     options = CatalogOptions(
-        domain=R.DOMAIN, discovery_mode="sitemap", max_shards=0, max_candidates=1_000_000,
-        max_products=300,
+        domain=R.DOMAIN, discovery_mode="sitemap", max_products=max_products,
     )
     shards, urls = sitemap_frames(spark, sf)
     candidates = discover(options, shards=shards, shard_urls=urls)
@@ -328,7 +327,8 @@ def _catalog_run(spark: SparkSession, sf: str):
     return export_catalog(candidates, R.product_pages(spark, sf), options, seen)
 
 
-_CATALOG_SQL = f"""
+def _catalog_sql(limit: str = "true") -> str:
+    return f"""
 WITH decided AS (
   SELECT *, CASE WHEN p_partkey % 10 = 7 THEN 'gone' WHEN p_partkey % 20 = 8 THEN 'blocked'
     WHEN p_size = 7 THEN 'duplicate' WHEN is_mobile THEN 'written' ELSE 'non_mobile' END AS outcome
@@ -336,21 +336,30 @@ WITH decided AS (
 looked AS (
   SELECT * FROM (SELECT *, count(*) FILTER (outcome = 'written') OVER (
       ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM decided)
-  WHERE before < 300)
+  WHERE {limit})
 """
 
 
-@query(_CATALOG_SQL + """
+_WRITTEN_SQL = """
 SELECT product_id, product_url, title, price, currency, rating, review_count, category,
   super_category, sub_category, 'https://www.shop.example/map-' || p_partkey // 200 || '.xml' AS source_sitemap,
   CASE WHEN p_partkey // 200 % 2 = 0 THEN '2024-01-01' ELSE '' END AS sitemap_lastmod
 FROM looked WHERE outcome = 'written'
-""")
+"""
+
+
+@query(_catalog_sql("before < 300") + _WRITTEN_SQL)
+def catalog_limited(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 300 products that may be written."""
+    return _catalog_run(spark, sf, 300).catalog.drop("scraped_at", "ordinal")
+
+
+@query(_catalog_sql() + _WRITTEN_SQL)
 def catalog_export(spark: SparkSession, sf: str) -> DataFrame:
     return _catalog_run(spark, sf).catalog.drop("scraped_at", "ordinal")
 
 
-@query(_CATALOG_SQL + """
+@query(_catalog_sql() + """
 SELECT count(*) AS scanned, count(*) FILTER (outcome = 'written') AS written,
   count(*) FILTER (outcome = 'non_mobile') AS skipped_non_mobile,
   count(*) FILTER (outcome = 'blocked') AS blocked, count(*) FILTER (outcome = 'failed') AS failed

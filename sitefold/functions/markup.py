@@ -12,7 +12,7 @@ nothing, and what is still open at the end of the page ends there.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from sitefold.functions.text import literal, literals, normalize_space_sql
 
@@ -26,8 +26,15 @@ VOID_TAGS = (
 # Elements whose content is not markup.
 RAW_TAGS = ("script", "style")
 
-# Named entities: the HTML 4 set of the standard library, and the XML apostrophe.
-ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+# Named entities: the HTML 5 set of the standard library; names without their semicolon.
+ENTITIES = {name.rstrip(";"): text for name, text in html5.items()}
+
+# Numeric references 128 to 159 are read as windows-1252, where that has a character.
+WINDOWS_1252 = {
+    code: bytes([code]).decode("cp1252")
+    for code in range(128, 160)
+    if bytes([code]).decode("cp1252", "ignore")
+}
 
 _TAG_REST = r"""[^\s/>]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>))|[^=>])*+>"""
 _COMMENT = r"<!--[\s\S]*?-->"
@@ -62,9 +69,11 @@ def unescape(text: str) -> str:
         "try_cast(if(p rlike '(?i)^&#x', conv(regexp_extract(p, '(?i)^&#x([0-9a-f]+)', 1), 16, 10),"
         " regexp_extract(p, '([0-9]+)', 1)) AS INT)"
     )
+    windows = ", ".join(f"{code}, {literal(char)}" for code, char in WINDOWS_1252.items())
     point = (
-        f"if({number} BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343,"
-        f" decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32'), '\\uFFFD')"
+        f"if({number} BETWEEN 128 AND 159 AND map({windows})[{number}] IS NOT NULL,"
+        f" map({windows})[{number}], if({number} BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343,"
+        f" decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32'), '\\uFFFD'))"
     )
     names = ", ".join(f"'{name}', {literal(char)}" for name, char in ENTITIES.items())
     named = f"try_element_at(map({names}), regexp_extract(p, '^&([a-zA-Z0-9]+)', 1))"
@@ -125,10 +134,14 @@ def attributes(tag: str) -> str:
 
 def raw_attribute(tag: str, name: str) -> str:
     """Value of ``name`` as written in a start tag, of equal names the last; '' without one."""
-    # All attributes, then back to the last one of this name.
-    others = r"(?:[\s/]*+" + _ATTRIBUTE + ")*"
-    pattern = r"(?i)^<[a-z][^\s/>]*+" + others + r"""[\s/]*+(?<=[\s/"'])""" + name + _VALUE
-    return _unquote(f"regexp_extract({tag}, {literal(pattern)}, 3)")
+    # One match per attribute, so the depth of a match does not grow with their number.
+    own = literal(rf"(?i)^{name}\s*+=")
+    some = literal(rf"(?i){name}\s*+=")
+    last = f"try_element_at(filter({_all_matches('w', _ATTRIBUTE)}, a -> a rlike {own}), -1)"
+    value = f"regexp_replace(coalesce({last}, ''), {literal(r'^[^=]*+=?\s*+')}, '')"
+    # The one-item array names the tag, which may be a long expression.
+    read = f"if(w rlike {some}, {value}, '')"
+    return f"coalesce(get(transform(array({tag}), w -> {_unquote(read)}), 0), '')"
 
 
 def attribute_list(tags: str, name: str) -> str:

@@ -176,7 +176,8 @@ def date_in_text_sql(text: str) -> str:
     return normalize_space_sql(find_sql(text, pattern))
 
 
-_NAME_AND_DATE = r"(?U)([A-Za-z0-9_.\- ]+)\s*,\s*(\d{1,2}\s+[A-Za-z]+\s*\d{4})"
+# A name starts where its run of characters starts and takes the run whole: linear in the text.
+_NAME_AND_DATE = r"(?U)(?<![A-Za-z0-9_.\- ])([A-Za-z0-9_.\- ]++)\s*,\s*(\d{1,2}\s+[A-Za-z]+\s*\d{4})"
 
 
 def name_before_date_sql(text: str) -> str:

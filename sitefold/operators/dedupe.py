@@ -17,7 +17,7 @@ from sitefold.functions.urls import canonical_product_id, canonicalize_url
 from sitefold.session import ordered_ids, settle
 
 # Most rows that one task may collect for a limit.
-TOP_LIMIT = 100_000
+TOP_LIMIT = 1_000
 # monotonically_increasing_id: partition number above, row number in the low bits.
 _ROW_BITS = 33
 
@@ -96,14 +96,16 @@ def only_new(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 
 def first_in_order(
-    df: DataFrame, n: int, *order: str | Column, name: str = "ordinal", top_limit: int = TOP_LIMIT
+    df: DataFrame, n: int | None, *order: str | Column, name: str = "ordinal", top_limit: int = TOP_LIMIT
 ) -> DataFrame:
-    """The first ``n`` rows in the given order, numbered by a rising ``name``.
+    """The first ``n`` rows (None: all) in the given order, numbered by a rising ``name``.
 
     Up to ``top_limit`` rows, every task sends its first ``n`` rows to one task. Beyond
     that the rows are sorted across all tasks, and the cut follows from the row counts
     of the sorted partitions, so no task sees more than its share.
     """
+    if n is None:
+        return ordered_ids(df, *order, name=name)
     if n <= top_limit:
         top = df.orderBy(*order).limit(n)
         return top.withColumn(name, F.monotonically_increasing_id())
@@ -122,6 +124,6 @@ def first_rows(df: DataFrame, n: int, *order: str | Column, **options) -> DataFr
     return first_in_order(df, n, *order, name="_place", **options).drop("_place")
 
 
-def limit_shards(shards: DataFrame, max_shards: int) -> DataFrame:
-    """First shards over all indexes in reading order; 0 means all."""
+def limit_shards(shards: DataFrame, max_shards: int | None) -> DataFrame:
+    """First shards over all indexes in reading order; 0 or None means all."""
     return first_rows(shards, max_shards, "index_ord", "shard_ord") if max_shards else shards

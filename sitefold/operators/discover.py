@@ -22,6 +22,9 @@ from sitefold.session import is_small, ordered_ids, settle, text_bytes
 from sitefold.settings import CatalogOptions
 
 CANDIDATE_COLUMNS = ("ordinal", "product_url", "source_sitemap", "sitemap_lastmod")
+CANDIDATE_SCHEMA = (
+    "ordinal long, product_url string, source_sitemap string, sitemap_lastmod string"
+)
 
 
 def wanted_url(url: Column, options: CatalogOptions) -> Column:
@@ -32,7 +35,7 @@ def wanted_url(url: Column, options: CatalogOptions) -> Column:
 
 
 def _finish(found: DataFrame, order: list[str], options: CatalogOptions, name: str) -> DataFrame:
-    """First-wins on URL and id, the first ``max_candidates``, ordinals in that order."""
+    """First-wins on URL and id, ordinals in that order, at most ``max_candidates`` rows."""
     keyed = found.withColumn("_key", candidate_key(F.col("product_url")))
     firsts = first_per_key(keyed, "_key", order)
     numbered = first_in_order(firsts, options.max_candidates, *order)
@@ -44,8 +47,12 @@ def search_candidates(pages: DataFrame, options: CatalogOptions) -> DataFrame:
 
     ``pages``: search_ord, search_url, page_no, final_url, status, html.
     """
+    last = F.lit(True)
+    if options.search_pages is not None:
+        last = F.col("page_no") <= options.search_pages
     pages = pages.filter(
-        F.col("page_no").between(1, options.search_pages)
+        (F.col("page_no") >= 1)
+        & last
         & ~F.coalesce(F.col("status").isin(*S.STATUS_UNAVAILABLE), F.lit(True))
     )
     flagged = pages.withColumn("blocked", is_blocked(F.col("status"), F.col("html")))
@@ -121,7 +128,7 @@ def link_edges(pages: DataFrame, options: CatalogOptions) -> DataFrame:
 
 
 def seed_candidates(pages: DataFrame, seeds: DataFrame, options: CatalogOptions) -> DataFrame:
-    """Breadth-first link traversal from seed products, at most ``seed_max_depth`` deep.
+    """Breadth-first link traversal from seed products, to ``seed_max_depth`` or the end.
 
     ``seeds``: ordinal, url. One step is one join of the newest level with the edges
     and one anti-join with all keys reached so far. Each level is written out, so
@@ -138,14 +145,17 @@ def seed_candidates(pages: DataFrame, seeds: DataFrame, options: CatalogOptions)
     edges = link_edges(pages, options)
     levels: list[DataFrame] = []
     found, total = start, 0
-    for depth in range(options.seed_max_depth + 1):
+    depth = 0
+    while True:
         level = _new_level(found, levels, depth)
         size = level.count()
         if size:
             levels.append(level)
         total += size
-        if not size or depth == options.seed_max_depth or total >= options.max_candidates:
+        enough = options.max_candidates is not None and total >= options.max_candidates
+        if not size or depth == options.seed_max_depth or enough:
             break
+        depth += 1
         front = level.select(
             F.col("product_url").alias("src"), F.col("ordinal").alias("_from")
         )
@@ -197,6 +207,10 @@ def discover(
         found = sitemap_candidates(shards, shard_urls, options)
         if mode == "sitemap" or not found.isEmpty() or reached_shard_limit(shards, options):
             return found
-    if mode == "sitemap" or link_pages is None or seeds is None:
+    if mode in ("auto", "seed") and link_pages is not None and seeds is not None:
+        return seed_candidates(link_pages, seeds, options)
+    given = [x for x in (search_pages, shards, link_pages, seeds) if x is not None]
+    if mode != "auto" or not given:
         raise ValueError(f"discovery_mode '{mode}' lacks its input tables")
-    return seed_candidates(link_pages, seeds, options)
+    # Every branch that has input found nothing.
+    return given[0].sparkSession.createDataFrame([], CANDIDATE_SCHEMA)

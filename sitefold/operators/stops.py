@@ -54,7 +54,7 @@ def page_cuts(
     pages: DataFrame,
     seen_stop_threshold: int,
     max_empty_pages: int,
-    max_pages: int,
+    max_pages: int | None,
     product: str = "product_id",
     page: str = "page_no",
     block: int = PAGE_BLOCK,
@@ -65,7 +65,8 @@ def page_cuts(
     Reading stops at the page that completes a stretch of ``max_empty_pages`` empty
     pages or of ``seen_stop_threshold`` pages without anything new.
     """
-    states = pages.filter(F.col(page).between(1, max_pages)).select(
+    last = F.lit(True) if max_pages is None else F.col(page) <= max_pages
+    states = pages.filter((F.col(page) >= 1) & last).select(
         product,
         page,
         (F.col("n_rows") == 0).alias("empty"),
@@ -73,7 +74,7 @@ def page_cuts(
         F.floor((F.col(page) - 1) / block).alias("_block"),
     )
     df = _runs_in_window(states, product, page)
-    if max_pages > block:
+    if max_pages is None or max_pages > block:
         df = df.join(_carry_over_blocks(df, product), [product, "_block"])
     else:
         # All pages of a product fit one block, nothing to carry.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.classify import page_outcome
 from sitefold.functions.text import iso_utc
-from sitefold.operators.dedupe import first_rows
+from sitefold.operators.dedupe import first_per_key, first_rows
 from sitefold.operators.parse_pages import products
 from sitefold.session import is_small, settle, text_bytes
 from sitefold.settings import CATALOG_COLUMNS, CatalogOptions
@@ -39,6 +39,10 @@ def parse_candidates(candidates: DataFrame, pages: DataFrame) -> DataFrame:
         F.col("html"),
     ).withColumn("html", F.when(F.col("outcome") == "parsed", F.col("html")))
     parsed = products(flagged).withColumnRenamed("product_url", "_page_url")
+    # A page that landed several times counts once: parsed before failed, then by content.
+    row = F.struct(*[c for c in parsed.columns if c not in ("request_url", "outcome")])
+    landed_again = [F.col("outcome") != "parsed", "outcome", F.xxhash64(row)]
+    parsed = first_per_key(parsed, "request_url", landed_again)
     matched = candidates.join(
         parsed, candidates["product_url"] == parsed["request_url"], "left"
     ).drop("product_url", "request_url")
@@ -47,6 +51,12 @@ def parse_candidates(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def _with_matches(df: DataFrame, side: DataFrame) -> DataFrame:
+    """Left join on ``product_id``; rows without an id, which match nothing, do not shuffle."""
+    named = df.filter("product_id IS NOT NULL").join(side, "product_id", "left")
+    return named.unionByName(df.filter("product_id IS NULL"), allowMissingColumns=True)
+
+
 def decide(
     parsed: DataFrame, options: CatalogOptions, seen: DataFrame | None = None
 ) -> DataFrame:
@@ -61,14 +71,14 @@ def decide(
     df = parsed.withColumn("_kept", kept)
     if seen is not None:
         known = seen.select("product_id").distinct().withColumn("_known", F.lit(True))
-        df = df.join(known, "product_id", "left")
+        df = _with_matches(df, known)
     else:
         df = df.withColumn("_known", F.lit(None).cast("boolean"))
     # A narrow partial aggregate instead of a window: one id may hold many rows.
     firsts = df.filter("_kept AND _known IS NULL").groupBy("product_id").agg(
         F.min("ordinal").alias("_first")
     )
-    df = df.join(firsts, "product_id", "left")
+    df = _with_matches(df, firsts)
     outcome = (
         F.when(F.col("outcome") != "parsed", F.col("outcome"))
         .when(F.col("_known") | (F.col("_first") < F.col("ordinal")), "duplicate")
@@ -85,18 +95,20 @@ def export_catalog(
     seen: DataFrame | None = None,
     as_of: Column | None = None,
 ) -> CatalogRun:
-    """Catalog rows of the candidates' pages, at most ``max_products``.
+    """Catalog rows of the candidates' pages; ``max_products`` may end the search earlier.
 
     ``seen`` holds ``product_id`` of earlier runs.
     """
     parsed = settle(parse_candidates(candidates, pages), "parsed-candidates")
     decided = settle(decide(parsed, options, seen), "catalog-outcomes")
-    written = first_rows(decided.filter("outcome = 'written'"), options.max_products, "ordinal")
-    # Looking at candidates ends with the last row that may be written.
-    end = written.agg(F.count("*").alias("n"), F.max("ordinal").alias("last")).first()
     outcomes = decided
-    if end["n"] >= options.max_products:
-        outcomes = decided.filter(F.col("ordinal") <= end["last"])
+    if options.max_products is not None:
+        rows = decided.filter("outcome = 'written'")
+        written = first_rows(rows, options.max_products, "ordinal")
+        # Looking at candidates ends with the last row that may be written.
+        end = written.agg(F.count("*").alias("n"), F.max("ordinal").alias("last")).first()
+        if end["n"] >= options.max_products:
+            outcomes = decided.filter(F.col("ordinal") <= end["last"])
     catalog = (
         outcomes.filter("outcome = 'written'")
         .withColumn("scraped_at", iso_utc(as_of))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefold.functions.text import iso_utc
@@ -24,24 +24,33 @@ class ReviewRun:
     products: DataFrame
 
 
-def parse_landed(pages: DataFrame, max_pages: int) -> DataFrame:
+def parse_landed(pages: DataFrame, max_pages: int | None) -> DataFrame:
     """Parse review pages once and settle the narrow result.
 
     ``pages``: product_url, page_no, status, html. One row per page comes back, with
     ``reviews`` and ``failed``; ``html`` is not carried any further. A page without a
-    text or with an HTTP error failed.
+    text or with an HTTP error failed. Of a page that landed several times one that did
+    not fail counts, of these the one with most reviews.
     """
+    wanted = F.col("page_no") >= 1
+    if max_pages is not None:
+        wanted &= F.col("page_no") <= max_pages
     bad = F.col("status").isNull() | (F.col("status") >= FIRST_ERROR_STATUS)
-    keyed = pages.filter(F.col("page_no").between(1, max_pages)).select(
+    keyed = pages.filter(wanted).select(
         canonicalize_url(F.col("product_url")).alias("product_url"),
         F.col("page_no").cast("int").alias("review_page"),
         (bad | F.col("html").isNull()).alias("failed"),
         F.when(~bad, F.col("html")).alias("html"),
     )
     lists = review_lists(keyed)
-    return settle(
+    landed = settle(
         lists.withColumn("product_id", extract_pid(F.col("product_url"))), "review-lists"
     )
+    return first_per_key(
+        landed,
+        ["product_url", "review_page"],
+        ["failed", F.size("reviews").desc(), F.xxhash64("reviews")],
+    )
 
 
 def _page_counts(lists: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -54,11 +63,22 @@ def _page_counts(lists: DataFrame, fresh: DataFrame) -> DataFrame:
     return all_counts.join(new_counts, page, "left").na.fill(0, ["n_new"])
 
 
+def _first_failures(lists: DataFrame) -> DataFrame:
+    """First page of each product that failed, or is absent below a page that landed."""
+    pages = Window.partitionBy("product_url").orderBy("review_page")
+    before = F.coalesce(F.lag("review_page").over(pages), F.lit(0))
+    gaps = lists.select("product_url", "review_page", "failed", before.alias("_before"))
+    first_bad = F.when(F.col("review_page") > F.col("_before") + 1, F.col("_before") + 1).when(
+        F.col("failed"), F.col("review_page")
+    )
+    return (
+        gaps.groupBy("product_url").agg(F.min(first_bad).alias("_bad")).filter("_bad IS NOT NULL")
+    )
+
+
 def _product_outcomes(counts: DataFrame, lists: DataFrame, options: ReviewOptions) -> DataFrame:
     """Last page read of each product, and whether a failed page ended it."""
-    failures = lists.filter("failed").groupBy("product_url").agg(
-        F.min("review_page").alias("_bad")
-    )
+    failures = _first_failures(lists)
     reachable = counts.join(failures, "product_url", "left").filter(
         F.col("_bad").isNull() | (F.col("review_page") < F.col("_bad"))
     )
@@ -88,7 +108,8 @@ def ingest_reviews(
     """New reviews of each product URL up to the page where reading stops.
 
     ``seen`` holds ``review_id_hash`` of earlier runs. A page whose reviews are all
-    known counts as stale. A failed page ends its product; earlier pages stay. Where
+    known counts as stale. A failed page ends its product, and so does one that is missing
+    before a later one; earlier pages stay. Where
     several URLs share a product id, equal reviews are kept once, after each URL was
     cut at its own last page.
     """

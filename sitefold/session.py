@@ -14,7 +14,9 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Parsing is heavy per byte, so small shuffle outputs still go to many tasks.
+    # Parsing is heavy per byte, so a scan has small splits,
+    "spark.sql.files.maxPartitionBytes": "32m",
+    # and small shuffle outputs still go to many tasks.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",

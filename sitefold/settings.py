@@ -106,9 +106,9 @@ def _require(ok: bool, message: str) -> None:
 
 @dataclass(frozen=True)
 class ReviewOptions:
-    """Limits and switches of the review job."""
+    """Limits and switches of the review job; a limit of None is no limit."""
 
-    max_pages: int = 50
+    max_pages: int | None = None
     seen_stop_threshold: int = 2
     max_empty_pages: int = 1
     fmt: str = "both"
@@ -116,21 +116,25 @@ class ReviewOptions:
 
     def __post_init__(self) -> None:
         for name in ("max_pages", "seen_stop_threshold", "max_empty_pages"):
-            _require(getattr(self, name) > 0, f"{name} must be greater than 0")
+            value = getattr(self, name)
+            _require(value is None or value > 0, f"{name} must be greater than 0")
         _require(self.fmt in REVIEW_FORMATS, f"fmt must be one of {REVIEW_FORMATS}")
 
 
 @dataclass(frozen=True)
 class CatalogOptions:
-    """Limits and switches of the catalog job; ``domain`` is part of a link's host."""
+    """Limits and switches of the catalog job; ``domain`` is part of a link's host.
+
+    A limit of None (or ``max_shards`` 0) is no limit.
+    """
 
     domain: str
     discovery_mode: str = "auto"
-    search_pages: int = 3
-    seed_max_depth: int = 3
-    max_products: int = 200
-    max_candidates: int = 5000
-    max_shards: int = 20
+    search_pages: int | None = None
+    seed_max_depth: int | None = None
+    max_products: int | None = None
+    max_candidates: int | None = None
+    max_shards: int | None = None
     loose_url_filter: bool = False
     include_accessories: bool = False
     exact_domain: bool = False
@@ -139,9 +143,11 @@ class CatalogOptions:
 
     def __post_init__(self) -> None:
         for name in ("max_products", "max_candidates", "search_pages"):
-            _require(getattr(self, name) > 0, f"{name} must be greater than 0")
+            value = getattr(self, name)
+            _require(value is None or value > 0, f"{name} must be greater than 0")
         for name in ("max_shards", "seed_max_depth"):
-            _require(getattr(self, name) >= 0, f"{name} must not be negative")
+            value = getattr(self, name)
+            _require(value is None or value >= 0, f"{name} must not be negative")
         _require(
             self.discovery_mode in DISCOVERY_MODES,
             f"discovery_mode must be one of {DISCOVERY_MODES}",

@@ -10,19 +10,13 @@ from pyspark.sql import functions as F
 PAGE_SCHEMA = "request_url string, final_url string, status int, html string"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for a scan of few splits; parsing costs far more than the read.
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed pages from Parquet.
 
-    A table with at least one split per core stays as it is, without a shuffle. Only
-    for plain scans: counting the splits of a plan with shuffles would run them.
+    Parsing costs far more than reading: ``build_session`` sets small splits
+    (``spark.sql.files.maxPartitionBytes``), so pages get many tasks without a shuffle of html.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed pages from Parquet."""
-    return spread(spark.read.parquet(path))
+    return spark.read.parquet(path)
 
 
 def stream_pages(spark: SparkSession, path: str, schema, **options: str) -> DataFrame:

@@ -19,7 +19,7 @@ def _missing(error: AnalysisException) -> bool:
 
 
 def read_seen_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct ``review_id_hash`` strings; blank and malformed lines are skipped."""
+    """Distinct ``review_id_hash`` strings of JSON lines; blank and malformed ones are skipped."""
     try:
         lines = spark.read.text(path)
     except AnalysisException as error:
@@ -35,15 +35,24 @@ def read_seen_hashes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_seen_hashes_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct non-blank ``review_id_hash`` of CSV files; none when there is no file."""
+    return _csv_keys(spark, path, "review_id_hash")
+
+
 def read_seen_ids(spark: SparkSession, path: str) -> DataFrame:
     """Distinct non-blank ``product_id`` of catalog files; none when there is no file."""
+    return _csv_keys(spark, path, "product_id")
+
+
+def _csv_keys(spark: SparkSession, path: str, column: str) -> DataFrame:
     try:
         table = spark.read.csv(path, header=True, multiLine=True, escape='"')
     except AnalysisException as error:
         if _missing(error):
-            return _empty(spark, "product_id")
+            return _empty(spark, column)
         raise
-    if "product_id" not in table.columns:
-        return _empty(spark, "product_id")
-    ids = table.select(normalize_space(F.col("product_id")).alias("product_id"))
-    return ids.filter("product_id <> ''").distinct()
+    if column not in table.columns:
+        return _empty(spark, column)
+    keys = table.select(normalize_space(F.col(column)).alias(column))
+    return keys.filter(F.col(column) != "").distinct()

@@ -10,6 +10,7 @@ from sitefold.settings import FIRST_ERROR_STATUS
 
 _INDEX = "sitemap array<struct<loc string, lastmod string>>"
 _URLSET = "url array<struct<loc string>>"
+_ROOT_PREFIX = r"<([A-Za-z_][\w.\-]*):(?:urlset|sitemapindex)[\s>]"
 
 
 def read_xml_files(spark: SparkSession, path: str) -> DataFrame:
@@ -19,21 +20,32 @@ def read_xml_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _parsed(xml: Column, schema: str) -> Column:
-    return F.from_xml(xml, F.lit(schema), {"mode": "PERMISSIVE"})
+def plain_names(xml: Column) -> Column:
+    """The document without the namespace prefix of its root element; other prefixes stay."""
+    prefix = F.regexp_extract(xml, _ROOT_PREFIX, 1)
+    bare = F.replace(xml, F.concat(F.lit("<"), prefix, F.lit(":")), F.lit("<"))
+    bare = F.replace(bare, F.concat(F.lit("</"), prefix, F.lit(":")), F.lit("</"))
+    return F.when(prefix != "", bare).otherwise(xml)
 
 
-def is_well_formed(xml: Column) -> Column:
-    """XML parses; a bad document is set aside, it does not end the job."""
-    parsed = F.from_xml(xml, F.lit(_INDEX + ", _corrupt_record string"), {"mode": "PERMISSIVE"})
-    return parsed["_corrupt_record"].isNull() & (strip(xml) != "")
+def _read(documents: DataFrame, schema: str, entries: str, place: str) -> DataFrame:
+    """Entries of landed documents: their columns, the place and ``_e``.
 
-
-def readable(documents: DataFrame) -> DataFrame:
-    """Landed documents without an HTTP error whose XML parses."""
+    Each document is parsed once. Documents with an HTTP error or whose XML does not parse
+    are set aside; they do not end the job.
+    """
     if "status" in documents.columns:
         documents = documents.filter(F.col("status") < FIRST_ERROR_STATUS)
-    return documents.filter(is_well_formed(F.col("xml")))
+    keep = [c for c in documents.columns if c not in ("xml", "status")]
+    parsed = F.from_xml(
+        plain_names(F.col("xml")), F.lit(f"{schema}, _corrupt_record string"), {"mode": "PERMISSIVE"}
+    )
+    # The one-row generator keeps the filter from parsing again.
+    rows = documents.filter(strip(F.col("xml")) != "").select(
+        *keep, F.explode(F.array(parsed)).alias("_doc")
+    )
+    good = rows.filter("_doc._corrupt_record IS NULL")
+    return good.select(*keep, F.posexplode(f"_doc.{entries}").alias(place, "_e"))
 
 
 def sitemap_index(documents: DataFrame) -> DataFrame:
@@ -41,12 +53,9 @@ def sitemap_index(documents: DataFrame) -> DataFrame:
 
     Entries without a location are skipped, a missing date becomes ''.
     """
-    keep = [c for c in documents.columns if c not in ("xml", "status")]
-    entries = _parsed(F.col("xml"), _INDEX)["sitemap"]
-    rows = readable(documents).select(*keep, F.posexplode(entries).alias("shard_ord", "_e"))
+    rows = _read(documents, _INDEX, "sitemap", "shard_ord")
     return rows.select(
-        *keep,
-        "shard_ord",
+        *[c for c in rows.columns if c != "_e"],
         strip(F.col("_e.loc")).alias("loc"),
         normalize_space(F.col("_e.lastmod")).alias("lastmod"),
     ).filter("loc <> ''")
@@ -54,12 +63,10 @@ def sitemap_index(documents: DataFrame) -> DataFrame:
 
 def sitemap_urls(documents: DataFrame) -> DataFrame:
     """URLs of the shards: document columns, ``url_ord``, ``loc``."""
-    keep = [c for c in documents.columns if c not in ("xml", "status")]
-    entries = _parsed(F.col("xml"), _URLSET)["url"]
-    rows = readable(documents).select(*keep, F.posexplode(entries).alias("url_ord", "_e"))
-    return rows.select(*keep, "url_ord", normalize_space(F.col("_e.loc")).alias("loc")).filter(
-        "loc <> ''"
-    )
+    rows = _read(documents, _URLSET, "url", "url_ord")
+    return rows.select(
+        *[c for c in rows.columns if c != "_e"], normalize_space(F.col("_e.loc")).alias("loc")
+    ).filter("loc <> ''")
 
 
 def read_index_entries(spark: SparkSession, path: str) -> DataFrame:

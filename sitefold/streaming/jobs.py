@@ -1,8 +1,9 @@
 """Continuous forms of the two jobs: pages land, new rows are appended once.
 
-Each micro-batch goes to its own ``batch_id`` folder of a Parquet target and
+Each micro-batch goes to a ``query_id`` and ``batch_id`` folder of a Parquet target and
 replaces that folder, so a batch that runs again after a failure leaves no second
-copy. Keys of all other batches count as seen. Stop rules need all pages of a
+copy, and a second stream or a new checkpoint on the same target replaces nothing of an
+earlier one. Keys of all other batches count as seen. Stop rules need all pages of a
 product and stay with the batch job.
 """
 
@@ -23,7 +24,9 @@ from sitefold.operators.parse_pages import page_reviews, products
 from sitefold.settings import FIRST_ERROR_STATUS, REVIEW_COLUMNS
 
 
-def _seen(batch: DataFrame, target: str, batch_id: int, key: str) -> DataFrame | None:
+def _seen(
+    batch: DataFrame, target: str, query_id: str, batch_id: int, key: str
+) -> DataFrame | None:
     """Keys that the other batches wrote."""
     try:
         table = batch.sparkSession.read.parquet(target)
@@ -31,18 +34,21 @@ def _seen(batch: DataFrame, target: str, batch_id: int, key: str) -> DataFrame |
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    return table.filter(F.col("batch_id") != batch_id).select(key)
+    own = (F.col("query_id") == query_id) & (F.col("batch_id") == batch_id)
+    return table.filter(~own).select(key)
 
 
 def _append_new(
     rows_of: Callable[[DataFrame], DataFrame], key: str, target: str
 ) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
+        # Spark names the stream in a local property of the thread that runs the batch.
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         rows = rows_of(batch)
-        seen = _seen(batch, target, batch_id, key)
+        seen = _seen(batch, target, query_id, batch_id, key)
         if seen is not None:
             rows = only_new(rows, seen, key)
-        rows.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{target}/query_id={query_id}/batch_id={batch_id}")
 
     return write
 
