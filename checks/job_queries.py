@@ -13,7 +13,7 @@ from checks.relational import _DAYS, _EVENT_KEY, sitemap_frames
 from sitefold.operators.dedupe import with_review_key
 from sitefold.operators.discover import discover
 from sitefold.plans.catalog import export_catalog
-from sitefold.plans.metrics import catalog_metrics, review_counts as count_reviews
+from sitefold.plans.metrics import catalog_metrics, review_counts as count_reviews, review_totals as totals_of
 from sitefold.plans.reviews import ingest_reviews as ingest
 from sitefold.session import new_path
 from sitefold.settings import CatalogOptions, ReviewOptions
@@ -241,13 +241,21 @@ def event_seen(spark: SparkSession, sf: str) -> DataFrame:
     return with_review_key(rows).select("review_id_hash")
 
 
-_RUN_SQL = f"""
+def _run_sql(missing: str = "false") -> str:
+    """The job in SQL; ``missing``: pages (user_id, page) that never landed."""
+    return f"""
 WITH RECURSIVE rows AS (
-  SELECT DISTINCT user_id, day(ts)::INT AS page, {_EVENT_KEY} AS key FROM events),
+  SELECT DISTINCT user_id, day(ts)::INT AS page, {_EVENT_KEY} AS key FROM events
+  WHERE NOT ({missing.format(page='day(ts)')})),
+landed AS (
+  SELECT user_id, page FROM (SELECT DISTINCT user_id FROM events),
+    (SELECT unnest(range(1, {_DAYS + 1}))::INT AS page) WHERE NOT ({missing.format(page='page')})),
 bad AS (
-  SELECT user_id, min(d.page) AS bad FROM (SELECT DISTINCT user_id FROM events)
-  JOIN (SELECT unnest(range(1, {_DAYS + 1}))::INT AS page) d ON (user_id * {_DAYS} + d.page) % 100 = 37
-  GROUP BY user_id),
+  SELECT u.user_id, min(d.page) AS bad
+  FROM (SELECT user_id, max(page) AS last FROM landed GROUP BY user_id) u
+  JOIN (SELECT unnest(range(1, {_DAYS + 1}))::INT AS page) d ON d.page <= u.last
+    AND ((user_id * {_DAYS} + d.page) % 100 = 37 OR {missing.format(page='d.page')})
+  GROUP BY u.user_id),
 firsts AS (SELECT user_id, key, min(page) AS page FROM rows r
   WHERE key <> 'click0' AND NOT EXISTS (
     SELECT 1 WHERE (r.user_id * {_DAYS} + r.page) % 100 = 37) GROUP BY ALL),
@@ -259,6 +267,7 @@ pages AS (
   JOIN (SELECT unnest(range(1, {_DAYS + 1}))::INT AS page) d ON true
   LEFT JOIN counts c ON c.user_id = u.user_id AND c.page = d.page
   LEFT JOIN news f ON f.user_id = u.user_id AND f.page = d.page
+  JOIN landed l ON l.user_id = u.user_id AND l.page = d.page
   LEFT JOIN bad b ON b.user_id = u.user_id
   WHERE bad IS NULL OR d.page < bad),
 walk AS (
@@ -286,7 +295,7 @@ def _review_run(spark: SparkSession, sf: str):
     return ingest(event_review_pages(spark, sf), options, event_seen(spark, sf))
 
 
-@query(_RUN_SQL + """
+@query(_run_sql() + """
 SELECT product_id, review_page, title, title AS review_text,
   sha256(product_id || '||||||' || title || '||' || title) AS review_id_hash,
   'https://www.shop.example/phone/p/itm1?pid=' || product_id AS product_url,
@@ -299,12 +308,36 @@ def ingest_reviews(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(_RUN_SQL + "SELECT product_id, count(*) AS n_reviews FROM written GROUP BY product_id")
+_MISSING = f"(user_id * {_DAYS} + {{page}}) % 50 = 11"
+_ENDS_SQL = """
+SELECT 'USR' || lpad(user_id::VARCHAR, 9, '0') AS product_id, last_page, outcome FROM ends
+"""
+
+
+@query(_run_sql(_MISSING) + _ENDS_SQL)
+def page_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Some pages never landed: a product ends as failed before its first gap."""
+    user = F.regexp_extract("product_url", "USR([0-9]+)", 1).cast("long")
+    landed = event_review_pages(spark, sf).filter((user * _DAYS + F.col("page_no")) % 50 != 11)
+    options = ReviewOptions(seen_stop_threshold=2, max_empty_pages=3)
+    return ingest(landed, options, event_seen(spark, sf)).products.drop("product_url")
+
+
+@query(_run_sql() + """
+SELECT (SELECT count(*) FROM written) AS total_reviews, count(*) FILTER (outcome = 'failed') AS failed_products
+FROM ends
+""")
+def review_totals(spark: SparkSession, sf: str) -> DataFrame:
+    run = _review_run(spark, sf)
+    return totals_of(run.reviews, run.products).select("total_reviews", "failed_products")
+
+
+@query(_run_sql() + "SELECT product_id, count(*) AS n_reviews FROM written GROUP BY product_id")
 def review_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_reviews(_review_run(spark, sf).reviews)
 
 
-@query(_RUN_SQL + """
+@query(_run_sql() + """
 SELECT 'USR' || lpad(user_id::VARCHAR, 9, '0') AS product_id, last_page, outcome FROM ends
 """)
 def quarantine(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,7 +348,9 @@ def quarantine(spark: SparkSession, sf: str) -> DataFrame:
 # --- catalog job ------------------------------------------------------------------
 
 
-def _catalog_run(spark: SparkSession, sf: str, max_products: int | None = None):
+def _catalog_run(
+    spark: SparkSession, sf: str, max_products: int | None = None, pages: DataFrame | None = None
+):
     options = CatalogOptions(
         domain=R.DOMAIN, discovery_mode="sitemap", max_products=max_products,
     )
@@ -324,7 +359,7 @@ def _catalog_run(spark: SparkSession, sf: str, max_products: int | None = None):
     seen = R.table(spark, sf, "part").filter("p_size = 7").select(
         F.concat(F.lit("itm"), F.col("p_partkey").cast("string")).alias("product_id")
     )
-    return export_catalog(candidates, R.product_pages(spark, sf), options, seen)
+    return export_catalog(candidates, pages or R.product_pages(spark, sf), options, seen)
 
 
 def _catalog_sql(limit: str = "true") -> str:
@@ -359,6 +394,14 @@ def catalog_export(spark: SparkSession, sf: str) -> DataFrame:
     return _catalog_run(spark, sf).catalog.drop("scraped_at", "ordinal")
 
 
+@query(_catalog_sql() + _WRITTEN_SQL)
+def relanded_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Each tenth page landed twice: its product is still looked at and written once."""
+    pages = R.product_pages(spark, sf)
+    twice = pages.unionByName(pages.filter("p_partkey % 10 = 3"))
+    return _catalog_run(spark, sf, pages=twice).catalog.drop("scraped_at", "ordinal")
+
+
 @query(_catalog_sql() + """
 SELECT count(*) AS scanned, count(*) FILTER (outcome = 'written') AS written,
   count(*) FILTER (outcome = 'non_mobile') AS skipped_non_mobile,
@@ -402,3 +445,19 @@ def stream_catalog(spark: SparkSession, sf: str) -> DataFrame:
     pages = R.product_pages(spark, sf).withColumnRenamed("p_partkey", "ordinal")
     written = _run_stream(spark, pages, jobs.catalog_stream, "stream-catalog")
     return written.select("product_id", "title", "category", "rating")
+
+
+@query(f"""
+SELECT product_id, title, category, rating FROM ({PRODUCT_SQL})
+WHERE is_mobile AND p_partkey % 10 <> 7
+""")
+def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
+    """A second stream with a new checkpoint on the same target adds and replaces nothing wrong."""
+    pages = R.product_pages(spark, sf).withColumnRenamed("p_partkey", "ordinal")
+    target = new_path(spark, "stream-restart-out")
+    for part in (pages.filter("ordinal % 3 = 0"), pages):
+        source, checkpoint = new_path(spark, "stream-restart-in"), new_path(spark, "stream-restart-state")
+        part.write.parquet(source)
+        stream = stream_pages(spark, source, pages.schema)
+        jobs.catalog_stream(stream, target, checkpoint).awaitTermination()
+    return spark.read.parquet(target).select("product_id", "title", "category", "rating")

@@ -121,3 +121,24 @@ def element_tree(spark: SparkSession, sf: str) -> DataFrame:
     # The window stays within one page.
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")) - 1
     return rows.select("page_id", "tag", place.cast("long").alias("place"), "href")
+
+
+@query("""
+SELECT doc_id, 'https://www.shop.example/mobile-phone/p/itm' || doc_id AS link FROM documents
+UNION ALL
+SELECT doc_id, 'https://www.shop.example/mobile-phone/p/itm' || doc_id || 'z' FROM documents
+""")
+def rough_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Links in tags that hold thousands of bare words, and in pages with unclosed quotes."""
+    # Words of a text as attributes: whatever could end a tag or open a quote is taken out.
+    words = F.repeat(F.concat(F.regexp_replace("text", "[<>\"'=/&]", ""), F.lit(" ")), 5)
+    key = F.col("doc_id").cast("string")
+    path = F.concat(F.lit("/mobile-phone/p/itm"), key)
+    html = F.concat(
+        F.lit("<a href='/x' "), words, F.lit(' href="'), path, F.lit('">x</a><p class="open>'),
+        F.lit("</p><a class=x href='"), path, F.lit("z'>y</a>"),
+    )
+    pages = R.table(spark, sf, "documents").select(
+        "doc_id", F.lit(f"{R.SITE}/list").alias("final_url"), html.alias("html")
+    )
+    return P.product_links(pages, R.DOMAIN).select("doc_id", "link")

@@ -12,6 +12,7 @@ from sitefold.operators import dedupe as D
 from sitefold.operators import discover as G
 from sitefold.operators import stops as T
 from sitefold.operators.requests import union_inputs
+from sitefold.session import new_path
 from sitefold.settings import CatalogOptions
 from sitefold.sources import sitemaps
 
@@ -372,3 +373,27 @@ FROM part
 def sitemap_urls(spark: SparkSession, sf: str) -> DataFrame:
     _, urls = sitemap_frames(spark, sf)
     return urls.withColumn("url_ord", F.col("url_ord").cast("long"))
+
+
+@query("""
+SELECT 'http://WWW.Shop.example/hi/mobile-phone/p/itm' || p_partkey || '/' AS loc,
+  unnest(['gz', 'plain']) AS kind FROM part
+""")
+def sitemap_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Shards as files with a prefixed namespace and image locations, plain and gz."""
+    _, documents = R.sitemap_documents(spark, sf)
+    # The prefix of the root goes on its own elements; image:loc must not count as a location.
+    xml = F.regexp_replace("xml", "<(/?)(urlset|url|loc)", "<$1sm:$2")
+    xml = F.replace(xml, F.lit("xmlns="), F.lit("xmlns:image='urn:image' xmlns:sm="))
+    image = "<image:image><image:loc>http://a.b/c.png</image:loc></image:image></sm:url>"
+    documents = documents.select(
+        F.sha2("shard_url", 256).alias("part"), F.replace(xml, F.lit("</sm:url>"), F.lit(image)).alias("value")
+    )
+    folder = new_path(spark, "sitemap-files")
+    documents.write.partitionBy("part").text(f"{folder}/gz", compression="gzip")
+    documents.write.partitionBy("part").text(f"{folder}/plain")
+    found = [
+        sitemaps.read_xml_files(spark, f"{folder}/{kind}/*/*").withColumn("kind", F.lit(kind))
+        for kind in ("gz", "plain")
+    ]
+    return sitemaps.sitemap_urls(found[0].unionByName(found[1])).select("loc", "kind")

@@ -206,3 +206,27 @@ def test_search_requests(spark):
     assert [r.request_url for r in got] == [
         "https:h.com/s?q=a&page=1".replace("https:h", "https:h"), "https:h.com/s?q=a&page=2"
     ]
+
+
+def test_missing_and_repeated_review_pages(spark):
+    url = "https://h.com/x/p/i?pid=G"
+    rows = [(url, 1, 200, page("r1")), (url, 2, 200, page("r2")), (url, 2, 503, None), (url, 4, 200, page("r4"))]
+    run = ingest_reviews(spark.createDataFrame(rows, PAGES))
+    assert written(run) == [("G", 1, "r1"), ("G", 2, "r2")]
+    assert [(r.last_page, r.outcome) for r in run.products.collect()] == [(2, "failed")]
+
+
+def test_seen_hashes_of_csv_targets(spark, tmp_path):
+    run = ingest_reviews(review_pages(spark))
+    sinks.write_reviews(run.reviews, str(tmp_path), "csv")
+    known = seen.read_seen_hashes_csv(spark, f"{tmp_path}/csv")
+    assert written(ingest_reviews(review_pages(spark), seen=known)) == []
+
+
+def test_prefixed_sitemap(spark):
+    xml = (
+        '<s:urlset xmlns:s="u" xmlns:image="i"><s:url><s:loc>http://a/1</s:loc>'
+        "<image:image><image:loc>http://a/no</image:loc></image:image></s:url></s:urlset>"
+    )
+    docs = spark.createDataFrame([(1, xml), (2, "<broken"), (3, ""), (4, None)], "id int, xml string")
+    assert [(r.id, r.loc) for r in sitemaps.sitemap_urls(docs).collect()] == [(1, "http://a/1")]

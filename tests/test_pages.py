@@ -222,3 +222,32 @@ def test_no_shuffle_and_no_python_in_parsing(spark, operator):
     plan = operator(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert "Python" not in plan.replace("PythonRDD", "")
+
+
+def test_no_page_ends_the_job(spark):
+    """Tags with very many attributes, unclosed quotes, and large pages."""
+    words = "word " * 100_000
+    rough = [
+        f'<a {words} href="/mobile-phone/p/itm1">x</a>',
+        f"<a {'x=1 ' * 100_000} href='/mobile-phone/p/itm1'>x</a>",
+        f'<a title="{words} <a href="/mobile-phone/p/itm1">x</a>',
+        "<p>" + "text, no markup. " * 600_000 + '<a href="/mobile-phone/p/itm1">x</a>',
+        f'<script {words} type="application/ld+json">{{"@type": "Review", "name": "n"}}</script>',
+    ]
+    pages = spark.createDataFrame([(i, "https://www.h.com/", h) for i, h in enumerate(rough)], "i int, final_url string, html string")
+    found = {r.i for r in P.product_links(pages, "h.com").collect()}
+    assert {0, 1, 3} <= found
+    assert [r.i for r in P.jsonld_reviews(pages).collect()] == [4]
+    assert P.html_reviews(pages).count() == 0
+
+
+def test_last_of_equal_attributes(one):
+    tag = '<a HREF="1" data-href="no" href = \'2\' rel=x href>'
+    assert one(F.expr(M.raw_attribute("s", "href")), tag) == "2"
+    assert one(F.expr(M.raw_attribute("s", "rel")), tag) == "x"
+    assert one(F.expr(M.raw_attribute("s", "class")), tag) == ""
+
+
+def test_windows_1252_and_html_5_references(one):
+    text = "&#146;a&#150; &check;&half; &#x80; &#129; &bogus; &amp"
+    assert one(F.expr(M.unescape("s")), text) == "’a– ✓½ € \x81 &bogus; &"
