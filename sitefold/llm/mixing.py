@@ -74,9 +74,9 @@ def _with_targets(
         else:
             pairs = [F.lit(x) for pair in given.items() for x in pair]
             known = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
-            share = F.coalesce(F.get(known, F.col(dim)), F.lit(0.0))
+            share = F.coalesce(F.try_element_at(known, F.col(dim)), F.lit(0.0))
             values = values.where("n > 0").select(
-                F.coalesce(F.get(known, F.col(dim)), F.lit(0.0)).alias("t")
+                F.coalesce(F.try_element_at(known, F.col(dim)), F.lit(0.0)).alias("t")
             )
         whole = values.agg(F.sum("t")).first()[0] or 1.0
         cells = cells.withColumn(f"t_{dim}", share / F.lit(float(whole)))

@@ -44,7 +44,7 @@ def test_expected_counts_are_derivatives(pieces):
     prob = draw.dirichlet(np.ones(pieces.size))
     words, times = ["▁there", "▁then"], np.array([2.0, 1.0])
     got = li.expected_counts(pieces, prob, words, times)
-    for piece in np.flatnonzero(got)[:10]:
+    for piece in np.flatnonzero(got > 1e-3)[:10]:
         up = prob.copy()
         up[piece] *= 1 + 1e-6
         change = li.forward(pieces, up[:, None], words) - li.forward(pieces, prob[:, None], words)
