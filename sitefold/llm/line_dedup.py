@@ -120,8 +120,7 @@ def dedup_lines(docs: DataFrame, min_length: int = 20, min_docs: int = 3) -> Dat
     """doc_id, n_lines, n_dropped, words (null: all lines stay), kept_text."""
     work = Workspace(docs.sparkSession, "line_dedup")
     bitmaps = keep_bitmaps(docs, work, min_length, min_docs)
-    # Row size of a bitmap: keys and counts, and 32 bytes for each word.
-    joined = join_key(keyed(docs), bitmaps, "left", 32 + F.size("words") * 32)
+    joined = join_key(keyed(docs), bitmaps, "left")
     lines = split_lines(F.col("text"))
     return joined.select(
         F.col("k_id").alias("doc_id"),
