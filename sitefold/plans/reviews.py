@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.text import iso_utc
 from sitefold.functions.urls import canonicalize_url, extract_pid
-from sitefold.operators.dedupe import first_per_key, only_new, with_review_key
+from sitefold.operators.dedupe import dedupe_urls, first_per_key, only_new, with_review_key
 from sitefold.operators.parse_pages import explode_reviews, review_lists
 from sitefold.operators.stops import cut_pages, page_cuts
 from sitefold.session import settle
@@ -99,33 +99,52 @@ def _product_outcomes(counts: DataFrame, lists: DataFrame, options: ReviewOption
     )
 
 
+def _listed_outcomes(listed: DataFrame, products: DataFrame) -> DataFrame:
+    """One outcome for each listed URL; one without any landed page failed."""
+    known = products.select("product_url", "last_page", "outcome")
+    return listed.join(known, "product_url", "left").select(
+        "product_url",
+        extract_pid(F.col("product_url")).alias("product_id"),
+        F.coalesce("last_page", F.lit(0)).alias("last_page"),
+        F.coalesce("outcome", F.lit("failed")).alias("outcome"),
+    )
+
+
 def ingest_reviews(
     pages: DataFrame,
     options: ReviewOptions = ReviewOptions(),
     seen: DataFrame | None = None,
     as_of: Column | None = None,
+    urls: DataFrame | None = None,
 ) -> ReviewRun:
     """New reviews of each product URL up to the page where reading stops.
 
     ``seen`` holds ``review_id_hash`` of earlier runs. A page whose reviews are all
     known counts as stale. A failed page ends its product, and so does one that is missing
-    before a later one; earlier pages stay. Where
-    several URLs share a product id, equal reviews are kept once, after each URL was
-    cut at its own last page.
+    before a later one; earlier pages stay. Where several URLs share a product id, equal
+    reviews are kept once, after each URL was cut at its own last page.
+
+    ``urls`` (ordinal, url) is the list the job was started with: only its products are
+    read, those without any landed page failed, and its order decides whose review stays.
     """
+    listed = None if urls is None else settle(dedupe_urls(urls), "listed-urls")
     lists = parse_landed(pages, options.max_pages)
     rows = with_review_key(explode_reviews(lists.filter(~F.col("failed")).drop("failed")))
     fresh = first_per_key(rows, ["product_url", "review_id_hash"], ["review_page", "pos"])
     if seen is not None:
         fresh = only_new(fresh, seen, "review_id_hash")
     fresh = settle(fresh, "fresh-reviews")
-    products = settle(
-        _product_outcomes(_page_counts(lists, fresh), lists, options), "review-products"
-    )
+    products = _product_outcomes(_page_counts(lists, fresh), lists, options)
+    if listed is not None:
+        products = _listed_outcomes(listed, products)
+    products = settle(products, "review-products")
     if options.fail_fast:
         check_no_failure(products)
     read = cut_pages(fresh, products, "product_url", "review_page")
-    once = first_per_key(read, "review_id_hash", ["product_url", "review_page", "pos"])
+    place = ["product_url", "review_page", "pos"]
+    if listed is not None:
+        read, place = read.join(listed, "product_url"), ["ordinal", *place]
+    once = first_per_key(read, "review_id_hash", place)
     return ReviewRun(
         once.withColumn("scraped_at", iso_utc(as_of)).select(*REVIEW_COLUMNS), products
     )

@@ -230,3 +230,18 @@ def test_prefixed_sitemap(spark):
     )
     docs = spark.createDataFrame([(1, xml), (2, "<broken"), (3, ""), (4, None)], "id int, xml string")
     assert [(r.id, r.loc) for r in sitemaps.sitemap_urls(docs).collect()] == [(1, "http://a/1")]
+
+
+def test_review_job_from_a_url_list(spark):
+    """Listed products without pages failed, unlisted pages are not read, input order decides ties."""
+    url = "https://h.com/{}/p/i?pid=L"
+    first, second, absent = url.format("z"), url.format("a"), "https://h.com/x/p/i?pid=M"
+    pages = spark.createDataFrame(
+        [(first, 1, 200, page("r1")), (second, 1, 200, page("r1", "r2")), ("https://h.com/x/p/i?pid=N", 1, 200, page("n"))],
+        PAGES,
+    )
+    urls = spark.createDataFrame([(0, first), (1, absent), (2, second), (3, first)], "ordinal long, url string")
+    run = ingest_reviews(pages, urls=urls)
+    got = {(r.product_url.split("/")[3], r.title) for r in run.reviews.collect()}
+    assert got == {("z", "r1"), ("a", "r2")}
+    assert {(r.product_id, r.outcome) for r in run.products.collect()} == {("L", "done"), ("M", "failed")}
