@@ -13,10 +13,11 @@ probability 0.99995. Candidates are verified by the exact J_P of their whole tex
 Groups may be large, so a bucket never emits all its pairs. Equal texts (same lower-cased words)
 are first joined into one node. Then each bucket compares its members with one leader, the
 member that meets most others in all its buckets (in a group of edited copies: the original);
-members that verified links join are one part of the bucket. Where a bucket still has several parts, its
-members outside the largest one are compared with all its members, in blocks of bounded
+members that verified links join are one part of the bucket. Where a bucket still has several
+parts, its members outside the largest one are compared with all its members, in blocks of bounded
 size: a block indexes its shingles, counts the overlaps inside the task, and emits no more links
-than it takes to join its parts. Classes are the components of all links, so they are those of all candidate pairs.
+than it takes to join its parts. Classes are the components of all links, so they are those of all
+candidate pairs.
 
 Defined results
 - One row for each input row: its class is the smallest doc_id of its component.
