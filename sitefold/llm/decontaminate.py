@@ -42,6 +42,7 @@ BLOCK_BYTES = 4 * 1024 * 1024
 SLICE_CHARS = 1 << 19
 BAND = 32
 TABLE_BITS = 22
+OUTSIDE = np.uint32(0xFFFFFFFF)  # no code point
 BASE = 0x9E3779B97F4A7C15 | 1
 LEAKS = "k_id long, k_hash long, items array<long>, edits array<int>"
 BLANKS = np.zeros(128, bool)
@@ -127,6 +128,20 @@ class Passages:
         return at[of], self.piece_of[which], self.place[which]
 
 
+def span(codes: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Positions low to high, with OUTSIDE where they lie before or after the text.
+
+    A region keeps all diagonals of its band so, also at the ends of a text. To replace OUTSIDE
+    costs what it costs to leave the passage's character out, so no distance changes.
+    """
+    inside = codes[max(0, low) : max(0, high)]
+    return np.pad(
+        inside,
+        (max(0, -low), max(0, high - max(len(codes), low))),
+        constant_values=OUTSIDE,
+    )
+
+
 def band_edits(piece: np.ndarray, region: np.ndarray, most: int) -> int:
     """Smallest number of edits between the piece and any part of the region, or most + 1.
 
@@ -134,9 +149,6 @@ def band_edits(piece: np.ndarray, region: np.ndarray, most: int) -> int:
     alignment covers region positions i to i + width, one cell for each diagonal.
     """
     width = len(region) - len(piece)
-    if width < 0:
-        region = np.append(region, np.full(2 * most - width, 0xFFFFFFFF, np.uint32))
-        width = len(region) - len(piece)
     step = np.arange(width + 1)
     row = np.zeros(width + 1, np.int64)
     for i in range(len(piece)):
@@ -184,7 +196,7 @@ def find_leaks(
         start = int(key[i]) % bands * BAND - longest
         low_end, high_end = start - most, start + BAND + 2 * most + len(pattern)
         of = codes[offsets[one] : offsets[one + 1]]
-        region = of[max(0, low_end) : max(0, high_end)]
+        region = span(of, low_end, high_end)
         exact = region.tobytes().find(pattern.tobytes())
         edits = 0 if exact >= 0 and exact % 4 == 0 else band_edits(pattern, region, most)
         if edits <= most:

@@ -62,6 +62,29 @@ def test_band_edits_is_the_distance_in_the_region():
         assert dc.band_edits(*codes, 8) == min(9, edits_in(piece, region))
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_spoiled_passages_at_the_ends_of_a_text(docs, seed):
+    draw = random.Random(100 + seed)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, prose(30)[: draw.choice([45, 60, 100, 150])].strip() + ".", 0) for i in range(12)]
+    texts = []
+    for _, item, _ in items:
+        most = int(len(item) * dc.EDIT_SHARE)
+        n = draw.randrange(1, most + 1)
+        at = draw.randrange(10, len(item) - 10 - n)
+        spoiled = [item[:-1], item[:-most], item[n:], item[:at] + item[at + n :], spoil(draw, item, n)]
+        for part in spoiled:
+            texts += [part, f"{part} {prose(30)}", f"{prose(30 + draw.randrange(30))} {part}"]
+    rows = [(i, " ".join(text.split())) for i, text in enumerate(texts)]
+    got = leaks(docs, rows, items)
+    for doc_id, text in rows:
+        item_id, item, _ = items[doc_id // 15]
+        most = int(len(item) * dc.EDIT_SHARE)
+        edits = edits_in(item, text)
+        assert got.get((doc_id, item_id)) == (edits if edits <= most else None)
+
+
 def test_parts_case_blanks_and_long_texts(docs):
     draw = random.Random(2)
     long = " ".join(f"word{draw.randrange(10**6)}" for _ in range(120))
