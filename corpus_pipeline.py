@@ -22,6 +22,8 @@ from sitefold.llm.sharding import shard_documents
 from sitefold.session import Workspace
 
 SHARDS = 40
+# Share of the tokens that mixing is to keep, at any size and whatever rare values there are.
+MIX_KEEP = 0.7
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +44,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that source, language and topic reach their raked shares."""
-    return mix_sources(docs).where("kept").select("doc.*")
+    """Documents sampled to raked shares of source, language and topic, as far as those reach."""
+    return mix_sources(docs, keep=MIX_KEEP).where("kept").select("doc.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

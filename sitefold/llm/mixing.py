@@ -4,8 +4,15 @@ Method: documents are counted into cells (source, language, topic) with their to
 weights start as the tokens there are and are raked: one sweep scales them to the target share
 of each source, then of each language, then of each topic. After some sweeps all three
 marginals hold at once. A document's probability is its cell's weight over its cell's tokens,
-scaled so that the largest is 1; a document stays if a number drawn from its id is below that.
-So no document is taken twice, and expected tokens have exactly the raked shares.
+scaled; a document stays if a number drawn from its id is below that. So no document is taken twice.
+
+The scale is set by ``keep``, the share of all tokens that is expected to stay.
+- A number: probabilities are bounded at 1. Cells that reach 1 are held full and the others are
+  raked to what is left, so a rare cell neither sets the scale nor the size of the result. Values
+  whose tokens fall short of their target stay whole as far as their other values let them, and the
+  others share the rest; ``mix_report`` lists every value with its target and its expected share.
+- None: the largest probability is 1. Expected tokens have exactly the raked shares, but the rarest
+  cell alone then sets how much stays. ``op9_mixing`` has this law, as its SQL states it.
 
 Targets are given as shares, or default to tempered ones: tokens to the power ``temper``,
 which lifts small sources and holds back large ones.
@@ -21,6 +28,8 @@ Defined results
 - Values with a target but no documents are ignored, the other shares of that dimension are
   scaled to 1; values without a given target get share 0 and their documents go.
 - Repeated rows have one id, draw one number and stay or go together; a null id draws as "null".
+- With ``keep``, at most the tokens of cells without a target of 0 can stay; if they are fewer, they
+  all do.
 - An empty table gives no rows; columns with clashing names are kept apart.
 """
 
@@ -105,6 +114,138 @@ def rake(
     return current
 
 
+def _level(cells: DataFrame, most: Column, weight: Column, amount: float) -> float:
+    """The factor at which the sum of least(most, factor * weight) is ``amount``.
+
+    Newton's steps from below: each holds what has reached its bound and spreads the rest over the
+    others, until no further one reaches it. Beyond the sum of the bounds, all have reached theirs.
+    """
+    factor, before = 0.0, -1
+    while True:
+        full = weight * F.lit(factor) >= most
+        held, count, free = (
+            cells.where((weight > 0) & (most > 0))
+            .agg(
+                F.coalesce(F.sum(F.when(full, most)), F.lit(0)).cast("double"),
+                F.count(F.when(full, 1)),
+                F.coalesce(F.sum(F.when(~full, weight)), F.lit(0)).cast("double"),
+            )
+            .first()
+        )
+        if count == before or free <= 0:
+            return factor
+        factor, before = max(factor, (amount - held) / free), count
+
+
+def rake_bounded(
+    cells: DataFrame,
+    work: Workspace,
+    targets: dict[str, dict[str, float]] | None = None,
+    temper: float = 0.7,
+    sweeps: int = 6,
+    keep: float = 1.0,
+) -> DataFrame:
+    """Cells (settled) with probability, at most 1, at which the share ``keep`` of tokens stays.
+
+    The sweeps are those of ``rake``, but a cell counts with its tokens at most, and the goal of a
+    value is its target as far as its tokens reach; values beyond theirs take up what is missing.
+    Also g_<dim>, the tokens that the target asks for, and n_<dim>, those there are.
+    """
+    start = work.settle(_with_targets(cells, targets or {}, temper), "start")
+    wanted = F.lit(True)
+    for dim in DIMS:
+        wanted &= F.col(f"t_{dim}") > 0
+    n = F.when(wanted, F.col("tokens")).otherwise(0).cast("double")
+    total, there = start.agg(F.sum("tokens"), F.sum(n)).first()
+    amount = min(keep * (total or 0), there or 0.0)
+    current = start.withColumn("n", n).withColumn("y", F.col("n"))
+    for dim in DIMS:
+        values = start.groupBy(dim).agg(F.sum(n).alias("n"), F.first(f"t_{dim}").alias("t"))
+        level = _level(work.settle(values, f"values_{dim}"), F.col("n"), F.col("t"), amount)
+        supply = F.sum("n").over(W.partitionBy(dim))
+        current = (
+            current.withColumn(f"n_{dim}", supply)
+            .withColumn(f"g_{dim}", F.col(f"t_{dim}") * F.lit(keep * float(total or 0)))
+            .withColumn(f"goal_{dim}", F.least(supply, F.col(f"t_{dim}") * F.lit(level)))
+        )
+    for sweep in range(sweeps):
+        for dim in DIMS:
+            full, goal = F.col("y") >= F.col("n"), F.col(f"goal_{dim}")
+            over = W.partitionBy(dim)
+            held = F.sum(F.when(full, F.col("n")).otherwise(0.0)).over(over)
+            free = F.sum(F.when(~full, F.col("y")).otherwise(0.0)).over(over)
+            # Short of the goal, the free cells get what the full ones leave; beyond it, all give way.
+            factor = (
+                F.when((held + free < goal) & (free > 0), (goal - held) / free)
+                .when(held + free > 0, goal / (held + free))
+                .otherwise(F.lit(0.0))
+            )
+            current = current.withColumn("y", F.least("y", "n") * factor)
+        if sweep % SWEEPS_PER_STEP == SWEEPS_PER_STEP - 1 or sweep == sweeps - 1:
+            current = work.settle(current, f"sweep_{sweep}")
+    level = _level(current, F.col("n"), F.col("y"), amount)
+    probability = F.when(
+        F.col("tokens") > 0, F.least(F.lit(1.0), F.col("y") * F.lit(level) / F.col("tokens"))
+    ).otherwise(F.lit(1.0))
+    columns = [f"{x}_{d}" for d in DIMS for x in ("t", "g", "n")]
+    return work.settle(
+        current.select(*DIMS, "tokens", probability.alias("probability"), *columns), "chances"
+    )
+
+
+def _by_cell(docs: DataFrame, topic: Column | None, *more: Column) -> DataFrame:
+    text = F.col("text").cast("string")
+    dims = (F.col("source"), F.col("lang"), topic_of(text) if topic is None else topic)
+    return docs.select(
+        *more,
+        token_count(text).alias("tokens"),
+        *[F.coalesce(d.cast("string"), F.lit(NONE)).alias(n) for d, n in zip(dims, DIMS)],
+    )
+
+
+def _check_keep(keep: float | None) -> None:
+    if keep is not None and not 0 < keep <= 1:
+        raise ValueError("keep must be above 0 and at most 1")
+
+
+def mix_report(
+    docs: DataFrame,
+    keep: float,
+    targets: dict[str, dict[str, float]] | None = None,
+    temper: float = 0.7,
+    sweeps: int = 6,
+    topic: Column | None = None,
+) -> DataFrame:
+    """(dimension, value, target, share, supply, unmet) of each value with tokens.
+
+    ``target`` and ``share``, the expected one, are shares of what stays; ``supply`` is the value's
+    tokens in cells that may stay. ``unmet``: the supply is less than the target asks for.
+    """
+    _check_keep(keep)
+    work = Workspace(docs.sparkSession, "mix_report")
+    rows = _by_cell(docs, topic)
+    cells = work.settle(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "cells")
+    chances = rake_bounded(cells, work, targets, temper, sweeps, keep)
+    stays = F.col("tokens") * F.col("probability")
+    total = float(chances.agg(F.sum(stays)).first()[0] or 1.0) or 1.0
+    parts = None
+    for dim in DIMS:
+        part = (
+            chances.where("tokens > 0")
+            .groupBy(F.lit(dim.removeprefix("m_")).alias("dimension"), F.col(dim).alias("value"))
+            .agg(
+                F.first(f"t_{dim}").alias("target"),
+                (F.sum(stays) / F.lit(total)).alias("share"),
+                F.first(f"n_{dim}").cast("long").alias("supply"),
+                (F.first(f"n_{dim}") < F.first(f"g_{dim}")).alias("unmet"),
+            )
+        )
+        parts = part if parts is None else parts.unionByName(part)
+    report = work.settle(parts, "report")
+    work.close(keep=("report",))
+    return report
+
+
 def mix_sources(
     docs: DataFrame,
     targets: dict[str, dict[str, float]] | None = None,
@@ -112,29 +253,30 @@ def mix_sources(
     sweeps: int = 6,
     seed: str = "mix",
     topic: Column | None = None,
+    keep: float | None = None,
 ) -> DataFrame:
     """(doc: struct of the input row, tokens, probability, kept) for every document.
 
-    ``targets`` may hold shares for "source", "lang" and "topic".
+    ``targets`` may hold shares for "source", "lang" and "topic"; ``keep`` is the share of all
+    tokens that is expected to stay, see above.
     """
+    _check_keep(keep)
     work = Workspace(docs.sparkSession, "mixing")
-    text = F.col("text").cast("string")
-    dims = (F.col("source"), F.col("lang"), topic_of(text) if topic is None else topic)
-    rows = docs.select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("doc"),
-        token_count(text).alias("tokens"),
-        *[F.coalesce(d.cast("string"), F.lit(NONE)).alias(n) for d, n in zip(dims, DIMS)],
-    )
+    rows = _by_cell(docs, topic, F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
     cells = work.settle(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = rake(cells, work, targets, temper, sweeps)
-    ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
-    largest = raked.agg(F.max(ratio)).first()[0] or 1.0
-    chances = work.settle(
-        raked.select(
-            *DIMS, F.coalesce(ratio / F.lit(float(largest)), F.lit(1.0)).alias("probability")
-        ),
-        "chances",
-    )
+    if keep is None:
+        raked = rake(cells, work, targets, temper, sweeps)
+        ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
+        largest = raked.agg(F.max(ratio)).first()[0] or 1.0
+        chances = work.settle(
+            raked.select(
+                *DIMS, F.coalesce(ratio / F.lit(float(largest)), F.lit(1.0)).alias("probability")
+            ),
+            "chances",
+        )
+    else:
+        raked = rake_bounded(cells, work, targets, temper, sweeps, keep)
+        chances = raked.select(*DIMS, "probability")
     work.close(keep=("chances",))
     size = sum((F.octet_length(d) for d in DIMS), F.lit(16))
     joined = rows.join(maybe_broadcast(chances, size), list(DIMS))

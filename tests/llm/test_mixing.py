@@ -1,6 +1,6 @@
 import pytest
 
-from sitefold.llm.mixing import mix_sources
+from sitefold.llm.mixing import mix_report, mix_sources
 
 
 def test_marginals_are_reached(docs):
@@ -24,6 +24,39 @@ def test_marginals_are_reached(docs):
     assert kept == pytest.approx(weight, rel=0.05) and kept < tokens
 
 
+def mixture():
+    return [(i, "word " * (4 + i % 40), "en" if i % 5 else "de", f"s{i % 3}") for i in range(3000)]
+
+
+def test_kept_share_does_not_hang_on_the_rarest_cell(docs):
+    odd = (9999, "word " * 20, "qq", "stray")
+    for rows in (mixture(), [*mixture(), odd]):
+        mixed = mix_sources(docs(rows), keep=0.7).collect()
+        tokens = sum(r.tokens for r in mixed)
+        assert sum(r.tokens * r.probability for r in mixed) == pytest.approx(0.7 * tokens, rel=1e-6)
+        assert max(r.probability for r in mixed) <= 1
+        assert sum(r.tokens for r in mixed if r.kept) == pytest.approx(0.7 * tokens, rel=0.05)
+    assert [r.probability for r in mixed if r.doc.doc_id == 9999] == [pytest.approx(1, abs=0.05)]
+
+
+def test_bounded_targets_and_report(docs):
+    frame = docs([*mixture(), (9999, "word " * 20, "qq", "stray")])
+    targets = {"lang": {"en": 0.6, "de": 0.4}, "source": {"s0": 1, "s1": 1, "s2": 2}}
+    mixed = mix_sources(frame, targets=targets, keep=0.7).collect()
+    weight = sum(r.tokens * r.probability for r in mixed)
+    assert weight == pytest.approx(0.7 * sum(r.tokens for r in mixed), rel=1e-6)
+    report = {r.value: r for r in mix_report(frame, 0.7, targets=targets).collect()}
+    for name, row in report.items():
+        share = sum(r.tokens * r.probability for r in mixed if name in r[2:5]) / weight
+        assert row.share == pytest.approx(share, abs=1e-9)
+    assert {n for n, r in report.items() if r.unmet} == {"de", "s2"}
+    assert {r.probability for r in mixed if r.m_lang == "qq"} == {0}
+    assert min(r.probability for r in mixed if r.m_lang == "de") > 0.95
+    for wrong in (0, 1.5):
+        with pytest.raises(ValueError):
+            mix_sources(frame, keep=wrong)
+
+
 def test_rough_rows(docs):
     rows = [(1, None, None, None), (2, "", "en", "e"), (3, "a b", "en", "s"), (3, "a b", "en", "s"), (None, "c\nd", "fr", None), (5, "x " * 50_000, "fr", "s")]
     frame = docs(rows)
