@@ -1,10 +1,11 @@
-"""Query of the exact search."""
+"""Queries over embeddings."""
 
 from pyspark.sql import functions as F
 
 from sitefold.llm.frames import table
 from sitefold.llm.kd_search import top_products
 from sitefold.llm.registry import query
+from sitefold.llm.whitening import whiten
 
 
 @query("""
@@ -25,3 +26,8 @@ QUALIFY row_number() OVER best <= 20
 def op5_kd_search(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_products(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+@query()
+def op12_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), most=4, scale=256)
