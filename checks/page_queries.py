@@ -142,3 +142,30 @@ def rough_pages(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.lit(f"{R.SITE}/list").alias("final_url"), html.alias("html")
     )
     return P.product_links(pages, R.DOMAIN).select("doc_id", "link")
+
+
+@query("""
+WITH words AS (
+  SELECT doc_id, len(regexp_extract_all(text, '[a-z]+')) AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, n AS n_items, n AS n_words, 1 AS n_ends, n AS deepest FROM words WHERE n > 0
+""")
+def large_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Two elements for each word of a text, list items that nothing closes, stray end tags."""
+    text = F.regexp_replace("text", "[<>&]", " ")
+    items = F.regexp_replace(text, "[a-z]+", "<li></i><b>w</b>")
+    pages = R.table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("<ul>"), items, F.lit("</li2></ul>")).alias("html")
+    )
+    found = P.elements(pages)
+    is_item = F.col("tag") == "li"
+    return (
+        found.groupBy("doc_id")
+        .agg(
+            F.count_if(is_item).alias("n_items"),
+            F.count_if(F.col("tag") == "b").alias("n_words"),
+            # All items end with the list; each lies in the one before.
+            F.count_distinct(F.when(is_item, F.col("end_id"))).alias("n_ends"),
+            F.count_distinct(F.when(is_item, F.col("parent_id"))).alias("deepest"),
+        )
+        .where("n_items > 0")
+    )

@@ -56,8 +56,9 @@ _QUOTED = r"""^"([\s\S]*)"\z|^'([\s\S]*)'\z"""
 _QUOTED_VALUE = r"""=\s*(?:"[^"]*"|'[^']*')"""
 _OPEN_VALUE_AT_END = r"""=\s*[^\s"'>][^\s>]*/>\z"""
 
-# Tokens folded per inner step; keeps the growing result arrays short.
-_FOLD_CHUNK = 256
+# Tags of the innermost fold, and such chunks in a run.
+_FOLD_CHUNK = 128
+_FOLD_RUN = 64
 
 
 def unescape(text: str) -> str:
@@ -179,8 +180,13 @@ def tags(toks: str) -> str:
     )
 
 
-_STACK = "CAST(array() AS ARRAY<STRUCT<pos: INT, tag: STRING, parent: INT>>)"
-_SPANS_TYPE = "ARRAY<STRUCT<pos: INT, end: INT, parent: INT, tag: STRING>>"
+_ENTRY = "STRUCT<pos: INT, tag: STRING, parent: INT>"
+_SPAN = "STRUCT<pos: INT, end: INT, parent: INT, tag: STRING>"
+_RANGE = "STRUCT<low: INT, n: INT, end: INT>"
+
+
+def _none(of: str) -> str:
+    return f"CAST(array() AS ARRAY<{of}>)"
 
 
 def _ended(closed: str, end: str) -> str:
@@ -190,29 +196,65 @@ def _ended(closed: str, end: str) -> str:
     )
 
 
-def _state(stack: str, out: str, done: str) -> str:
-    return f"named_struct('stack', {stack}, 'out', {out}, 'done', {done})"
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _fold_tag() -> str:
-    """Next state ``s`` after tag token ``t``."""
-    # 1-based place of the nearest open tag of this name
-    place = (
-        "(size(s.stack) - CAST(array_position(reverse(s.stack.tag), t.tag) AS INT) + 1)"
-    )
-    entry = (
-        "array(named_struct('pos', t.pos, 'tag', t.tag,"
-        " 'parent', coalesce(try_element_at(s.stack, -1).pos, -1)))"
-    )
-    opened = _state(f"concat(s.stack, {entry})", "s.out", "s.done")
-    empty = _state("s.stack", f"concat(s.out, {_ended(entry, 't.pos')})", "s.done")
-    shut = f"slice(s.stack, {place}, size(s.stack))"
-    closed = _state(
-        f"slice(s.stack, 1, {place} - 1)", f"concat(s.out, {_ended(shut, 't.pos')})", "s.done"
+def _nearest(tags_open: str, tag: str) -> str:
+    """1-based place of the last ``tag`` in an array of names, 0 without one."""
+    return (
+        f"if(array_contains({tags_open}, {tag}),"
+        f" size({tags_open}) - CAST(array_position(reverse({tags_open}), {tag}) AS INT) + 1, 0)"
     )
+
+
+def _step(**changed: str) -> str:
+    """State of the innermost fold: that of ``s`` but for the named fields.
+
+    ``base``: how many of the tags that were open before the chunk still are; ``own``: tags
+    the chunk opened; ``out``: elements it ended; ``cuts``: ranges of earlier tags it ended;
+    ``gone``: names not open before the chunk (any more).
+    """
+    fields = {k: changed.get(k, f"s.{k}") for k in ("base", "own", "out", "cuts", "gone")}
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def _fold_tag() -> str:
+    """Next state ``s`` after tag token ``t``; ``a.stack`` holds the tags open before the chunk."""
+    top = "get(a.stack, s.base - 1)"
+    parent = f"coalesce(try_element_at(s.own, -1).pos, {top}.pos, -1)"
+    entry = f"array(named_struct('pos', t.pos, 'tag', t.tag, 'parent', {parent}))"
+    opened = _step(own=f"concat(s.own, {entry})")
+    empty = _step(out=f"concat(s.out, {_ended(entry, 't.pos')})")
+    own_end = _ended("slice(s.own, place, size(s.own))", "t.pos")
+    own_closed = _let(
+        _nearest("s.own.tag", "t.tag"), "place",
+        _step(own="slice(s.own, 1, place - 1)", out=f"concat(s.out, {own_end})"),
+    )
+    # Mostly the tag on top; a search costs no more than it ends, or happens once for a name.
+    earlier = f"if({top}.tag = t.tag, s.base, {_nearest('slice(a.stack, 1, s.base).tag', 't.tag')})"
+    cut = "array(named_struct('low', low, 'n', s.base - low + 1, 'end', t.pos))"
+    all_closed = _step(
+        base="low - 1", own=_none(_ENTRY), out=f"concat(s.out, {_ended('s.own', 't.pos')})",
+        cuts=f"concat(s.cuts, {cut})",
+    )
+    ignored = _step(gone="concat(s.gone, array(t.tag))")
+    earlier_closed = _let(earlier, "low", f"if(low > 0, {all_closed}, {ignored})")
     return (
         f"CASE WHEN t.kind = 1 THEN {opened} WHEN t.kind = 0 THEN {empty}"
-        f" WHEN array_contains(s.stack.tag, t.tag) THEN {closed} ELSE s END"
+        f" WHEN array_contains(s.own.tag, t.tag) THEN {own_closed}"
+        f" WHEN s.base = 0 OR array_contains(s.gone, t.tag) THEN s ELSE {earlier_closed} END"
+    )
+
+
+def _folded(starts: str, start: str, stack: str, one: str, end: str = "") -> str:
+    """Open tags and ended elements after a run of chunks; ``one`` is what a chunk gives."""
+    zero = f"named_struct('stack', {stack}, 'parts', CAST(array() AS ARRAY<ARRAY<{_SPAN}>>))"
+    last = f", {_ended('z.stack', end)}" if end else ""
+    return (
+        f"aggregate({starts}, {zero}, (a, {start}) -> {one},"
+        f" z -> named_struct('stack', z.stack, 'out', concat(flatten(z.parts){last})))"
     )
 
 
@@ -221,21 +263,41 @@ def spans(tag_tokens: str, page_end: str) -> str:
 
     ``pos`` is the token of the start tag, ``end`` the token that closes it and
     ``parent`` the start of the surrounding element (-1 at the top).
+
+    An aggregate copies its whole state at every step, so no state may grow with the page. The
+    fold is nested instead: chunks of tags, runs of chunks, runs of runs; the innermost state
+    holds what its chunk opened and ended, and looks at the tags open before without holding
+    them. Work is linear in the tags, and a chunk adds one copy of the tags open at its start.
     """
-    none = f"CAST(array() AS {_SPANS_TYPE})"
-    starts = f"sequence(1, greatest(size({tag_tokens}), 1), {_FOLD_CHUNK})"
-    # ``done`` gets one array per chunk, so no growing array is copied per tag.
-    chunk = (
-        f"aggregate(slice({tag_tokens}, start, {_FOLD_CHUNK}), {_state('a.stack', none, 'a.done')},"
-        f" (s, t) -> {_fold_tag()},"
-        f" r -> {_state('r.stack', none, 'concat(r.done, array(r.out))')})"
+    wide = _FOLD_CHUNK * _FOLD_RUN
+    # Where many tags are open, chunks are longer, as each copies them.
+    most = f"least({_FOLD_CHUNK * 8}, size(a.stack) div {_FOLD_CHUNK})"
+    width = f"CAST(greatest({_FOLD_CHUNK}, {most}) AS INT)"
+    zero = (
+        f"named_struct('base', size(a.stack), 'own', {_none(_ENTRY)}, 'out', {_none(_SPAN)},"
+        f" 'cuts', {_none(_RANGE)}, 'gone', CAST(array() AS ARRAY<STRING>))"
     )
-    first = _state(_STACK, none, f"CAST(array() AS ARRAY<{_SPANS_TYPE}>)")
-    folded = (
-        f"aggregate(if({tag_tokens} IS NOT NULL, {starts}, NULL), {first}, (a, start) -> {chunk},"
-        f" z -> concat(flatten(z.done), {_ended('z.stack', page_end)}))"
+    cuts = f"flatten(transform(r.cuts, x -> {_ended('slice(a.stack, x.low, x.n)', 'x.end')}))"
+    chunk = (
+        f"aggregate(slice(run, start, width), {zero}, (s, t) -> {_fold_tag()},"
+        " r -> named_struct('stack', concat(slice(a.stack, 1, r.base), r.own),"
+        f" 'parts', concat(a.parts, array(concat(r.out, {cuts})))))"
     )
-    return f"sort_array({folded})"
+
+    def starts(tokens: str, step: int | str) -> str:
+        return f"if(size({tokens}) > 0, sequence(1, size({tokens}), {step}), CAST(array() AS ARRAY<INT>))"
+
+    # A run's tags are cut out once; a slice of the whole page would be read anew for each chunk.
+    inner = _let(
+        f"slice({tag_tokens}, first, {wide})", "run",
+        _let(width, "width", _folded(starts("run", "width"), "start", "a.stack", chunk)),
+    )
+    joined = _let(
+        inner, "done",
+        "named_struct('stack', done.stack, 'parts', concat(a.parts, array(done.out)))",
+    )
+    whole = _folded(starts(tag_tokens, wide), "first", _none(_ENTRY), joined, page_end)
+    return f"if({tag_tokens} IS NOT NULL, sort_array({whole}.out), NULL)"
 
 
 def text_runs(toks: str) -> str:

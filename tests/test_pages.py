@@ -251,3 +251,48 @@ def test_last_of_equal_attributes(one):
 def test_windows_1252_and_html_5_references(one):
     text = "&#146;a&#150; &check;&half; &#x80; &#129; &bogus; &amp"
     assert one(F.expr(M.unescape("s")), text) == "’a– ✓½ € \x81 &bogus; &"
+
+
+def paired(tags, end):
+    """Elements by a plain stack of open tags."""
+    stack, out = [], []
+    for pos, kind, tag in tags:
+        parent = stack[-1][0] if stack else -1
+        if kind == 1:
+            stack.append((pos, tag, parent))
+        elif kind == 0:
+            out.append((pos, pos, parent, tag))
+        else:
+            at = max((i for i, entry in enumerate(stack) if entry[1] == tag), default=None)
+            if at is not None:
+                out += [(p, pos, parent, name) for p, name, parent in stack[at:]]
+                del stack[at:]
+    return sorted(out + [(p, end, parent, name) for p, name, parent in stack])
+
+
+def test_tag_pairing_of_random_tags(spark):
+    rng = random.Random(1)
+    pages = []
+    for page in range(16):
+        names, opening = "abcdefg"[: rng.randint(1, 7)], rng.choice([0.35, 0.5, 0.65])
+        tags, pos = [], 0
+        # Beyond 8,192 tags the fold has more than one run.
+        for _ in range(9000 if page < 2 else rng.choice([0, 1, 3, 130, 900])):
+            pos, draw = pos + rng.randint(1, 3), rng.random()
+            kind = 0 if draw < 0.05 else 1 if draw < 0.05 + opening else -1
+            tags.append((pos, kind, rng.choice(names)))
+        pages.append((page, tags))
+    df = spark.createDataFrame(pages, "page int, tags array<struct<pos:int,kind:int,tag:string>>")
+    for row in df.selectExpr("tags", M.spans("tags", "99999") + " AS found").collect():
+        want = paired([tuple(t) for t in row.tags], 99999)
+        assert [tuple(e) for e in row.found] == want
+
+
+@pytest.mark.parametrize("part, n", [("<b>x</b>", 200_000), ("<li><a>x", 50_000)])
+def test_a_very_large_page(spark, part, n):
+    pages = spark.createDataFrame([(1, "<ul>" + part * n + "</ul>")], "page_id int, html string")
+    found = P.elements(pages).groupBy("tag").agg(F.count("*").alias("n"), F.max("end_id").alias("end"))
+    counts = {r.tag: (r.n, r.end) for r in found.collect()}
+    names = ["b"] if "b" in part else ["li", "a"]
+    assert {k: v[0] for k, v in counts.items()} == {"ul": 1, **dict.fromkeys(names, n)}
+    assert counts[names[-1]][1] == counts["ul"][1] - ("b" in part)

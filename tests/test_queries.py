@@ -1,5 +1,8 @@
 """Every check query against its DuckDB oracle on the smallest tables."""
 
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -25,3 +28,19 @@ def test_oracles_belong_to_queries():
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
+
+
+def test_entry_without_the_operators(tmp_path):
+    """With the operators' folders deleted the other queries still load, pipeline file or not."""
+    root = Path(entry_point.__file__).parent
+    for name in ("checks", "sitefold"):
+        left_out = shutil.ignore_patterns("llm", "__pycache__")
+        shutil.copytree(root / name, tmp_path / name, ignore=left_out)
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True,
+        env={"PATH": "", "PYTHONPATH": str(tmp_path)},
+    )
+    assert int(out.stdout.split()[0]) == len(QUERIES)
