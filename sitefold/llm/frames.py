@@ -57,6 +57,28 @@ def join_key(
     return joined.drop(side["k_id"]).drop(side["k_hash"])
 
 
+# A key with more than one in so many rows is split; there are at most so many such keys.
+HOT_SHARE = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Join on keys of which ``right`` (settled) says how many rows ``n`` they have in ``left``.
+
+    ``total`` is the number of rows of ``left``. A key with more than a thousandth of them is
+    dealt by salts, so that no task gets more than about that share for it. Which keys those are
+    is broadcast: at most a thousand.
+    """
+    salts = F.ceil(F.col("n") * HOT_SHARE / F.lit(max(total, 1))).cast("int")
+    hot = right.where(salts > 1).select(*keys, salts.alias("_salts"))
+    spot = F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int")
+    dealt = left.join(F.broadcast(hot), keys, "left").select(
+        *left.columns, F.coalesce(spot, F.lit(0)).alias("_salt")
+    )
+    every = F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)
+    copies = right.withColumn("_salt", F.explode(every))
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def id_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null ids are in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0))

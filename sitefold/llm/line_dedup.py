@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sitefold.llm.frames import join_key, keyed
+from sitefold.llm.frames import join_counted, join_key, keyed
 from sitefold.session import Workspace
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SALTS = 64
+# Documents that share a salt; one line of them all is sorted by one task.
+SALT_DOCS = 50_000
 WORD = 32
 
 WORDS_TYPE = "array<struct<word:bigint,kept:bigint>>"
@@ -47,6 +48,7 @@ def keep_bitmaps(
     A key of at least ``min_length`` code points found in at least ``min_docs`` documents
     loses its lines everywhere but in the largest doc_id that holds it.
     """
+    salts = max(64, docs.count() // SALT_DOCS)
     lines = keyed(docs).select("k_id", "k_hash", F.posexplode(split_lines(F.col("text"))))
     key = line_key(F.col("col"))
     hashed = lines.where(F.length(key) >= min_length).select(
@@ -56,7 +58,7 @@ def keep_bitmaps(
         # Two hashes with different seeds: 128 bits, so that unequal lines do not meet.
         F.xxhash64(key).alias("h1"),
         F.xxhash64(F.lit("line"), key).alias("h2"),
-        F.pmod(F.xxhash64("k_id"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("k_id"), F.lit(salts)).cast("int").alias("salt"),
     )
     order = ["h1", "h2", "salt"]
     stream = W.partitionBy(*order).orderBy(F.col("k_id").desc_nulls_last(), "k_hash", "line")
@@ -70,14 +72,18 @@ def keep_bitmaps(
         ),
         "lines",
     )
-    repeated = (
-        ranged.where("first")
-        .groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.max("k_id").alias("keeper"))
+    repeated = work.settle(
+        ranged.groupBy("h1", "h2")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if("first").alias("n_docs"),
+            F.max("k_id").alias("keeper"),
+        )
         .where(F.col("n_docs") >= min_docs)
-        .drop("n_docs")
+        .drop("n_docs"),
+        "repeated",
     )
-    dropped = ranged.join(repeated, ["h1", "h2"]).where(
+    dropped = join_counted(ranged, repeated, ["h1", "h2"], ranged.count()).where(
         ~F.col("k_id").eqNullSafe(F.col("keeper"))
     )
     one = F.lit(1).cast("bigint")
@@ -93,7 +99,7 @@ def keep_bitmaps(
         ).alias("words"),
     )
     settled = work.settle(words, "bitmaps")
-    work.drop("lines")
+    work.drop("lines", "repeated")
     return settled
 
 
@@ -121,7 +127,9 @@ def dedup_lines(docs: DataFrame, min_length: int = 20, min_docs: int = 3) -> Dat
     work = Workspace(docs.sparkSession, "line_dedup")
     bitmaps = keep_bitmaps(docs, work, min_length, min_docs)
     joined = join_key(keyed(docs), bitmaps, "left")
-    lines = split_lines(F.col("text"))
+    # A one-item explode: without it the text would be split anew for every line that is kept.
+    joined = joined.select("*", F.explode(F.array(split_lines(F.col("text")))).alias("lines"))
+    lines = F.col("lines")
     return joined.select(
         F.col("k_id").alias("doc_id"),
         F.size(lines).cast("long").alias("n_lines"),

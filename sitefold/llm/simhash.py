@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.llm.components import components
-from sitefold.llm.frames import keyed, maybe_broadcast
+from sitefold.llm.frames import join_counted, keyed, maybe_broadcast
 from sitefold.llm.words import U64, text_slices
 from sitefold.session import Workspace
 
@@ -56,7 +56,6 @@ HOT = 100
 PROBE_BLOCK, BASE_BLOCK = 1024, 2048
 # Cost of comparing a pair, as a multiple of the cost of filing or probing one row.
 PAIR_COST = 0.02
-HOT_SHARE = 1000
 _SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -447,17 +446,6 @@ def fingerprint_links(
 # --- components -----------------------------------------------------------------------
 
 
-def _join_counted(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
-    """Join on a key of which ``right`` (settled) says how many rows ``n`` it has in ``left``.
-
-    Keys with more than a thousandth of ``total`` rows, at most a thousand, are broadcast.
-    """
-    heavy = F.broadcast(right.where(F.col("n") * HOT_SHARE > total))
-    light = right.where(F.col("n") * HOT_SHARE <= total)
-    rest = left.join(heavy.select(key), key, "left_anti")
-    return left.join(heavy, key).unionByName(rest.join(maybe_broadcast(light, 24), key))
-
-
 def near_components(
     docs: DataFrame, work: Workspace, size: int = 3, max_bits: int = 3
 ) -> DataFrame:
@@ -480,7 +468,7 @@ def near_components(
         "groups",
     )
     count = linked.count()
-    grouped = _join_counted(linked.select("fp", "copies", "comp"), groups, "comp", count)
+    grouped = join_counted(linked.select("fp", "copies", "comp"), groups, ["comp"], count)
     alone = nodes.join(labels, nodes["fp"] == labels["node"], "left_anti")
     found = work.settle(
         grouped.select("fp", F.col("copies").alias("n"), "component_id").unionByName(
@@ -488,4 +476,4 @@ def near_components(
         ),
         "found",
     )
-    return _join_counted(signed, found, "fp", signed.count()).select("k_id", "fp", "component_id")
+    return join_counted(signed, found, ["fp"], signed.count()).select("k_id", "fp", "component_id")

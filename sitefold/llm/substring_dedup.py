@@ -33,15 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitefold.llm.frames import join_key, keyed
+from sitefold.llm.frames import join_counted, join_key, keyed
 from sitefold.llm.words import Runs, U64, Words, mix, starts_of_runs, text_slices
+from sitefold.operators.prefilter import key_bits, may_hold, surely_without
 from sitefold.session import Workspace
 
 POSITION_BITS = 22
-PIECES = "mini long, spelled long, k_id long, k_hash long, start int, n int"
+PIECES = "mini long, spelled long, k_id long, k_hash long, start int, n_windows int"
 EDGES = "h1 long, h2 long, k_id long, k_hash long, start int"
 KEPT = "k_id long, n_words long, n_removed long, kept_text string"
 
@@ -103,7 +104,7 @@ def _pieces(k: int, m: int):
                         pa.array((start - words.offsets[text]).astype(np.int32)),
                         pa.array(n.astype(np.int32)),
                     ],
-                    names=["mini", "spelled", "k_id", "k_hash", "start", "n"],
+                    names=["mini", "spelled", "k_id", "k_hash", "start", "n_windows"],
                 )
 
     return run
@@ -192,33 +193,51 @@ def _cut(k: int):
     return run
 
 
+def document_key() -> Column:
+    return F.struct("k_id", "k_hash")
+
+
 def repeated_spans(docs: DataFrame, work: Workspace, k: int = 35, m: int = 12) -> DataFrame:
     """k_id, k_hash, spans: word positions (start, n) at which repeated windows start (settled)."""
     rows = keyed(docs)
     pieces = rows.mapInArrow(_pieces(k, m), PIECES)
-    repeated = (
+    repeated = work.settle(
         pieces.groupBy("mini")
         .agg(
-            F.count(F.lit(1)).alias("seen"),
+            F.count(F.lit(1)).alias("n"),
             (F.min("spelled") == F.max("spelled")).alias("one_path"),
         )
-        .where("seen > 1")
-        .drop("seen")
+        .where("n > 1"),
+        "repeated",
     )
+    # Most minimisers are unique: their pieces leave before the second shuffle.
+    bits = work.settle(key_bits(repeated, F.col("mini")), "mini_bits")
+    again = may_hold(pieces, F.col("mini"), bits)
+    n_again = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     found = work.settle(
-        pieces.join(repeated, "mini").select("k_id", "k_hash", "start", "n", "one_path"), "found"
+        join_counted(again.drop("spelled"), repeated, ["mini"], n_again).select(
+            "k_id", "k_hash", "start", F.col("n_windows").alias("n"), "one_path"
+        ),
+        "found",
     )
+    work.drop("repeated", "mini_bits")
     span = F.struct("start", "n")
     branching = work.settle(
         found.where(~F.col("one_path"))
         .groupBy("k_id", "k_hash")
-        .agg(F.collect_list(span).alias("pieces")),
+        .agg(F.collect_list(span).alias("pieces"), F.sum("n").alias("n_edges")),
         "branching",
     )
+    n_edges = branching.agg(F.coalesce(F.sum("n_edges"), F.lit(0)).alias("n")).first()["n"]
+    # Texts without a branching piece stay where they are.
+    bits = work.settle(key_bits(branching, document_key()), "branching_bits")
+    texts = may_hold(rows, document_key(), bits)
     # Expanded twice, for the counts and for the join: cheaper than keeping the edges on disk.
-    edges = join_key(rows, branching, "inner").mapInArrow(_edges(k), EDGES)
-    twins = edges.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
-    single = edges.join(twins, ["h1", "h2"]).select(
+    edges = join_key(texts, branching.drop("n_edges"), "inner").mapInArrow(_edges(k), EDGES)
+    twins = work.settle(
+        edges.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twins"
+    )
+    single = join_counted(edges, twins, ["h1", "h2"], n_edges).select(
         "k_id", "k_hash", "start", F.lit(1).alias("n")
     )
     spans = work.settle(
@@ -229,7 +248,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, k: int = 35, m: int = 12) -
         .agg(F.collect_list(span).alias("spans")),
         "spans",
     )
-    work.drop("found", "branching")
+    work.drop("found", "branching", "branching_bits", "twins")
     return spans
 
 
@@ -237,6 +256,12 @@ def dedup_substrings(docs: DataFrame, k: int = 35, m: int = 12) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: texts without windows of k words that occur twice."""
     work = Workspace(docs.sparkSession, "substring_dedup")
     spans = repeated_spans(docs, work, k, m)
-    joined = join_key(keyed(docs), spans, "left")
-    kept = joined.mapInArrow(_cut(k), KEPT)
+    bits = work.settle(key_bits(spans, document_key()), "span_bits")
+    rows = keyed(docs)
+    joined = join_key(may_hold(rows, document_key(), bits), spans, "left")
+    # Texts that lose nothing do not shuffle.
+    whole = surely_without(rows, document_key(), bits).withColumn(
+        "spans", F.lit(None).cast(joined.schema["spans"].dataType)
+    )
+    kept = joined.unionByName(whole).mapInArrow(_cut(k), KEPT)
     return kept.withColumnRenamed("k_id", "doc_id")

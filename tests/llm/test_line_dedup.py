@@ -55,3 +55,16 @@ def test_bitmap_and_empty_table(docs):
 def test_no_python_in_the_plan(docs):
     plan = dedup_lines(docs([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_very_long_text(spark, docs):
+    """A million lines in one text, some of them lost, within seconds."""
+    common = [f"line number {i} that all documents hold" for i in range(5)]
+    n = 1_000_000
+    body = "\n".join(common[i // 1000 % 5] if i % 1000 == 0 else f"own {i}" for i in range(n))
+    out = dedup_lines(docs([(1, body), (2, "\n".join(common)), (3, "\n".join(common))])).collect()
+    found = {r.doc_id: r for r in out}
+    assert found[1].n_lines == n
+    lost = sum(i % 1000 == 0 for i in range(n))
+    assert found[1].n_dropped == lost and found[3].n_dropped == 0 and found[2].n_dropped == 5
+    assert found[1].kept_text.split("\n") == [f"own {i}" for i in range(n) if i % 1000]
