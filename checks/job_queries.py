@@ -11,14 +11,16 @@ from checks.page_queries import PRODUCT_SQL
 from checks.registry import query
 from checks.relational import _DAYS, _EVENT_KEY, sitemap_frames
 from sitefold.operators.dedupe import with_review_key
+from sitefold.functions.urls import to_review_url
 from sitefold.operators.discover import discover
+from sitefold.operators.refused import refused_inputs as refused_of, refused_sitemaps
 from sitefold.plans.catalog import export_catalog
 from sitefold.plans.metrics import catalog_metrics, review_counts as count_reviews, review_totals as totals_of
-from sitefold.plans.reviews import ingest_reviews as ingest
+from sitefold.plans.reviews import ingest_requested, ingest_reviews as ingest
 from sitefold.session import new_path
 from sitefold.settings import CatalogOptions, ReviewOptions
 from sitefold.sources import seen as seen_files
-from sitefold.sources import sinks, url_lists
+from sitefold.sources import sinks, sitemaps, url_lists
 from sitefold.sources.pages import stream_pages
 from sitefold.streaming import jobs
 
@@ -241,8 +243,8 @@ def event_seen(spark: SparkSession, sf: str) -> DataFrame:
     return with_review_key(rows).select("review_id_hash")
 
 
-def _run_sql(missing: str = "false") -> str:
-    """The job in SQL; ``missing``: pages (user_id, page) that never landed."""
+def _run_sql(missing: str = "false", last: str = "u.last") -> str:
+    """The job in SQL; ``missing``: pages (user_id, page) that never landed, looked for to ``last``."""
     return f"""
 WITH RECURSIVE rows AS (
   SELECT DISTINCT user_id, day(ts)::INT AS page, {_EVENT_KEY} AS key FROM events
@@ -253,7 +255,7 @@ landed AS (
 bad AS (
   SELECT u.user_id, min(d.page) AS bad
   FROM (SELECT user_id, max(page) AS last FROM landed GROUP BY user_id) u
-  JOIN (SELECT unnest(range(1, {_DAYS + 1}))::INT AS page) d ON d.page <= u.last
+  JOIN (SELECT unnest(range(1, {_DAYS + 1}))::INT AS page) d ON d.page <= {last}
     AND ((user_id * {_DAYS} + d.page) % 100 = 37 OR {missing.format(page='d.page')})
   GROUP BY u.user_id),
 firsts AS (SELECT user_id, key, min(page) AS page FROM rows r
@@ -323,6 +325,36 @@ def page_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return ingest(landed, options, event_seen(spark, sf)).products.drop("product_url")
 
 
+_NEVER_LANDED = f"((user_id * {_DAYS} + {{page}}) % 50 = 11 OR (user_id % 3 = 0 AND {{page}} > 12))"
+_LISTED = "CAST(substr(product_id, 4) AS INT) % 7 <> 0"
+
+
+def _requested_run(spark: SparkSession, sf: str):
+    """Pages that know only what was asked for, some of unlisted products, some never landed."""
+    user = F.regexp_extract("product_url", "USR([0-9]+)", 1).cast("long")
+    page = F.col("page_no")
+    gone = ((user * _DAYS + page) % 50 == 11) | ((user % 3 == 0) & (page > 12))
+    all_pages = event_review_pages(spark, sf)
+    landed = all_pages.filter(~gone).select(
+        F.explode(F.array(to_review_url(F.col("product_url"), page))).alias("request_url"), "status", "html"
+    )
+    urls = all_pages.filter(user % 7 != 0).select(user.alias("ordinal"), F.col("product_url").alias("url"))
+    options = ReviewOptions(max_pages=_DAYS, seen_stop_threshold=2, max_empty_pages=3)
+    return ingest_requested(landed, urls.distinct(), options, event_seen(spark, sf))
+
+
+@query(_run_sql(_NEVER_LANDED, str(_DAYS)) + f"""
+SELECT product_id, review_page, title FROM written WHERE {_LISTED}
+""")
+def requested_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    return _requested_run(spark, sf).reviews.select("product_id", "review_page", "title")
+
+
+@query(_run_sql(_NEVER_LANDED, str(_DAYS)) + f"SELECT * FROM ({_ENDS_SQL}) WHERE {_LISTED}")
+def requested_products(spark: SparkSession, sf: str) -> DataFrame:
+    return _requested_run(spark, sf).products.drop("product_url")
+
+
 @query(_run_sql() + """
 SELECT (SELECT count(*) FROM written) AS total_reviews, count(*) FILTER (outcome = 'failed') AS failed_products
 FROM ends
@@ -461,3 +493,66 @@ def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
         stream = stream_pages(spark, source, pages.schema)
         jobs.catalog_stream(stream, target, checkpoint).awaitTermination()
     return spark.read.parquet(target).select("product_id", "title", "category", "rating")
+
+
+# --- what was not read ----------------------------------------------------------------
+
+
+_REFUSED_PAGES_SQL = """
+SELECT url AS source, NULL::INT AS part, 'page' AS stage,
+  CASE page_id % 10 WHEN 0 THEN 'no response' WHEN 1 THEN 'status 404' WHEN 2 THEN 'bot check'
+    WHEN 3 THEN 'status 503' ELSE 'no text' END AS reason
+FROM pages WHERE page_id % 10 IN (0, 1, 2, 3, 4)
+UNION ALL
+SELECT url, part, 'json-ld', 'not JSON' FROM pages, (VALUES (1), (2)) t(part) WHERE page_id % 10 = 5
+"""
+
+
+def _rough_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed pages of which half cannot be read, for one reason each."""
+    kind = F.col("page_id") % 10
+    script = '<script type="application/ld+json">'
+    texts = F.concat(
+        F.lit(f'{script}{{"a": 1}}</script>{script}{{bad </script>{script}[1, '),
+        F.col("page_id").cast("string"), F.lit("</script>"), "html",
+    )
+    return R.table(spark, sf, "pages").select(
+        F.col("page_id").alias("ordinal"),
+        F.col("url").alias("request_url"),
+        F.when(kind == 0, None).when(kind == 1, 404).when(kind == 2, 403).when(kind == 3, 503)
+        .otherwise(200).alias("status"),
+        F.when(kind == 2, "reCAPTCHA: Are you a human?").when(kind == 4, None).when(kind == 5, texts)
+        .otherwise(F.col("html")).alias("html"),
+    )
+
+
+@query(f"""
+{_REFUSED_PAGES_SQL}
+UNION ALL
+SELECT url, NULL, 'sitemap', CASE page_id % 10 WHEN 6 THEN 'not XML' WHEN 7 THEN 'status 503' ELSE 'no text' END
+FROM pages WHERE page_id % 10 IN (6, 7, 8)
+""")
+def refused_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages, JSON-LD documents and sitemap documents that are not read, each with its reason."""
+    pages = _rough_inputs(spark, sf)
+    kind = F.col("ordinal") % 10
+    documents = pages.select(
+        F.col("request_url").alias("file"),
+        F.when(kind == 7, 503).otherwise(200).alias("status"),
+        F.when(kind == 6, "<urlset><url>").when(kind == 8, " ")
+        .otherwise("<urlset><url><loc>u</loc></url></urlset>").alias("xml"),
+    )
+    return refused_of(pages).unionByName(refused_sitemaps(documents, sitemaps.URLSET))
+
+
+@query(_REFUSED_PAGES_SQL)
+def stream_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pages as a stream of several batches, started twice on one checkpoint."""
+    source, target = new_path(spark, "stream-refused-in"), new_path(spark, "stream-refused-out")
+    checkpoint = new_path(spark, "stream-refused-state")
+    pages = _rough_inputs(spark, sf)
+    pages.repartition(4, "ordinal").write.parquet(source)
+    for _ in range(2):
+        stream = stream_pages(spark, source, pages.schema, maxFilesPerTrigger="2")
+        jobs.catalog_stream(stream, target, checkpoint).awaitTermination()
+    return jobs.read_refused(spark, target).select("source", "part", "stage", "reason")

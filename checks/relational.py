@@ -329,28 +329,42 @@ def discover_auto(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("""
-WITH RECURSIVE edges AS (
-  SELECT c_custkey AS src, unnest([2 * c_custkey % n, (3 * c_custkey + 1) % n]) AS dst
+def _bfs_sql(depth: int) -> str:
+    """Levels of the traversal, each in queue order: by the parent's place, then by link."""
+    url = "'https://www.shop.example/mobile-phone/p/itm' || "
+    levels = [f"""l0 AS MATERIALIZED (
+  SELECT c_custkey AS node, 'seed' AS source, row_number() OVER (ORDER BY c_custkey) AS place
+  FROM customer WHERE c_nationkey = 7 AND NOT contains('itm' || c_custkey, 'itm13'))"""]
+    for at in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT node FROM l{i}" for i in range(at))
+        levels.append(f"""l{at} AS MATERIALIZED (
+  SELECT node, source, row_number() OVER (ORDER BY parent, {url} node) AS place FROM (
+    SELECT dst AS node, {url} src AS source, place AS parent FROM l{at - 1} JOIN edges ON src = node
+    WHERE dst NOT IN ({seen}) AND NOT contains('itm' || dst, 'itm13')
+    QUALIFY row_number() OVER (PARTITION BY dst ORDER BY place) = 1))""")
+    rows = " UNION ALL ".join(f"SELECT {i} AS depth, * FROM l{i}" for i in range(depth + 1))
+    return f"""
+WITH edges AS (
+  SELECT DISTINCT c_custkey AS src, unnest([2 * c_custkey % n, (3 * c_custkey + 1) % n]) AS dst
   FROM customer, (SELECT count(*) AS n FROM customer) WHERE c_custkey % 11 <> 5),
-reached AS (
-  SELECT c_custkey AS node, 0 AS depth FROM customer WHERE c_nationkey = 7
-    AND NOT contains('itm' || c_custkey, 'itm13')
-  UNION
-  SELECT dst, depth + 1 FROM reached JOIN edges ON src = node
-  WHERE depth < 3 AND NOT contains('itm' || dst, 'itm13'))
-SELECT 'https://www.shop.example/mobile-phone/p/itm' || node AS product_url,
-  'seed_depth_' || min(depth) AS sitemap_lastmod
-FROM reached GROUP BY node
-""")
+{", ".join(levels)}
+SELECT {url} node AS product_url, 'seed_depth_' || depth AS sitemap_lastmod, source AS source_sitemap,
+  row_number() OVER (ORDER BY depth, place) AS place
+FROM ({rows})
+"""
+
+
+@query(_bfs_sql(3))
 def link_bfs(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of the link graph with where each came from and its place in the queue."""
     seeds = R.table(spark, sf, "customer").filter("c_nationkey = 7").select(
         F.col("c_custkey").alias("ordinal"), R.product_url(F.col("c_custkey")).alias("url")
     )
     found = G.seed_candidates(
         R.graph_pages(spark, sf), seeds, options(seed_max_depth=3)
     )
-    return found.select("product_url", "sitemap_lastmod")
+    place = F.row_number().over(Window.orderBy("ordinal")).cast("long")
+    return found.select("product_url", "sitemap_lastmod", "source_sitemap", place.alias("place"))
 
 
 @query("""

@@ -14,6 +14,9 @@ from sitefold.functions.text import literal, normalize_space_sql, to_int_sql
 # Fixed value: the only script type that holds JSON-LD.
 JSONLD_TYPE = "application/ld+json"
 
+# The engine's variant holds texts up to about twice this size; keys get longer on the way.
+SIZE_LIMIT = 32 * 1024 * 1024
+
 _PLACE_DIGITS = 9
 _STRING = r'"(?:[^"\\]|\\[\s\S])*+"'
 # A key with its colon, another string, text without quotes, a lone quote.

@@ -6,6 +6,7 @@ ordinals rise in discovery order.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from sitefold.functions.text import normalize_space
 from sitefold.functions.urls import canonical_product_url, path_of
 from sitefold.operators.dedupe import candidate_key, first_in_order, first_per_key, limit_shards
 from sitefold.operators.parse_pages import page_hrefs, resolve_links
+from sitefold.operators.prefilter import only_wanted
 from sitefold.operators.stops import search_cutoff
 from sitefold.session import is_small, ordered_ids, settle, text_bytes
 from sitefold.settings import CatalogOptions
@@ -107,14 +109,18 @@ def reached_shard_limit(shards: DataFrame, options: CatalogOptions) -> bool:
     return shards.limit(options.max_shards + 1).count() > options.max_shards
 
 
-def link_edges(pages: DataFrame, options: CatalogOptions) -> DataFrame:
-    """Wanted product links of pages the traversal may expand: (src, dst, key of dst).
+def links_of(pages: DataFrame, front: DataFrame, options: CatalogOptions) -> tuple[DataFrame, int]:
+    """Wanted product links of the front's pages, and the number of pages parsed for them.
 
-    Settled once, since each traversal step reads it.
+    ``front``: src, _from (settled). Comes back: _from, product_url, source_sitemap, _key. Only
+    pages of the front are parsed, and no html shuffles.
     """
+    reached = only_wanted(pages, F.col("request_url"), front, "src")
+    # One narrow column; an observed metric is lost where a plan turns out to be empty.
+    parsed = reached.select("request_url").count()
     # html is blanked rather than filtered: a pushed-down filter would read it twice.
     closed = ~expands(F.col("status"), F.col("html"))
-    open_pages = pages.select(
+    open_pages = reached.select(
         F.col("request_url").alias("src"),
         "final_url",
         F.when(closed, F.lit("")).otherwise(F.col("html")).alias("html"),
@@ -124,15 +130,31 @@ def link_edges(pages: DataFrame, options: CatalogOptions) -> DataFrame:
     )
     edges = links.select("src", F.col("link").alias("dst"))
     wanted = edges.filter(wanted_url(F.col("dst"), options))
-    return settle(wanted.withColumn("_key", candidate_key(F.col("dst"))), "link-edges")
+    if is_small(front, text_bytes(F.col("src"))):
+        front = F.broadcast(front)
+    found = wanted.join(front, "src").select(
+        "_from",
+        F.col("dst").alias("product_url"),
+        F.col("src").alias("source_sitemap"),
+        candidate_key(F.col("dst")).alias("_key"),
+    )
+    return found, parsed
 
 
-def seed_candidates(pages: DataFrame, seeds: DataFrame, options: CatalogOptions) -> DataFrame:
+@dataclass(frozen=True)
+class Traversal:
+    """``candidates`` in queue order, and how many pages each level parsed."""
+
+    candidates: DataFrame
+    pages_parsed: tuple[int, ...]
+
+
+def traverse(pages: DataFrame, seeds: DataFrame, options: CatalogOptions) -> Traversal:
     """Breadth-first link traversal from seed products, to ``seed_max_depth`` or the end.
 
-    ``seeds``: ordinal, url. One step is one join of the newest level with the edges
-    and one anti-join with all keys reached so far. Each level is written out, so
-    the plan stays short and a lost executor never repeats earlier levels.
+    ``seeds``: ordinal, url. A step parses the pages of the newest level, which are met once
+    in the whole run, and anti-joins their links with all keys reached so far. Each level is
+    written out, so the plan stays short and a lost executor never repeats earlier levels.
     """
     start = seeds.select(
         F.col("ordinal").alias("_from"),
@@ -142,8 +164,8 @@ def seed_candidates(pages: DataFrame, seeds: DataFrame, options: CatalogOptions)
         path_of(F.col("product_url")).contains(S.PRODUCT_PATH_MARKER)
         & wanted_url(F.col("product_url"), options)
     ).withColumn("_key", candidate_key(F.col("product_url")))
-    edges = link_edges(pages, options)
     levels: list[DataFrame] = []
+    counters: list[int] = []
     found, total = start, 0
     depth = 0
     while True:
@@ -159,20 +181,21 @@ def seed_candidates(pages: DataFrame, seeds: DataFrame, options: CatalogOptions)
         front = level.select(
             F.col("product_url").alias("src"), F.col("ordinal").alias("_from")
         )
-        if is_small(front, text_bytes(F.col("src"))):
-            front = F.broadcast(front)
-        found = edges.join(front, "src").select(
-            "_from",
-            F.col("dst").alias("product_url"),
-            F.col("src").alias("source_sitemap"),
-            "_key",
-        )
+        found, parsed = links_of(pages, front, options)
+        counters.append(parsed)
+    parsed_pages = tuple(counters)
     if not levels:
-        return level.select(*CANDIDATE_COLUMNS)
+        return Traversal(level.select(*CANDIDATE_COLUMNS), parsed_pages)
     reached = reduce(DataFrame.unionByName, levels)
     reached = reached.withColumnRenamed("ordinal", "_place")
     numbered = first_in_order(reached, options.max_candidates, "_depth", "_place")
-    return settle(numbered.select(*CANDIDATE_COLUMNS), "seed-candidates")
+    settled = settle(numbered.select(*CANDIDATE_COLUMNS), "seed-candidates")
+    return Traversal(settled, parsed_pages)
+
+
+def seed_candidates(pages: DataFrame, seeds: DataFrame, options: CatalogOptions) -> DataFrame:
+    """Candidates of ``traverse``."""
+    return traverse(pages, seeds, options).candidates
 
 
 def _new_level(found: DataFrame, levels: list[DataFrame], depth: int) -> DataFrame:

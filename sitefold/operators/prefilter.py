@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitefold.session import is_small, settle, text_bytes
+
 # 2**20 words are 64 million bits, some 40 MB as a broadcast table.
 WORDS = 1 << 20
 
@@ -41,3 +43,16 @@ def may_hold(df: DataFrame, key: Column, bits: DataFrame, words: int = WORDS) ->
 def surely_without(df: DataFrame, key: Column, bits: DataFrame, words: int = WORDS) -> DataFrame:
     """The other rows of ``df``."""
     return df.join(F.broadcast(bits), _hit(key, bits, words), "left_anti")
+
+
+def only_wanted(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows whose text key is wanted, before anything is parsed; no row of ``rows`` shuffles.
+
+    ``wanted`` is read twice and should be settled. A list that measures small is broadcast and
+    decides exactly; of a longer one the bit array is, and some more rows may pass.
+    """
+    keys = wanted.select(F.col(wanted_key).alias("_wanted"))
+    if is_small(keys, text_bytes(F.col("_wanted"))):
+        return rows.join(F.broadcast(keys), key == F.col("_wanted"), "left_semi")
+    bits = settle(key_bits(keys, F.col("_wanted")), "wanted-bits")
+    return may_hold(rows, key, bits)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.functions.urls import extract_pid, to_review_url, with_page_param
@@ -19,6 +19,17 @@ def review_requests(products: DataFrame, max_pages: int, url: str = "product_url
     )
 
 
+def review_base(url: Column) -> Column:
+    """First review page of a product or review URL: what all requests of a product share."""
+    return to_review_url(url, F.lit(1))
+
+
+def requested_page(request_url: Column) -> Column:
+    """Page number a review request asks for; 1 without one."""
+    number = F.regexp_extract(request_url, r"[?&]page=([0-9]{1,9})(?:[&#]|$)", 1)
+    return F.coalesce(number.try_cast("int"), F.lit(1))
+
+
 def search_requests(searches: DataFrame, search_pages: int, url: str = "search_url") -> DataFrame:
     """Each search URL times result pages 1..n."""
     last = F.lit(max(1, search_pages))

@@ -11,28 +11,34 @@ from sitefold.functions.classify import page_outcome
 from sitefold.functions.text import iso_utc
 from sitefold.operators.dedupe import first_per_key, first_rows
 from sitefold.operators.parse_pages import products
-from sitefold.session import is_small, settle, text_bytes
+from sitefold.operators.prefilter import only_wanted
+from sitefold.operators.refused import refused_inputs
+from sitefold.session import settle
 from sitefold.settings import CATALOG_COLUMNS, CatalogOptions
 
 
 @dataclass(frozen=True)
 class CatalogRun:
-    """``catalog`` rows to append, and ``outcomes``: one row per candidate looked at."""
+    """``catalog`` rows to append, ``outcomes``: one row per candidate looked at.
+
+    ``refused``: pages of candidates and JSON-LD documents there that were not read, a pass of
+    its own when it is asked for.
+    """
 
     catalog: DataFrame
     outcomes: DataFrame
+    refused: DataFrame
 
 
 def parse_candidates(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     """Each candidate with its parsed page: product columns and ``outcome``.
 
-    Few candidates are broadcast to filter the pages before parsing. For many, pages
-    are parsed first and only the narrow product rows are shuffled; html never is.
+    Pages of no candidate are left out before parsing: by a broadcast of few candidates, by a
+    bit array of many. Only the narrow product rows are shuffled; html never is.
     """
-    urls = candidates.select(F.col("product_url").alias("request_url"))
-    landed = pages.select("request_url", "status", "html")
-    if is_small(urls, text_bytes(F.col("request_url"))):
-        landed = landed.join(F.broadcast(urls), "request_url", "left_semi")
+    landed = only_wanted(
+        pages.select("request_url", "status", "html"), F.col("request_url"), candidates, "product_url"
+    )
     flagged = landed.select(
         "request_url",
         page_outcome(F.col("status"), F.col("html")).alias("outcome"),
@@ -114,4 +120,5 @@ def export_catalog(
         .withColumn("scraped_at", iso_utc(as_of))
         .select("ordinal", *CATALOG_COLUMNS)
     )
-    return CatalogRun(catalog, outcomes)
+    refused = refused_inputs(only_wanted(pages, F.col("request_url"), candidates, "product_url"))
+    return CatalogRun(catalog, outcomes, refused)

@@ -11,26 +11,38 @@ from sitefold.functions.text import iso_utc
 from sitefold.functions.urls import canonicalize_url, extract_pid
 from sitefold.operators.dedupe import dedupe_urls, first_per_key, only_new, with_review_key
 from sitefold.operators.parse_pages import explode_reviews, review_lists
+from sitefold.operators.prefilter import only_wanted
+from sitefold.operators.refused import refused_inputs, review_page_reason
+from sitefold.operators.requests import requested_page, review_base
 from sitefold.operators.stops import cut_pages, page_cuts
-from sitefold.session import settle
+from sitefold.session import is_small, settle, text_bytes
 from sitefold.settings import FIRST_ERROR_STATUS, REVIEW_COLUMNS, ReviewOptions
 
 
 @dataclass(frozen=True)
 class ReviewRun:
-    """``reviews`` to append, and per product URL its ``last_page`` and ``outcome``."""
+    """``reviews`` to append, and per product URL its ``last_page`` and ``outcome``.
+
+    ``refused``: pages and JSON-LD documents that were not read, a pass of its own when it is
+    asked for.
+    """
 
     reviews: DataFrame
     products: DataFrame
+    refused: DataFrame
 
 
-def parse_landed(pages: DataFrame, max_pages: int | None) -> DataFrame:
+def parse_landed(
+    pages: DataFrame, max_pages: int | None, listed: DataFrame | None = None
+) -> DataFrame:
     """Parse review pages once and settle the narrow result.
 
     ``pages``: product_url, page_no, status, html. One row per page comes back, with
-    ``reviews`` and ``failed``; ``html`` is not carried any further. A page without a
-    text or with an HTTP error failed. Of a page that landed several times one that did
-    not fail counts, of these the one with most reviews.
+    ``reviews``, ``n_rows`` and ``failed``; ``html`` is not carried any further. A page without
+    a text or with an HTTP error failed. Of a page that landed several times one that did
+    not fail counts, of these the one with most reviews. With ``listed`` (product_url, settled)
+    pages of other products are left out before parsing, but for a few beyond the size that
+    can be broadcast.
     """
     wanted = F.col("page_no") >= 1
     if max_pages is not None:
@@ -42,15 +54,16 @@ def parse_landed(pages: DataFrame, max_pages: int | None) -> DataFrame:
         (bad | F.col("html").isNull()).alias("failed"),
         F.when(~bad, F.col("html")).alias("html"),
     )
-    lists = review_lists(keyed)
-    landed = settle(
-        lists.withColumn("product_id", extract_pid(F.col("product_url"))), "review-lists"
-    )
-    return first_per_key(
-        landed,
+    if listed is not None:
+        keyed = only_wanted(keyed, F.col("product_url"), listed, "product_url")
+    lists = review_lists(keyed).withColumn("n_rows", F.size("reviews"))
+    once = first_per_key(
+        lists,
         ["product_url", "review_page"],
-        ["failed", F.size("reviews").desc(), F.xxhash64("reviews")],
+        ["failed", F.col("n_rows").desc(), F.xxhash64("reviews")],
     )
+    # Settled after the choice: rows, counters and failures read it, the latter without reviews.
+    return settle(once.withColumn("product_id", extract_pid(F.col("product_url"))), "review-lists")
 
 
 def _page_counts(lists: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -58,27 +71,36 @@ def _page_counts(lists: DataFrame, fresh: DataFrame) -> DataFrame:
     page = ["product_url", "review_page"]
     new_counts = fresh.groupBy(*page).agg(F.count("*").alias("n_new"))
     all_counts = lists.filter(~F.col("failed")).groupBy(*page).agg(
-        F.sum(F.size("reviews")).alias("n_rows")
+        F.sum("n_rows").alias("n_rows")
     )
     return all_counts.join(new_counts, page, "left").na.fill(0, ["n_new"])
 
 
-def _first_failures(lists: DataFrame) -> DataFrame:
-    """First page of each product that failed, or is absent below a page that landed."""
+def _first_failures(lists: DataFrame, last_request: int | None) -> DataFrame:
+    """First page of each product that failed, or is absent below a page that landed.
+
+    With ``last_request`` all pages up to it were asked for, so that the one after the last
+    landed page is absent too.
+    """
     pages = Window.partitionBy("product_url").orderBy("review_page")
     before = F.coalesce(F.lag("review_page").over(pages), F.lit(0))
     gaps = lists.select("product_url", "review_page", "failed", before.alias("_before"))
     first_bad = F.when(F.col("review_page") > F.col("_before") + 1, F.col("_before") + 1).when(
         F.col("failed"), F.col("review_page")
     )
-    return (
-        gaps.groupBy("product_url").agg(F.min(first_bad).alias("_bad")).filter("_bad IS NOT NULL")
-    )
+    after = F.lit(None).cast("int")
+    if last_request is not None:
+        after = F.max("review_page") + 1
+        after = F.when(after <= last_request, after)
+    bad = F.least(F.min(first_bad), after)
+    return gaps.groupBy("product_url").agg(bad.alias("_bad")).filter("_bad IS NOT NULL")
 
 
-def _product_outcomes(counts: DataFrame, lists: DataFrame, options: ReviewOptions) -> DataFrame:
+def _product_outcomes(
+    counts: DataFrame, lists: DataFrame, options: ReviewOptions, last_request: int | None
+) -> DataFrame:
     """Last page read of each product, and whether a failed page ended it."""
-    failures = _first_failures(lists)
+    failures = _first_failures(lists, last_request)
     reachable = counts.join(failures, "product_url", "left").filter(
         F.col("_bad").isNull() | (F.col("review_page") < F.col("_bad"))
     )
@@ -128,13 +150,71 @@ def ingest_reviews(
     read, those without any landed page failed, and its order decides whose review stays.
     """
     listed = None if urls is None else settle(dedupe_urls(urls), "listed-urls")
-    lists = parse_landed(pages, options.max_pages)
-    rows = with_review_key(explode_reviews(lists.filter(~F.col("failed")).drop("failed")))
+    lists = parse_landed(pages, options.max_pages, listed)
+    refused = refused_inputs(pages, review_page_reason, "product_url")
+    return _ingest(lists, listed, refused, options, seen, as_of)
+
+
+def ingest_requested(
+    pages: DataFrame,
+    urls: DataFrame,
+    options: ReviewOptions = ReviewOptions(),
+    seen: DataFrame | None = None,
+    as_of: Column | None = None,
+) -> ReviewRun:
+    """``ingest_reviews`` from a URL list and pages that only know the URL they were asked for.
+
+    ``urls``: ordinal, url of products. ``pages``: request_url, status, html. The requests of a
+    product share their first page's URL, by which landed pages are found before parsing and
+    their narrow lists joined to the product after it; html does not shuffle. A requested page
+    that never landed is a failed one, also after the last that did: up to ``max_pages``, or the
+    one that follows where the number is not limited.
+    """
+    listed = settle(dedupe_urls(urls), "listed-urls")
+    # One-item explodes: the URL forms are long expressions that must not be nested.
+    first = F.explode(F.array(review_base(F.col("product_url")))).alias("_first")
+    manifest = listed.select("product_url", first).select(
+        "product_url", canonicalize_url(F.col("_first")).alias("_base")
+    )
+    manifest = settle(manifest, "request-manifest")
+    asked = pages.select(
+        F.explode(F.array(review_base(F.col("request_url")))).alias("product_url"),
+        requested_page(F.col("request_url")).alias("page_no"),
+        "status",
+        "html",
+    )
+    bases = manifest.select(F.col("_base").alias("product_url"))
+    found = parse_landed(asked, options.max_pages, bases).drop("product_id")
+    side = manifest
+    if is_small(manifest, text_bytes(F.col("product_url"), F.col("_base"))):
+        side = F.broadcast(manifest)
+    lists = (
+        found.withColumnRenamed("product_url", "_base")
+        .join(side, "_base")
+        .drop("_base")
+        .withColumn("product_id", extract_pid(F.col("product_url")))
+    )
+    last_request = options.max_pages if options.max_pages is not None else 2**31 - 1
+    refused = refused_inputs(pages, review_page_reason)
+    return _ingest(lists, listed, refused, options, seen, as_of, last_request)
+
+
+def _ingest(
+    lists: DataFrame,
+    listed: DataFrame | None,
+    refused: DataFrame,
+    options: ReviewOptions,
+    seen: DataFrame | None,
+    as_of: Column | None,
+    last_request: int | None = None,
+) -> ReviewRun:
+    """The job from parsed pages on."""
+    rows = with_review_key(explode_reviews(lists.filter(~F.col("failed")).drop("failed", "n_rows")))
     fresh = first_per_key(rows, ["product_url", "review_id_hash"], ["review_page", "pos"])
     if seen is not None:
         fresh = only_new(fresh, seen, "review_id_hash")
     fresh = settle(fresh, "fresh-reviews")
-    products = _product_outcomes(_page_counts(lists, fresh), lists, options)
+    products = _product_outcomes(_page_counts(lists, fresh), lists, options, last_request)
     if listed is not None:
         products = _listed_outcomes(listed, products)
     products = settle(products, "review-products")
@@ -146,7 +226,9 @@ def ingest_reviews(
         read, place = read.join(listed, "product_url"), ["ordinal", *place]
     once = first_per_key(read, "review_id_hash", place)
     return ReviewRun(
-        once.withColumn("scraped_at", iso_utc(as_of)).select(*REVIEW_COLUMNS), products
+        once.withColumn("scraped_at", iso_utc(as_of)).select(*REVIEW_COLUMNS),
+        products,
+        refused,
     )
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sitefold.functions.text import normalize_space, strip
 from sitefold.settings import FIRST_ERROR_STATUS
 
-_INDEX = "sitemap array<struct<loc string, lastmod string>>"
-_URLSET = "url array<struct<loc string>>"
+INDEX = "sitemap array<struct<loc string, lastmod string>>"
+URLSET = "url array<struct<loc string>>"
 _ROOT_PREFIX = r"<([A-Za-z_][\w.\-]*):(?:urlset|sitemapindex)[\s>]"
 
 
@@ -28,6 +28,15 @@ def plain_names(xml: Column) -> Column:
     return F.when(prefix != "", bare).otherwise(xml)
 
 
+def parsed_documents(documents: DataFrame, schema: str) -> DataFrame:
+    """The documents with ``_doc``; its ``_corrupt_record`` is set where the XML does not parse."""
+    parsed = F.from_xml(
+        plain_names(F.col("xml")), F.lit(f"{schema}, _corrupt_record string"), {"mode": "PERMISSIVE"}
+    )
+    # The one-row generator keeps later filters from parsing again.
+    return documents.select("*", F.explode(F.array(parsed)).alias("_doc"))
+
+
 def _read(documents: DataFrame, schema: str, entries: str, place: str) -> DataFrame:
     """Entries of landed documents: their columns, the place and ``_e``.
 
@@ -37,13 +46,7 @@ def _read(documents: DataFrame, schema: str, entries: str, place: str) -> DataFr
     if "status" in documents.columns:
         documents = documents.filter(F.col("status") < FIRST_ERROR_STATUS)
     keep = [c for c in documents.columns if c not in ("xml", "status")]
-    parsed = F.from_xml(
-        plain_names(F.col("xml")), F.lit(f"{schema}, _corrupt_record string"), {"mode": "PERMISSIVE"}
-    )
-    # The one-row generator keeps the filter from parsing again.
-    rows = documents.filter(strip(F.col("xml")) != "").select(
-        *keep, F.explode(F.array(parsed)).alias("_doc")
-    )
+    rows = parsed_documents(documents.filter(strip(F.col("xml")) != ""), schema)
     good = rows.filter("_doc._corrupt_record IS NULL")
     return good.select(*keep, F.posexplode(f"_doc.{entries}").alias(place, "_e"))
 
@@ -53,7 +56,7 @@ def sitemap_index(documents: DataFrame) -> DataFrame:
 
     Entries without a location are skipped, a missing date becomes ''.
     """
-    rows = _read(documents, _INDEX, "sitemap", "shard_ord")
+    rows = _read(documents, INDEX, "sitemap", "shard_ord")
     return rows.select(
         *[c for c in rows.columns if c != "_e"],
         strip(F.col("_e.loc")).alias("loc"),
@@ -63,7 +66,7 @@ def sitemap_index(documents: DataFrame) -> DataFrame:
 
 def sitemap_urls(documents: DataFrame) -> DataFrame:
     """URLs of the shards: document columns, ``url_ord``, ``loc``."""
-    rows = _read(documents, _URLSET, "url", "url_ord")
+    rows = _read(documents, URLSET, "url", "url_ord")
     return rows.select(
         *[c for c in rows.columns if c != "_e"], normalize_space(F.col("_e.loc")).alias("loc")
     ).filter("loc <> ''")
