@@ -152,18 +152,31 @@ def to_int(spark: SparkSession, sf: str) -> DataFrame:
     return R.table(spark, sf, "documents").select("doc_id", X.to_int(F.col("text")).alias("n"))
 
 
-_KEY_SQL = (
-    f"sha256({norm_sql('source')} || '||' || {norm_sql('lang')} || '||' || "
-    f"{norm_sql('substr(text, 1, 200)')})"
-)
+def _key_sql(text: str) -> str:
+    return f"sha256({norm_sql('source')} || '||' || {norm_sql('lang')} || '||' || {norm_sql(text)})"
 
 
-@query(f"SELECT doc_id, {_KEY_SQL} AS key FROM documents")
+@query(f"SELECT doc_id, {_key_sql('text')} AS key FROM documents")
 def stable_hash(spark: SparkSession, sf: str) -> DataFrame:
-    key = X.stable_hash(F.col("source"), F.col("lang"), X.prefix(F.col("text"), 200))
+    key = X.stable_hash(F.col("source"), F.col("lang"), F.col("text"))
     return R.table(spark, sf, "documents").select("doc_id", key.alias("key"))
 
 
+@query(f"""
+SELECT doc_id, sha256(doc_id || '||' || {norm_sql('source')} || '||' || {norm_sql('lang')} || '||t||'
+  || {norm_sql('substr(text, 1, 200)')}) AS leading,
+  sha256(doc_id || '||' || {norm_sql('source')} || '||' || {norm_sql('lang')} || '||t||'
+  || {norm_sql('text')}) AS whole
+FROM documents
+""")
+def review_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Review keys over the leading characters of a text, their default, and over all of it."""
+    parts = [F.col("doc_id").cast("string"), F.col("source"), F.col("lang"), F.lit("t"), F.col("text")]
+    return R.table(spark, sf, "documents").select(
+        "doc_id", X.review_key(*parts).alias("leading"), X.review_key(*parts, chars=None).alias("whole")
+    )
+
+
 @query("SELECT page_id, substr(sha256(url), 1, 20) AS product_id FROM pages")
 def surrogate_id(spark: SparkSession, sf: str) -> DataFrame:
     pages = R.table(spark, sf, "pages")

@@ -169,3 +169,40 @@ def large_pages(spark: SparkSession, sf: str) -> DataFrame:
         )
         .where("n_items > 0")
     )
+
+
+_TEXT_ONLY_SQL = """'Fine thing, ' || (c_custkey % 5 + 1) || ' stars, says Nm' || c_custkey || ', '
+    || (c_custkey % 28 + 1) || ' March 2023 in a long enough review.'
+    || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE ' Color: C' || c_custkey || ' |' END
+    || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' 1,' || (c_custkey % 900 + 100) || ' people found this helpful.' END
+    || ' read more'"""
+
+
+@query(f"""
+SELECT c_custkey // 5 AS page_id,
+  CAST(row_number() OVER (PARTITION BY c_custkey // 5 ORDER BY c_custkey) - 1 AS INT) AS pos,
+  CAST(c_custkey % 5 + 1 AS INT) AS rating, '' AS title, {_TEXT_ONLY_SQL} AS review_text,
+  'says Nm' || c_custkey AS reviewer, (c_custkey % 28 + 1) || ' March 2023' AS review_date,
+  CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'C' || c_custkey END AS variant,
+  CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(1000 + c_custkey % 900 + 100 AS INT) END AS helpful_count
+FROM customer
+""")
+def html_text_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks without inner selectors, so all is read from their text, each twice on its page."""
+    key = F.col("c_custkey")
+    blob = F.concat(
+        F.lit("<b>Fine</b> thing, "), key % 5 + 1, F.lit(" stars, says Nm"), key, F.lit(", "), key % 28 + 1,
+        F.lit(" March 2023 in a long enough review."),
+        F.when(key % 4 == 0, "").otherwise(F.concat(F.lit(" Color: C"), key, F.lit(" |"))),
+        F.when(key % 3 == 0, "").otherwise(
+            F.concat(F.lit(" 1,"), key % 900 + 100, F.lit(" people found this helpful."))
+        ),
+        F.lit(" read more"),
+    )
+    block = F.concat(F.lit('<div class="_27M-vq"><p>'), blob, F.lit("</p></div>"))
+    rows = R.table(spark, sf, "customer").select(
+        F.floor(key / 5).alias("page_id"), F.struct(key.alias("k"), block.alias("b")).alias("r")
+    )
+    blocks = F.expr("array_join(transform(sort_array(collect_list(r)), x -> x.b), '')")
+    pages = rows.groupBy("page_id").agg(blocks.alias("html"))
+    return P.html_reviews(pages.withColumn("html", F.concat("html", "html")))

@@ -73,19 +73,28 @@ def stable_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("||", *[normalize_space(p) for p in parts]), 256)
 
 
-def prefix(text: Column, n: int) -> Column:
-    """First ``n`` characters, counted as code points."""
-    return F.substring(text, 1, n)
+def prefix(text: Column, n: int | None) -> Column:
+    """First ``n`` characters, counted as code points; all of them for None."""
+    return text if n is None else F.substring(text, 1, n)
 
 
-def in_page_review_key(reviewer: Column, date: Column, title: Column, text: Column) -> Column:
-    return stable_hash(reviewer, date, title, prefix(text, IN_PAGE_KEY_CHARS))
+def in_page_review_key(
+    reviewer: Column, date: Column, title: Column, text: Column, chars: int | None = IN_PAGE_KEY_CHARS
+) -> Column:
+    """Key of a review within its page. ``chars`` of the text enter it, None: the whole text."""
+    return stable_hash(reviewer, date, title, prefix(text, chars))
 
 
 def review_key(
-    product_id: Column, reviewer: Column, date: Column, title: Column, text: Column
+    product_id: Column,
+    reviewer: Column,
+    date: Column,
+    title: Column,
+    text: Column,
+    chars: int | None = CROSS_PAGE_KEY_CHARS,
 ) -> Column:
-    return stable_hash(product_id, reviewer, date, title, prefix(text, CROSS_PAGE_KEY_CHARS))
+    """Key of a review over all pages. Keys of one store need one ``chars``."""
+    return stable_hash(product_id, reviewer, date, title, prefix(text, chars))
 
 
 def extract_urls(text: Column) -> Column:

@@ -12,7 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitefold.functions.text import in_page_review_key, review_key
+from sitefold.functions.text import (
+    CROSS_PAGE_KEY_CHARS,
+    IN_PAGE_KEY_CHARS,
+    in_page_review_key,
+    review_key,
+)
 from sitefold.functions.urls import canonical_product_id, canonicalize_url
 from sitefold.session import ordered_ids, settle
 
@@ -33,26 +38,32 @@ def first_per_key(df: DataFrame, key: str | Sequence, order: str | Sequence) ->
     return df.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")
 
 
-def dedupe_in_page(reviews: DataFrame, page: str | Sequence, order: str | Sequence) -> DataFrame:
-    """First review of equal reviewer, date, title and leading text within a page."""
-    keyed = reviews.withColumn(
-        "_key",
-        in_page_review_key(
-            F.col("reviewer"), F.col("review_date"), F.col("title"), F.col("review_text")
-        ),
-    )
+def dedupe_in_page(
+    reviews: DataFrame,
+    page: str | Sequence,
+    order: str | Sequence,
+    chars: int | None = IN_PAGE_KEY_CHARS,
+) -> DataFrame:
+    """First review of equal reviewer, date, title and leading (None: whole) text within a page."""
+    names = ("reviewer", "review_date", "title", "review_text")
+    keyed = reviews.withColumn("_key", in_page_review_key(*[F.col(n) for n in names], chars=chars))
     return first_per_key(keyed, [*_columns(page), F.col("_key")], order).drop("_key")
 
 
-def with_review_key(reviews: DataFrame) -> DataFrame:
-    """Adds ``review_id_hash``."""
+def with_review_key(reviews: DataFrame, chars: int | None = CROSS_PAGE_KEY_CHARS) -> DataFrame:
+    """Adds ``review_id_hash`` over ``chars`` of the text, or the whole text for None."""
     names = ("product_id", "reviewer", "review_date", "title", "review_text")
-    return reviews.withColumn("review_id_hash", review_key(*[F.col(n) for n in names]))
+    key = review_key(*[F.col(n) for n in names], chars=chars)
+    return reviews.withColumn("review_id_hash", key)
 
 
-def dedupe_reviews(reviews: DataFrame, order: str | Sequence = ("review_page", "pos")) -> DataFrame:
+def dedupe_reviews(
+    reviews: DataFrame,
+    order: str | Sequence = ("review_page", "pos"),
+    chars: int | None = CROSS_PAGE_KEY_CHARS,
+) -> DataFrame:
     """First review of equal key over all pages; adds ``review_id_hash``."""
-    return first_per_key(with_review_key(reviews), "review_id_hash", order)
+    return first_per_key(with_review_key(reviews, chars), "review_id_hash", order)
 
 
 def dedupe_urls(urls: DataFrame, url: str = "url", order: str = "ordinal") -> DataFrame:

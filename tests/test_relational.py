@@ -194,3 +194,18 @@ def test_loose_filter(spark):
 def test_search_needs_pages():
     with pytest.raises(ValueError):
         G.discover(CatalogOptions(domain="h", discovery_mode="search"))
+
+
+def test_keys_over_whole_texts(spark):
+    """Reviews that differ after the leading characters: one key by default, two by whole texts."""
+    from sitefold.operators.dedupe import dedupe_in_page, dedupe_reviews
+
+    long = "x" * 300
+    rows = [("P", 1, 0, "r", "d", "t", long + "a"), ("P", 1, 1, "r", "d", "t", long + "b"), ("P", 1, 2, "r", "d", "t", long + "a")]
+    df = spark.createDataFrame(
+        rows, "product_id string, review_page int, pos int, reviewer string, review_date string, title string, review_text string"
+    )
+    assert dedupe_reviews(df).count() == 1
+    assert dedupe_reviews(df, chars=None).count() == 2
+    assert dedupe_in_page(df, "review_page", "pos").count() == 1
+    assert [r.pos for r in dedupe_in_page(df, "review_page", "pos", chars=None).orderBy("pos").collect()] == [0, 1]
