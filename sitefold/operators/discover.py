@@ -20,7 +20,7 @@ from sitefold.operators.dedupe import candidate_key, first_in_order, first_per_k
 from sitefold.operators.parse_pages import page_hrefs, resolve_links
 from sitefold.operators.prefilter import only_wanted
 from sitefold.operators.stops import search_cutoff
-from sitefold.session import is_small, ordered_ids, settle, text_bytes
+from sitefold.session import ordered_ids, settle
 from sitefold.settings import CatalogOptions
 
 CANDIDATE_COLUMNS = ("ordinal", "product_url", "source_sitemap", "sitemap_lastmod")
@@ -130,8 +130,7 @@ def links_of(pages: DataFrame, front: DataFrame, options: CatalogOptions) -> tup
     )
     edges = links.select("src", F.col("link").alias("dst"))
     wanted = edges.filter(wanted_url(F.col("dst"), options))
-    if is_small(front, text_bytes(F.col("src"))):
-        front = F.broadcast(front)
+    # The front is read from files, so the planner knows its size and broadcasts a small one.
     found = wanted.join(front, "src").select(
         "_from",
         F.col("dst").alias("product_url"),
