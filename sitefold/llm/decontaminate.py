@@ -11,13 +11,18 @@ The edit budget is a share of the passage length. Passages of more than ``piece`
 cut into overlapping pieces, so a leak of a part of a long item is found too; an item counts as
 found if one of its pieces is.
 
+Items of fewer than ``least`` characters have no edits to spare: they are searched for exactly,
+as whole words (no letter or digit next to a letter or digit of theirs), by the hashes of all runs
+of their length.
+
 The benchmark is read in blocks of bounded size (measured), one pass over the documents for each
-block; the index of a block is broadcast. Documents are judged row by row: no shuffle of text,
-no group of any size in one task.
+block; the index of a block is broadcast, and its finds are written before the next is read, so
+the driver holds one block at a time. Documents are judged row by row: no shuffle of text, no
+group of any size in one task.
 
 Defined results
-- Null or empty texts and items hold nothing and are found nowhere.
-- Items of fewer than ``least`` characters are not searched for: so short a text is no evidence.
+- Null or empty texts and items (also those of white space alone) hold nothing and are found
+  nowhere. Any other item is searched for, however short.
 - Repeated documents get equal results; repeated items are found under each of their ids, and
   equal ids count as one. Items with a null id are searched for under the id -1.
 - An empty table on either side gives no rows; further columns are passed over.
@@ -85,6 +90,48 @@ def qgram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
         size *= 2
 
 
+def wordlike(codes: np.ndarray) -> np.ndarray:
+    """Which code points are letters or digits."""
+    kinds, which = np.unique(codes, return_inverse=True)
+    return np.array([c != OUTSIDE and chr(c).isalnum() for c in kinds], bool)[which]
+
+
+class ShortItems:
+    """Items of one length, too short for edits: found exactly, as whole words."""
+
+    def __init__(self, length: int, items: list[tuple[int, np.ndarray]]):
+        self.length = length
+        codes = np.array([c for _, c in items])
+        hashes = qgram_hashes(codes.ravel(), length)[::length]
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.codes = hashes[order], codes[order]
+        self.items = np.array([item for item, _ in items], np.int64)[order]
+
+    def hits(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) of all finds, repeats among them."""
+        runs = qgram_hashes(codes, self.length)
+        low = np.searchsorted(self.hashes, runs)
+        at = np.flatnonzero(self.hashes[np.minimum(low, len(self.hashes) - 1)] == runs)
+        text = np.searchsorted(offsets, at, "right") - 1
+        start, end = offsets[text], offsets[text + 1]
+        inside = at + self.length <= end
+        at, text, start, end = at[inside], text[inside], start[inside], end[inside]
+        edge = np.append(codes, OUTSIDE)
+        before = np.where(at > start, edge[at - 1], OUTSIDE)
+        after = np.where(at + self.length < end, edge[at + self.length], OUTSIDE)
+        whole = ~(wordlike(before) & wordlike(edge[at]))
+        whole &= ~(wordlike(after) & wordlike(edge[at + self.length - 1]))
+        at, text = at[whole], text[whole]
+        first = np.searchsorted(self.hashes, runs[at])
+        times = np.searchsorted(self.hashes, runs[at], "right") - first
+        of = np.repeat(np.arange(len(at)), times)
+        which = np.arange(len(of)) - (np.cumsum(times) - times)[of] + first[of]
+        same = np.ones(len(of), bool)
+        for i in range(self.length):
+            same &= codes[at[of] + i] == self.codes[which, i]
+        return text[of][same], self.items[which][same]
+
+
 class Passages:
     """Pieces of benchmark items and the index of their q-grams."""
 
@@ -92,9 +139,12 @@ class Passages:
         self.q = q
         self.codes: list[np.ndarray] = []
         self.item: list[int] = []
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, text in items:
             codes, _ = normal_codes([text.strip(" \t\n\v\f\r")])
-            if len(codes) < least:
+            if len(codes) < max(least, q):
+                if len(codes):
+                    by_length.setdefault(len(codes), []).append((item, codes))
                 continue
             last = max(0, len(codes) - piece)
             for at in [*range(0, last, piece // 2), last]:
@@ -113,6 +163,7 @@ class Passages:
         self.piece_of, self.place = piece_of[order], place[order].astype(np.int64)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(self.hashes >> U64(64 - TABLE_BITS)).astype(np.int64)] = True
+        self.short = [ShortItems(length, some) for length, some in sorted(by_length.items())]
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text position, piece, piece position) of all shared q-grams."""
@@ -165,6 +216,16 @@ def find_leaks(
     passages: Passages, codes: np.ndarray, offsets: np.ndarray
 ) -> dict[int, dict[int, int]]:
     """For each text with leaks: found item -> edits of its best piece."""
+    found = _long_leaks(passages, codes, offsets)
+    for short in passages.short:
+        for one, item in set(zip(*(x.tolist() for x in short.hits(codes, offsets)))):
+            found.setdefault(one, {})[item] = 0
+    return found
+
+
+def _long_leaks(
+    passages: Passages, codes: np.ndarray, offsets: np.ndarray
+) -> dict[int, dict[int, int]]:
     at, piece, place = passages.hits(codes)
     text = np.searchsorted(offsets, at, "right") - 1
     inside = at + passages.q <= offsets[text + 1]
@@ -249,19 +310,24 @@ def find_contamination(
     size = items.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
     rows = keyed(docs)
-    leaks = None
+    leaks, names = None, []
     for block in range(blocks):
         mine = F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == block
         held = [(r.item_id, r.item) for r in items.where(mine).collect()]
         part = rows.mapInArrow(_leaks(held, q, share, piece, least), LEAKS)
+        names.append(f"leaks_{block}")
+        part = work.settle(part, names[-1])
         leaks = part if leaks is None else leaks.unionByName(part)
     pairs = leaks.select("k_id", "k_hash", F.explode(F.arrays_zip("items", "edits")).alias("hit"))
-    return work.settle(
+    found = work.settle(
         pairs.groupBy("k_id", "k_hash", F.col("hit.items").alias("item_id")).agg(
             F.min("hit.edits").alias("edits")
         ),
         "leaks",
     )
+    for name in names:
+        work.drop(name)
+    return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -98,6 +98,29 @@ def test_parts_case_blanks_and_long_texts(docs):
     assert set(leaks(docs, rows, [(1, item, 0), (2, long, 0)])) == {(1, 1), (2, 2)}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_short_items_are_found_as_whole_words(docs, seed):
+    draw = random.Random(20 + seed)
+    word = lambda: "".join(draw.choice("abé1") for _ in range(draw.randrange(1, 4)))
+    prose = lambda n: draw.choice([" ", ", ", "-"]).join(word() for _ in range(n))
+    items = [(i, prose(draw.randrange(1, 8))[:31], 0) for i in range(40)] + [(99, " \n", 0), (3, "a", 0)]
+    rows = [(i, draw.choice(["", " ", "("]) + prose(draw.randrange(0, 60)).upper()) for i in range(60)]
+    rows += [(100 + i, f"{prose(9)} {items[i][1]}{draw.choice(['', '.', ' b', 'b'])}") for i in range(40)]
+    got = leaks(docs, rows, items)
+    expected = {}
+    for doc_id, text in rows:
+        low = " ".join(text.lower().split())
+        for item_id, item, _ in items:
+            item = item.strip()
+            for at in range(len(low) if item else 0):
+                end = at + len(item)
+                left = at and low[at - 1].isalnum() and item[0].isalnum()
+                right = end < len(low) and low[end].isalnum() and item[-1].isalnum()
+                if low[at:end] == item and not left and not right:
+                    expected[doc_id, item_id] = 0
+    assert got == expected and len(got) > 60
+
+
 def test_rough_rows(docs):
     item = "a passage of some words that is long enough to count"
     rows = [(1, None), (2, ""), (3, f"x {item} y"), (3, f"x {item} y"), (None, item), (5, "clean text")]
