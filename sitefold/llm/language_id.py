@@ -8,7 +8,10 @@ segmentations (forward-backward) of training words, a few rounds, then smoothing
 
 Words are runs of letters, lower-cased, with the vocabulary's word mark in front. A character
 outside the vocabulary is one unknown piece with a probability of its own. Forward passes run
-over all distinct words of a batch at once, grouped by length; word scores are cached.
+over all distinct words of a batch at once, grouped by length; word scores are cached. Pieces
+carry a constant factor for each of their characters, which is the same for all segmentations of
+a word and is taken out at the end: no sum leaves the range of a double while a character costs
+less than a factor of 10^12, and no word has more than 40.
 
 Only the fit is bounded: ``max_texts`` training texts of each language, drawn by a hash of the
 id and text; everything else covers whole texts of all documents, row by row, without a shuffle.
@@ -42,6 +45,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST_WORD, LONGEST_PIECE = 40, 16
 TABLE_BITS = 18
 CACHE_WORDS = 200_000
+CHARACTER_SCALE = 1e5
 UND = "und"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -61,6 +65,7 @@ class Pieces:
         texts = sorted({t for t in texts if t == t.lower() and len(t) <= LONGEST_PIECE})
         self.unknown = len(texts)
         self.size = len(texts) + 1
+        self.scale = CHARACTER_SCALE ** np.array([*map(len, texts), 1], np.float64)
         hashes = np.array([self._hash_text(t) for t in texts], np.uint64)
         self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
         self.ids = np.full(1 << TABLE_BITS, -1, np.int32)
@@ -135,13 +140,14 @@ class Model:
 def forward(pieces: Pieces, prob: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of each word in each language, summed over all segmentations."""
     out = np.zeros((len(words), prob.shape[1]))
+    prob = prob * pieces.scale[:, None]
     for rows, codes in by_length(words):
         n = codes.shape[1]
         alpha = np.zeros((n + 1, len(rows), prob.shape[1]))
         alpha[0] = 1
         for start, end, at, ids in pieces.edges(codes):
             alpha[end][at] += alpha[start][at] * prob[ids]
-        out[rows] = np.log(np.maximum(alpha[n], 1e-300))
+        out[rows] = np.log(alpha[n]) - n * np.log(CHARACTER_SCALE)
     return out
 
 
@@ -150,6 +156,7 @@ def expected_counts(
 ) -> np.ndarray:
     """Expected uses of each piece in one language (prob: vector) over weighted words."""
     total = np.zeros(pieces.size)
+    prob = prob * pieces.scale
     for rows, codes in by_length(words):
         n = codes.shape[1]
         edges = pieces.edges(codes)
@@ -159,15 +166,18 @@ def expected_counts(
             alpha[end][at] += alpha[start][at] * prob[ids]
         for start, end, at, ids in reversed(edges):
             beta[start][at] += beta[end][at] * prob[ids]
-        share = times[rows] / np.maximum(alpha[n], 1e-300)
+        share = times[rows] / alpha[n]
         for start, end, at, ids in edges:
             np.add.at(total, ids, alpha[start][at] * prob[ids] * beta[end][at] * share[at])
     return total
 
 
 def words_of(text: str | None) -> list[str]:
+    words = LETTERS.findall((text or "").lower())
+    if not all(map(str.isalpha, words)):  # numerals such as ² count as word characters there
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
     out = []
-    for word in LETTERS.findall((text or "").lower()):
+    for word in words:
         word = MARK + word
         if len(word) <= LONGEST_WORD:
             out.append(word)

@@ -38,6 +38,20 @@ def test_forward_sums_all_segmentations(pieces):
             assert got[i, lang] == pytest.approx(np.log(total(word, lang)))
 
 
+def test_long_words_of_rare_characters_keep_their_order(pieces):
+    prob = np.full((pieces.size, 4), 1e-6)
+    prob[pieces.unknown] = [1e-7, 1e-8, 1e-9, 1e-12]
+    word = "\U00012000" * 40
+    got = li.forward(pieces, prob, [word])[0]
+    assert got == pytest.approx(40 * np.log(prob[pieces.unknown]))
+    used = li.expected_counts(pieces, prob[:, 3], [word], np.array([2.0]))
+    assert used[pieces.unknown] == pytest.approx(80) and used.sum() == pytest.approx(80)
+
+
+def test_numerals_are_no_letters():
+    assert li.words_of("² ½ Ⅷ ①") == [] and li.words_of("m² x²y 漢字") == ["▁m", "▁x", "▁y", "▁漢字"]
+
+
 def test_expected_counts_are_derivatives(pieces):
     """d log P(word) / d log p(piece) is the expected number of its uses."""
     draw = np.random.default_rng(4)
@@ -63,7 +77,7 @@ def test_rough_rows(docs):
     train = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "x", None), (4, None, "de")]
     model = li.fit(docs(train), F.lit(True))
     assert model.languages == ["en", "fr"]
-    rows = [(1, None), (2, ""), (3, "12 _ !"), (4, "the dog"), (4, "the dog"), (None, "le chien"), (6, "le " * 5000 + "x" * 20_000)]
+    rows = [(1, None), (2, ""), (3, "12 _ ! ²"), (4, "the dog"), (4, "the dog"), (None, "le chien"), (6, "le " * 5000 + "x" * 20_000)]
     frame = docs(rows)
     told = li.identify(frame, model)
     assert told.columns == [c for c in frame.columns if c != "score"] + ["lang_pred", "score"]
