@@ -159,7 +159,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") ->
 
     url = F.col("url").cast("string")
     verdict = F.lit(default)
-    for r in ranked:
+    for r in reversed(ranked):
         verdict = F.when(F.col("rule") == r.name, r.verdict).otherwise(verdict)
     return (
         pages.withColumn("host", url_host(url))

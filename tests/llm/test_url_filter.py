@@ -51,3 +51,9 @@ def test_many_rules_span_words(spark):
     rules = [Rule("block", f"host{i}.org", f"/p{i}/") for i in range(200)]
     got = judged(spark, [f"http://www.host{i}.org/p{i}/x" for i in range(200)], rules)
     assert [g[2] for g in got] == [r.name for r in rules]
+
+
+def test_of_equal_rules_the_first_wins(spark):
+    rules = [Rule("allow", "a.com"), Rule("block", "a.com"), Rule("block", "b.com"), Rule("allow", "b.com")]
+    got = judged(spark, ["http://a.com/x", "http://b.com/x"], rules)
+    assert [g[3] for g in got] == ["allow", "block"]
