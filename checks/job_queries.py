@@ -21,6 +21,7 @@ from sitefold.session import new_path
 from sitefold.settings import CatalogOptions, ReviewOptions
 from sitefold.sources import seen as seen_files
 from sitefold.sources import sinks, sitemaps, url_lists
+from sitefold.sources.staged import StagedAppend
 from sitefold.sources.pages import stream_pages
 from sitefold.streaming import jobs
 
@@ -178,6 +179,27 @@ def sink_partitioned(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(*_SINK_COLUMNS, F.col("safe_product_id").alias("folder"))
 
 
+@query(f"SELECT *, unnest(['csv', 'jsonl']) AS kind FROM ({_SINK_SQL})")
+def sink_replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """A run that failed between both formats and is then repeated twice: each row once in each."""
+    folder = new_path(spark, "sink-replayed")
+    rows = _doc_rows(spark, sf)
+
+    def fail(path: str) -> None:
+        sinks.write_reviews(rows, path, "jsonl")
+        raise InterruptedError
+
+    try:
+        StagedAppend(spark, folder, "run-1").append(fail)
+    except InterruptedError:
+        pass
+    for _ in range(2):
+        sinks.write_reviews(rows, folder, "both", run_id="run-1")
+    lines = spark.read.schema(_OUT_TYPE).json(f"{folder}/jsonl").withColumn("kind", F.lit("jsonl"))
+    cells = _csv_back(spark, f"{folder}/csv").withColumn("kind", F.lit("csv"))
+    return cells.unionByName(lines).select(*_SINK_COLUMNS, "kind")
+
+
 @query("""
 SELECT p_partkey::VARCHAR AS product_id, p_name || ', "new"' AS title, p_type AS category,
   '' AS currency FROM part

@@ -305,6 +305,29 @@ def discover_sitemap(spark: SparkSession, sf: str) -> DataFrame:
     return _placed(G.sitemap_candidates(shards, urls, options()))
 
 
+@query(_SITEMAP_SQL)
+def discover_sitemap_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from files that the XML reader streams, plain and gz, with places from there."""
+    indexes, documents = R.sitemap_documents(spark, sf)
+    folder = new_path(spark, "sitemap-entries")
+    parts = documents.select("shard_url", F.sha2("shard_url", 256).alias("part"), "xml")
+    parts.select("part", F.col("xml").alias("value")).write.partitionBy("part").text(f"{folder}/urls")
+    indexes.select("index_ord", F.col("xml").alias("value")).write.partitionBy("index_ord").text(
+        f"{folder}/indexes", compression="gzip"
+    )
+    urls = sitemaps.read_url_entries(spark, f"{folder}/urls/*/*")
+    urls = urls.withColumn("part", F.regexp_extract("file", "part=([0-9a-f]+)", 1))
+    shards = sitemaps.read_index_entries(spark, f"{folder}/indexes/*/*")
+    index_ord = F.regexp_extract("file", r"index_ord=(\d+)", 1).cast("long")
+    return _placed(
+        G.sitemap_candidates(
+            shards.withColumn("index_ord", index_ord),
+            urls.join(parts.select("shard_url", "part"), "part"),
+            options(),
+        )
+    )
+
+
 @query(_SITEMAP_SQL + " AND p_partkey // 200 < 7 ORDER BY p_partkey LIMIT 1200")
 def discover_limited(spark: SparkSession, sf: str) -> DataFrame:
     """Both limits at once: 7 shards, and of their URLs the first 1,200."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefold.functions.text import normalize_space, strip
+from sitefold.session import settle
 from sitefold.settings import FIRST_ERROR_STATUS
 
 INDEX = "sitemap array<struct<loc string, lastmod string>>"
@@ -73,18 +74,47 @@ def sitemap_urls(documents: DataFrame) -> DataFrame:
 
 
 def read_index_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of index files by the XML reader, which splits large files."""
-    return _entries(spark, path, "sitemap", "loc string, lastmod string").select(
-        strip(F.coalesce("loc", F.lit(""))).alias("loc"), normalize_space(F.col("lastmod")).alias("lastmod")
+    """Entries of index files (gz by ending): ``file``, ``shard_ord``, ``loc``, ``lastmod``.
+
+    The XML reader streams them, so no task holds a whole file, however long. Places count from
+    0 in each file, as those of ``sitemap_index``. Elements must not carry a namespace prefix.
+    """
+    rows = _entries(spark, path, "sitemap", "loc string, lastmod string", "shard_ord")
+    return rows.select(
+        "file",
+        "shard_ord",
+        strip(F.coalesce("loc", F.lit(""))).alias("loc"),
+        normalize_space(F.col("lastmod")).alias("lastmod"),
     ).filter("loc <> ''")
 
 
 def read_url_entries(spark: SparkSession, path: str) -> DataFrame:
-    """URLs of URL set files by the XML reader."""
-    return _entries(spark, path, "url", "loc string").select(
-        normalize_space(F.col("loc")).alias("loc")
-    ).filter("loc <> ''")
+    """URLs of URL set files, streamed likewise: ``file``, ``url_ord``, ``loc``.
 
+    For ``sitemap_candidates`` join the list of (file, shard_url) of whatever landed the files.
+    """
+    rows = _entries(spark, path, "url", "loc string", "url_ord")
+    return rows.select("file", "url_ord", normalize_space(F.col("loc")).alias("loc")).filter(
+        "loc <> ''"
+    )
 
-def _entries(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+
+def _entries(spark: SparkSession, path: str, tag: str, schema: str, place: str) -> DataFrame:
+    """Entries with ``file`` and their place in it.
+
+    A file is one split, whose rows have consecutive ids; settled, since both sides of the join
+    must see the same ids.
+    """
+    found = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    rows = settle(
+        found.select(
+            F.col("_metadata.file_path").alias("file"),
+            F.monotonically_increasing_id().alias("_id"),
+            *found.columns,
+        ),
+        f"entries-{tag}",
+    )
+    firsts = rows.groupBy("file").agg(F.min("_id").alias("_first"))
+    return rows.join(firsts, "file").withColumn(place, F.col("_id") - F.col("_first")).drop(
+        "_id", "_first"
+    )

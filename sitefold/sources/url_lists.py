@@ -37,7 +37,10 @@ def read_url_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_url_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; the URL is in ``url``, else in ``product_url``."""
+    """CSV with a header; the URL is in ``url``, else in ``product_url``.
+
+    Ordinals rise by file, then by the place in it.
+    """
     table = spark.read.csv(path, header=True, multiLine=True, escape='"')
     for name in ("url", "product_url"):
         if name in table.columns:
@@ -46,11 +49,12 @@ def read_url_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("CSV input must have a 'url' or 'product_url' column")
     rows = table.select(
         F.col("_metadata.file_path").alias("file"),
-        # Rising with the place in the file: one file is read by rising partitions.
-        F.monotonically_increasing_id().alias("ordinal"),
+        # Values may span lines, so a file is one split, in which ids rise.
+        F.monotonically_increasing_id().alias("_line"),
         strip(F.coalesce(F.col(name), F.lit(""))).alias("url"),
     )
-    return rows.filter("url <> ''")
+    ordered = ordered_ids(rows.filter("url <> ''"), "file", "_line")
+    return ordered.select("file", "ordinal", "url")
 
 
 def read_url_json(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,7 @@ from sitefold.plans.metrics import catalog_metrics, review_totals
 from sitefold.plans.reviews import ingest_reviews
 from sitefold.settings import CATALOG_COLUMNS, REVIEW_COLUMNS, CatalogOptions, ReviewOptions
 from sitefold.sources import seen, sinks, sitemaps, url_lists
+from sitefold.sources.staged import StagedAppend
 
 PAGES = "product_url string, page_no int, status int, html string"
 
@@ -245,3 +246,57 @@ def test_review_job_from_a_url_list(spark):
     got = {(r.product_url.split("/")[3], r.title) for r in run.reviews.collect()}
     assert got == {("z", "r1"), ("a", "r2")}
     assert {(r.product_id, r.outcome) for r in run.products.collect()} == {("L", "done"), ("M", "failed")}
+
+
+def test_repeated_run_appends_once(spark, tmp_path, monkeypatch):
+    schema = "product_id string, title string"
+    rows = spark.createDataFrame([(f"p{i}", f"t{i}") for i in range(40)], schema).repartition(4)
+    target = str(tmp_path / "out")
+    moved, move = [], StagedAppend._move
+
+    def break_off(self, source, place):
+        if len(moved) == 3:
+            raise InterruptedError
+        moved.append(place.toString())
+        move(self, source, place)
+
+    monkeypatch.setattr(StagedAppend, "_move", break_off)
+    with pytest.raises(InterruptedError):
+        sinks.write_reviews(rows, target, "both", run_id="r1")
+    assert len(moved) == 3
+    monkeypatch.setattr(StagedAppend, "_move", move)
+    # The repeated run may find nothing new, and must still finish what it had staged.
+    sinks.write_reviews(rows.limit(0), target, "both", run_id="r1")
+    sinks.write_reviews(rows, target, "both", run_id="r1")
+    for found in (spark.read.json(f"{target}/jsonl"), spark.read.csv(f"{target}/csv", header=True)):
+        assert sorted(r.product_id for r in found.collect()) == sorted(f"p{i}" for i in range(40))
+    sinks.write_reviews(rows.limit(1), target, "both", run_id="r2")
+    assert spark.read.json(f"{target}/jsonl").count() == 41
+    products = str(tmp_path / "products")
+    for run_id in ("r1", "r1", "r2"):
+        sinks.write_reviews(rows, products, "jsonl", per_product=True, run_id=run_id)
+    found = spark.read.json(f"{products}/jsonl").groupBy("safe_product_id").count().collect()
+    assert sorted(tuple(r) for r in found) == sorted((f"p{i}", 2) for i in range(40))
+    for _ in range(2):
+        sinks.write_catalog(rows, str(tmp_path / "catalog"), run_id="r1")
+    assert spark.read.csv(str(tmp_path / "catalog"), header=True).count() == 40
+    for bad in ("", "_x", "a/b", "../x"):
+        with pytest.raises(ValueError):
+            sinks.write_reviews(rows, target, run_id=bad)
+
+
+def test_places_of_entries_in_several_files(spark, tmp_path):
+    for name, n in (("b.xml", 50), ("a.xml", 300)):
+        entries = "".join(f"<url><loc> u{i} </loc></url><url/>" for i in range(n))
+        (tmp_path / name).write_text(f"<urlset>{entries}</urlset>")
+    rows = sitemaps.read_url_entries(spark, f"{tmp_path}/*.xml").collect()
+    got = sorted((r.file.rsplit("/", 1)[-1], r.url_ord, r.loc) for r in rows)
+    assert got == [(f, 2 * i, f"u{i}") for f, n in (("a.xml", 300), ("b.xml", 50)) for i in range(n)]
+
+
+def test_csv_lists_are_in_file_order(spark, tmp_path):
+    for name, n in (("b.csv", 400), ("a.csv", 3), ("c.csv", 90)):
+        (tmp_path / name).write_text("url\n" + "\n".join(f"{name}/{i}" for i in range(n)))
+    rows = url_lists.read_url_csv(spark, f"{tmp_path}/*.csv").orderBy("ordinal").collect()
+    sizes = (("a.csv", 3), ("b.csv", 400), ("c.csv", 90))
+    assert [r.url for r in rows] == [f"{f}/{i}" for f, n in sizes for i in range(n)]
