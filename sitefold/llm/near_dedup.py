@@ -294,22 +294,6 @@ def near_classes(
         "texts",
     )
 
-    def compared(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs not compared before, with their verdict (settled)."""
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        pairs = pairs.distinct()
-        for old in tested:
-            pairs = pairs.join(old.select("u", "v"), ["u", "v"], "left_anti")
-        pairs = work.settle(pairs, f"pairs_{name}")
-        with_v = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-        both = with_v.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
-        out = both.select("u", "v", "text_u", "text_v").mapInArrow(
-            _compare(size, threshold), "u long, v long, near boolean"
-        )
-        out = work.settle(out, f"tested_{name}")
-        tested.append(out)
-        return out
-
     # The leader of a bucket meets most documents over all its buckets.
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     met = members.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("met"))

@@ -8,9 +8,49 @@ from sitefold.llm.registry import query
 from sitefold.llm.sharding import shard_manifest
 
 
-@query()
+SHARDS = 40
+
+
+def sharding_sql(shards: int) -> str:
+    """The two ranks as windows; crc32 by half bytes, the lower of a byte first."""
+    return f"""
+WITH steps AS MATERIALIZED (
+  SELECT list(list_reduce([n, 0, 0, 0, 0],
+                lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1))) ORDER BY n) AS half
+  FROM range(16) t(n)
+), sized AS (
+  SELECT doc_id, source, coalesce(strlen(text), 0) + 16 AS size,
+         regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\\2\\1', 'g') AS digits,
+         CAST('0x' || substr(md5('shards:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS mixed
+  FROM documents
+), summed AS (
+  SELECT doc_id, source, size, mixed,
+         xor(list_reduce(
+           list_prepend(4294967295::BIGINT,
+             list_transform(list_filter(string_split(digits, ''), lambda c: c <> ''), lambda c: CAST('0x' || c AS BIGINT))),
+           lambda crc, d: xor(crc >> 4, half[(xor(crc, d) & 15) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM sized, steps
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY mixed, doc_id NULLS FIRST) - 1 AS r,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM summed
+), cut AS (
+  SELECT *, row_number() OVER (
+           ORDER BY CAST(2 * r + 1 AS DOUBLE) / (2 * n), source NULLS FIRST, mixed, doc_id NULLS FIRST) - 1 AS pos,
+         count(*) OVER () AS total
+  FROM ranked
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law,
+       CAST(pos * {shards} // total AS INTEGER) AS shard,
+       CAST(pos - (pos * {shards} // total * total + {shards - 1}) // {shards} AS BIGINT) AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard
+FROM cut
+"""
+
+
+@query(sharding_sql(SHARDS))
 def op10_sharding(spark, sf_dir):
-    return shard_manifest(table(spark, sf_dir, "documents"), n_shards=40).select(
+    return shard_manifest(table(spark, sf_dir, "documents"), n_shards=SHARDS).select(
         F.col("k_id").alias("doc_id"),
         "size",
         "text_crc32",

@@ -1,6 +1,7 @@
 """Proportional stratified interleaving of documents into shards.
 
-Method: rows are shuffled by a seeded hash inside each source and ranked; row r of a source
+Method: rows are shuffled by a seeded hash (48 bits of md5, which other engines can repeat) of
+their id inside each source and ranked, ids that meet and repeated ids by id and text; row r of a source
 with n rows has the fractional rank (2r + 1) / 2n. All rows sorted by fractional rank mix the
 sources evenly at every point, and equal cuts of that order give shards whose counts differ by
 at most one and which all hold the sources in the mixture's proportions.
@@ -18,7 +19,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,6 +29,12 @@ from sitefold.session import Workspace
 ROW_OVERHEAD = 16
 
 
+def hashed(seed: str, doc_id: Column) -> Column:
+    """A seeded number below 2**48 for each id."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+
+
 def shard_manifest(
     docs: DataFrame, n_shards: int = 40, seed: str = "shards", strata: str = "source"
 ) -> DataFrame:
@@ -39,7 +46,7 @@ def shard_manifest(
         "stratum",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64(F.lit(seed), "k_id", "k_hash").alias("mixed"),
+        hashed(seed, F.col("k_id")).alias("mixed"),
     )
     ranked = positions(work, rows, ["stratum"], ["mixed", "k_id", "k_hash"], "by_source", "rank")
     placed = ranked.withColumn("at", (2 * F.col("rank") + 1) / (2 * F.col("rank_n"))).drop(
