@@ -19,6 +19,8 @@ SIZE_LIMIT = 32 * 1024 * 1024
 
 _PLACE_DIGITS = 9
 _STRING = r'"(?:[^"\\]|\\[\s\S])*+"'
+# Numbers that JSON texts may hold beside the standard's, and their text forms.
+_OTHER_NUMBERS = (("-Infinity", "-inf"), ("Infinity", "inf"), ("NaN", "nan"))
 # A key with its colon, another string, text without quotes, a lone quote.
 _JSON_PARTS = _STRING + r"\s*+:|" + _STRING + r'|[^"]++|"'
 _PLACE_PREFIX = r'(?<=[{,])"\d{%d} ' % _PLACE_DIGITS
@@ -29,11 +31,20 @@ _NODES = "ARRAY<STRUCT<path: ARRAY<INT>, node: VARIANT>>"
 
 
 def parse_items(raw: str) -> str:
-    """ARRAY<VARIANT> with the value of a JSON text; other than one item if it is bad."""
+    """ARRAY<VARIANT> with the value of a JSON text; other than one item if it is bad.
+
+    NaN and the infinities are read as strings of their text forms, since every value ends as text.
+    """
+    plain, guards = "p", []
+    for number, text in _OTHER_NUMBERS:
+        pattern = literal(rf"(?<![\w.+-]){number}(?![\w.+-])")
+        plain = f"regexp_replace({plain}, {pattern}, '\"{text}\"')"
+        guards.append(f"contains(p, '{number}')")
+    other = f"if(NOT startswith(p, '\"') AND ({' OR '.join(guards)}), {plain}, p)"
     numbered = (
         f"array_join(transform(regexp_extract_all({raw}, {literal(_JSON_PARTS)}, 0), (p, i) ->"
         " if(startswith(p, '\"') AND endswith(p, ':'),"
-        f" concat('\"', lpad(CAST(i AS STRING), {_PLACE_DIGITS}, '0'), ' ', substr(p, 2)), p)), '')"
+        f" concat('\"', lpad(CAST(i AS STRING), {_PLACE_DIGITS}, '0'), ' ', substr(p, 2)), {other})), '')"
     )
     return f"try_cast(try_parse_json(concat('[', {numbered}, ']')) AS {_VARIANTS})"
 

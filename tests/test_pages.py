@@ -145,6 +145,17 @@ def test_number_texts(spark):
     assert [r.s for r in got] == [str(v) for v in values]
 
 
+def test_numbers_beyond_the_json_standard(spark):
+    text = """{"@type": "Review", "name": NaN, "reviewBody": "NaN, -Infinity and \\"Infinity\\"",
+        "author": {"name": -Infinity}, "datePublished":Infinity, "sku":[1,NaN], "reviewRating": {"ratingValue": NaN}}"""
+    review = json.loads(text)
+    read = tuple(str(review[k]) for k in ("name", "reviewBody")) + (str(review["author"]["name"]),)
+    for bad in ("NaNs", "xNaN", "1NaN", "-NaN", "--Infinity", "NaN NaN"):
+        assert reviews_of(spark, script(text.replace('"name": NaN', f'"name": {bad}'))) == []
+    got = reviews_of(spark, script(text))
+    assert [(r[0], *r[1:5]) for r in got] == [(None, *read, str(review["datePublished"]))]
+
+
 def block(title, extra=""):
     return (
         f'<div class="_27M-vq"><div class="XQDdHH _x">4<img></div><p class="z9E0IG">{title}</p>'
