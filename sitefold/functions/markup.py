@@ -164,7 +164,7 @@ def tags(toks: str) -> str:
     void, raw = literals(VOID_TAGS), literals(RAW_TAGS)
     named = (
         f"filter(transform({toks}, (t, i) -> named_struct('pos', i, 'token', t,"
-        f" 'tag', {tag_name('t')})), x -> x.tag <> '')"
+        f" 'tag', if(startswith(t, '<'), {tag_name('t')}, ''))), x -> x.tag <> '')"
     )
     self_closed = (
         "endswith(x.token, '/>') AND NOT regexp_replace(x.token, "
@@ -226,7 +226,7 @@ def _fold_tag() -> str:
     parent = f"coalesce(try_element_at(s.own, -1).pos, {top}.pos, -1)"
     entry = f"array(named_struct('pos', t.pos, 'tag', t.tag, 'parent', {parent}))"
     opened = _step(own=f"concat(s.own, {entry})")
-    empty = _step(out=f"concat(s.out, {_ended(entry, 't.pos')})")
+    empty = _step(out=f"concat(s.out, {_ended(entry, 't.end')})")
     own_end = _ended("slice(s.own, place, size(s.own))", "t.pos")
     own_closed = _let(
         _nearest("s.own.tag", "t.tag"), "place",
@@ -258,6 +258,25 @@ def _folded(starts: str, start: str, stack: str, one: str, end: str = "") -> str
     )
 
 
+def _paired(tag_tokens: str) -> str:
+    """Tags with ``end``, without those the fold need not see; the elements are the same.
+
+    An end tag of a name that no tag of the page opens ends nothing. One that follows its start
+    tag at once ends that element, which then needs no place among the open tags.
+    """
+    names = f"array_distinct(transform(filter({tag_tokens}, t -> t.kind = 1), t -> t.tag))"
+    live = f"filter({tag_tokens}, t -> t.kind <> -1 OR array_contains(names, t.tag))"
+    after, before = "get(live, i + 1)", "get(live, i - 1)"
+    whole = f"coalesce(t.kind = 1 AND {after}.kind = -1 AND {after}.tag = t.tag, false)"
+    done = f"i > 0 AND t.kind = -1 AND {before}.kind = 1 AND {before}.tag = t.tag"
+    marked = (
+        f"transform(live, (t, i) -> CASE WHEN {done} THEN NULL WHEN {whole} THEN"
+        f" named_struct('pos', t.pos, 'kind', 0, 'tag', t.tag, 'end', {after}.pos)"
+        " ELSE named_struct('pos', t.pos, 'kind', t.kind, 'tag', t.tag, 'end', t.pos) END)"
+    )
+    return _let(names, "names", _let(live, "live", f"filter({marked}, t -> t IS NOT NULL)"))
+
+
 def spans(tag_tokens: str, page_end: str) -> str:
     """ARRAY<STRUCT<pos, end, parent, tag>> of all elements, in document order.
 
@@ -289,15 +308,16 @@ def spans(tag_tokens: str, page_end: str) -> str:
 
     # A run's tags are cut out once; a slice of the whole page would be read anew for each chunk.
     inner = _let(
-        f"slice({tag_tokens}, first, {wide})", "run",
+        f"slice(tags, first, {wide})", "run",
         _let(width, "width", _folded(starts("run", "width"), "start", "a.stack", chunk)),
     )
     joined = _let(
         inner, "done",
         "named_struct('stack', done.stack, 'parts', concat(a.parts, array(done.out)))",
     )
-    whole = _folded(starts(tag_tokens, wide), "first", _none(_ENTRY), joined, page_end)
-    return f"if({tag_tokens} IS NOT NULL, sort_array({whole}.out), NULL)"
+    whole = _folded(starts("tags", wide), "first", _none(_ENTRY), joined, page_end)
+    found = _let(_paired(tag_tokens), "tags", f"{whole}.out")
+    return f"if({tag_tokens} IS NOT NULL, sort_array({found}), NULL)"
 
 
 def text_runs(toks: str) -> str:
