@@ -56,8 +56,8 @@ _QUOTED = r"""^"([\s\S]*)"\z|^'([\s\S]*)'\z"""
 _QUOTED_VALUE = r"""=\s*(?:"[^"]*"|'[^']*')"""
 _OPEN_VALUE_AT_END = r"""=\s*[^\s"'>][^\s>]*/>\z"""
 
-# Tags of the innermost fold, and such chunks in a run.
-_FOLD_CHUNK = 128
+# End tags of the innermost fold, and such chunks in a run.
+_FOLD_CHUNK = 64
 _FOLD_RUN = 64
 
 
@@ -130,7 +130,10 @@ def attributes(tag: str) -> str:
     names = f"transform({_all_matches(body, _ATTRIBUTE, 1)}, k -> lower(k))"
     values = f"transform({_all_matches(body, _ATTRIBUTE, 2)}, v -> {_unquote('v')})"
     decoded = f"transform({values}, v -> {unescape('v')})"
-    return f"zip_with({names}, {decoded}, (k, v) -> named_struct('k', k, 'v', v))"
+    found = f"zip_with({names}, {decoded}, (k, v) -> named_struct('k', k, 'v', v))"
+    # Most tags of a page are names alone.
+    bare = literal(r"^<[a-zA-Z][^\s/>]*>\z")
+    return f"if({tag} rlike {bare}, CAST(array() AS ARRAY<STRUCT<k: STRING, v: STRING>>), {found})"
 
 
 def raw_attribute(tag: str, name: str) -> str:
@@ -163,8 +166,8 @@ def tags(toks: str) -> str:
     """
     void, raw = literals(VOID_TAGS), literals(RAW_TAGS)
     named = (
-        f"filter(transform({toks}, (t, i) -> named_struct('pos', i, 'token', t,"
-        f" 'tag', if(startswith(t, '<'), {tag_name('t')}, ''))), x -> x.tag <> '')"
+        f"filter(transform({toks}, (t, i) -> if(startswith(t, '<'), named_struct('pos', i, 'token', t,"
+        f" 'tag', {tag_name('t')}), NULL)), x -> x IS NOT NULL AND x.tag <> '')"
     )
     self_closed = (
         "endswith(x.token, '/>') AND NOT regexp_replace(x.token, "
@@ -180,8 +183,6 @@ def tags(toks: str) -> str:
     )
 
 
-_ENTRY = "STRUCT<pos: INT, tag: STRING, parent: INT>"
-_SPAN = "STRUCT<pos: INT, end: INT, parent: INT, tag: STRING>"
 _RANGE = "STRUCT<low: INT, n: INT, end: INT>"
 
 
@@ -189,11 +190,9 @@ def _none(of: str) -> str:
     return f"CAST(array() AS ARRAY<{of}>)"
 
 
-def _ended(closed: str, end: str) -> str:
-    return (
-        f"transform({closed}, c -> named_struct("
-        f"'pos', c.pos, 'end', {end}, 'parent', c.parent, 'tag', c.tag))"
-    )
+def _ended(opened: str, end: str) -> str:
+    """ARRAY<BIGINT>: places of start tags, each with the token that ends it in the low half."""
+    return f"transform({opened}, o -> shiftleft(CAST(o AS BIGINT), 32) + {end})"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -201,123 +200,192 @@ def _let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _nearest(tags_open: str, tag: str) -> str:
-    """1-based place of the last ``tag`` in an array of names, 0 without one."""
+def _nearest(codes: str, code: str) -> str:
+    """1-based place of the last ``code`` in an array, 0 without one."""
     return (
-        f"if(array_contains({tags_open}, {tag}),"
-        f" size({tags_open}) - CAST(array_position(reverse({tags_open}), {tag}) AS INT) + 1, 0)"
+        f"if(array_contains({codes}, {code}),"
+        f" size({codes}) - CAST(array_position(reverse({codes}), {code}) AS INT) + 1, 0)"
     )
 
 
-def _step(**changed: str) -> str:
+def _step(top: str, **changed: str) -> str:
     """State of the innermost fold: that of ``s`` but for the named fields.
 
-    ``base``: how many of the tags that were open before the chunk still are; ``own``: tags
-    the chunk opened; ``out``: elements it ended; ``cuts``: ranges of earlier tags it ended;
-    ``gone``: names not open before the chunk (any more).
+    ``n``: start tags seen; ``base``: how many of the tags that were open before the chunk still
+    are; ``own``, ``codes``: places and names of tags opened since; ``tops``: the tag left open
+    last after each end tag; ``ends``: elements that ended; ``cuts``: ranges of earlier tags that
+    ended; ``gone``: names not open before the chunk (any more).
     """
-    fields = {k: changed.get(k, f"s.{k}") for k in ("base", "own", "out", "cuts", "gone")}
-    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+    changed = {"n": "x.n", "own": "g.own", "codes": "g.codes", **changed, "tops": f"concat(s.tops, array({top}))"}
+    names = ("n", "base", "own", "codes", "tops", "ends", "cuts", "gone")
+    return "named_struct(" + ", ".join(f"'{k}', {changed.get(k, f's.{k}')}" for k in names) + ")"
 
 
-def _fold_tag() -> str:
-    """Next state ``s`` after tag token ``t``; ``a.stack`` holds the tags open before the chunk."""
+def _fold_end() -> str:
+    """Next state ``s`` after end tag ``x``; ``a.stack``, ``a.codes``: the tags open before the chunk."""
+    grown = (
+        "if(x.n > s.n, named_struct('own', concat(s.own, sequence(s.n, x.n - 1)),"
+        " 'codes', concat(s.codes, slice(codes, s.n + 1, x.n - s.n))),"
+        " named_struct('own', s.own, 'codes', s.codes))"
+    )
     top = "get(a.stack, s.base - 1)"
-    parent = f"coalesce(try_element_at(s.own, -1).pos, {top}.pos, -1)"
-    entry = f"array(named_struct('pos', t.pos, 'tag', t.tag, 'parent', {parent}))"
-    opened = _step(own=f"concat(s.own, {entry})")
-    empty = _step(out=f"concat(s.out, {_ended(entry, 't.end')})")
-    own_end = _ended("slice(s.own, place, size(s.own))", "t.pos")
     own_closed = _let(
-        _nearest("s.own.tag", "t.tag"), "place",
-        _step(own="slice(s.own, 1, place - 1)", out=f"concat(s.out, {own_end})"),
+        _nearest("g.codes", "x.code"), "place",
+        _step(
+            f"coalesce(get(g.own, place - 2), {top}, -1)",
+            own="slice(g.own, 1, place - 1)", codes="slice(g.codes, 1, place - 1)",
+            ends=f"concat(s.ends, {_ended('slice(g.own, place, size(g.own))', 'x.pos')})",
+        ),
     )
     # Mostly the tag on top; a search costs no more than it ends, or happens once for a name.
-    earlier = f"if({top}.tag = t.tag, s.base, {_nearest('slice(a.stack, 1, s.base).tag', 't.tag')})"
-    cut = "array(named_struct('low', low, 'n', s.base - low + 1, 'end', t.pos))"
+    on_top = "get(a.codes, s.base - 1) = x.code"
+    earlier = f"if({on_top}, s.base, {_nearest('slice(a.codes, 1, s.base)', 'x.code')})"
+    cut = "array(named_struct('low', low, 'n', s.base - low + 1, 'end', x.pos))"
     all_closed = _step(
-        base="low - 1", own=_none(_ENTRY), out=f"concat(s.out, {_ended('s.own', 't.pos')})",
-        cuts=f"concat(s.cuts, {cut})",
+        "coalesce(get(a.stack, low - 2), -1)",
+        base="low - 1", own=_none("INT"), codes=_none("INT"),
+        ends=f"concat(s.ends, {_ended('g.own', 'x.pos')})", cuts=f"concat(s.cuts, {cut})",
     )
-    ignored = _step(gone="concat(s.gone, array(t.tag))")
+    same = f"coalesce(try_element_at(g.own, -1), {top}, -1)"
+    ignored = _step(same, gone="concat(s.gone, array(x.code))")
     earlier_closed = _let(earlier, "low", f"if(low > 0, {all_closed}, {ignored})")
-    return (
-        f"CASE WHEN t.kind = 1 THEN {opened} WHEN t.kind = 0 THEN {empty}"
-        f" WHEN array_contains(s.own.tag, t.tag) THEN {own_closed}"
-        f" WHEN s.base = 0 OR array_contains(s.gone, t.tag) THEN s ELSE {earlier_closed} END"
+    step = (
+        f"CASE WHEN array_contains(g.codes, x.code) THEN {own_closed}"
+        f" WHEN s.base = 0 OR array_contains(s.gone, x.code) THEN {_step(same)}"
+        f" ELSE {earlier_closed} END"
     )
+    return _let(grown, "g", step)
 
 
-def _folded(starts: str, start: str, stack: str, one: str, end: str = "") -> str:
-    """Open tags and ended elements after a run of chunks; ``one`` is what a chunk gives."""
-    zero = f"named_struct('stack', {stack}, 'parts', CAST(array() AS ARRAY<ARRAY<{_SPAN}>>))"
-    last = f", {_ended('z.stack', end)}" if end else ""
+def _folded(starts: str, start: str, zero: str, one: str, end: str = "") -> str:
+    """Open tags, tops and ended elements after a run of chunks; ``one`` is what a chunk gives.
+
+    ``zero`` has the fields ``n``, ``stack`` and ``codes``. With ``end`` all tags end there at last.
+    """
+    first = (
+        f"named_struct('n', {zero}.n, 'stack', {zero}.stack, 'codes', {zero}.codes,"
+        f" 'tops', {_none('ARRAY<INT>')}, 'ends', {_none('ARRAY<BIGINT>')})"
+    )
+    rest = f"if(size(codes) > z.n, sequence(z.n, size(codes) - 1), {_none('INT')})"
+    last = f", {_ended('z.stack', end)}, {_ended(rest, end)}" if end else ""
     return (
-        f"aggregate({starts}, {zero}, (a, {start}) -> {one},"
-        f" z -> named_struct('stack', z.stack, 'out', concat(flatten(z.parts){last})))"
+        f"aggregate({starts}, {first}, (a, {start}) -> {one},"
+        " z -> named_struct('n', z.n, 'stack', z.stack, 'codes', z.codes, 'tops', flatten(z.tops),"
+        f" 'ends', concat(flatten(z.ends){last})))"
     )
 
 
 def _paired(tag_tokens: str) -> str:
     """Tags with ``end``, without those the fold need not see; the elements are the same.
 
-    An end tag of a name that no tag of the page opens ends nothing. One that follows its start
-    tag at once ends that element, which then needs no place among the open tags.
+    ``names`` holds the names of start tags. An end tag of another name ends nothing. One that
+    follows its start tag at once ends that element, which then needs no place among the open tags.
     """
-    names = f"array_distinct(transform(filter({tag_tokens}, t -> t.kind = 1), t -> t.tag))"
     live = f"filter({tag_tokens}, t -> t.kind <> -1 OR array_contains(names, t.tag))"
     after, before = "get(live, i + 1)", "get(live, i - 1)"
-    whole = f"coalesce(t.kind = 1 AND {after}.kind = -1 AND {after}.tag = t.tag, false)"
-    done = f"i > 0 AND t.kind = -1 AND {before}.kind = 1 AND {before}.tag = t.tag"
+    whole = f"t.kind = 1 AND coalesce({after}.kind = -1 AND {after}.tag = t.tag, false)"
+    done = f"t.kind = -1 AND i > 0 AND {before}.kind = 1 AND {before}.tag = t.tag"
     marked = (
         f"transform(live, (t, i) -> CASE WHEN {done} THEN NULL WHEN {whole} THEN"
         f" named_struct('pos', t.pos, 'kind', 0, 'tag', t.tag, 'end', {after}.pos)"
         " ELSE named_struct('pos', t.pos, 'kind', t.kind, 'tag', t.tag, 'end', t.pos) END)"
     )
-    return _let(names, "names", _let(live, "live", f"filter({marked}, t -> t IS NOT NULL)"))
+    return _let(live, "live", f"filter({marked}, t -> t IS NOT NULL)")
 
 
-def spans(tag_tokens: str, page_end: str) -> str:
-    """ARRAY<STRUCT<pos, end, parent, tag>> of all elements, in document order.
+def _chosen(tag_list: str, kind: int, **fields: str) -> str:
+    """Tags ``t`` of one kind as structs; ``i`` is their place in the list."""
+    struct = ", ".join(f"'{k}', {v}" for k, v in fields.items())
+    kept = f"transform({tag_list}, (t, i) -> if(t.kind = {kind}, named_struct({struct}), NULL))"
+    return f"filter({kept}, t -> t IS NOT NULL)"
 
-    ``pos`` is the token of the start tag, ``end`` the token that closes it and
-    ``parent`` the start of the surrounding element (-1 at the top).
 
-    An aggregate copies its whole state at every step, so no state may grow with the page. The
-    fold is nested instead: chunks of tags, runs of chunks, runs of runs; the innermost state
-    holds what its chunk opened and ended, and looks at the tags open before without holding
-    them. Work is linear in the tags, and a chunk adds one copy of the tags open at its start.
+def _fold_ends(page_end: str) -> str:
+    """``tops`` of the end tags ``closes``, and ``ends`` of all start tags, of which ``codes`` has the names.
+
+    An aggregate copies its whole state, value by value, at every step, so no state may grow with
+    the page and all of it is numbers. The fold is nested: chunks of end tags, runs of chunks, runs
+    of runs; the innermost state holds what was opened and ended in its chunk, and looks at the tags
+    open before without holding them. Start tags cost no step: an end tag takes in those since the
+    one before. Work is linear in the tags, and a chunk adds one copy of the tags open at its start.
     """
     wide = _FOLD_CHUNK * _FOLD_RUN
     # Where many tags are open, chunks are longer, as each copies them.
-    most = f"least({_FOLD_CHUNK * 8}, size(a.stack) div {_FOLD_CHUNK})"
+    most = f"least({_FOLD_CHUNK * 16}, sqrt(3 * size(a.stack)))"
     width = f"CAST(greatest({_FOLD_CHUNK}, {most}) AS INT)"
     zero = (
-        f"named_struct('base', size(a.stack), 'own', {_none(_ENTRY)}, 'out', {_none(_SPAN)},"
-        f" 'cuts', {_none(_RANGE)}, 'gone', CAST(array() AS ARRAY<STRING>))"
+        f"named_struct('n', a.n, 'base', size(a.stack), 'own', {_none('INT')}, 'codes', {_none('INT')},"
+        f" 'tops', {_none('INT')}, 'ends', {_none('BIGINT')}, 'cuts', {_none(_RANGE)},"
+        f" 'gone', {_none('INT')})"
     )
     cuts = f"flatten(transform(r.cuts, x -> {_ended('slice(a.stack, x.low, x.n)', 'x.end')}))"
     chunk = (
-        f"aggregate(slice(run, start, width), {zero}, (s, t) -> {_fold_tag()},"
-        " r -> named_struct('stack', concat(slice(a.stack, 1, r.base), r.own),"
-        f" 'parts', concat(a.parts, array(concat(r.out, {cuts})))))"
+        f"aggregate(slice(run, start, width), {zero}, (s, x) -> {_fold_end()},"
+        " r -> named_struct('n', r.n, 'stack', concat(slice(a.stack, 1, r.base), r.own),"
+        " 'codes', concat(slice(a.codes, 1, r.base), r.codes),"
+        f" 'tops', concat(a.tops, array(r.tops)), 'ends', concat(a.ends, array(concat(r.ends, {cuts})))))"
     )
 
     def starts(tokens: str, step: int | str) -> str:
-        return f"if(size({tokens}) > 0, sequence(1, size({tokens}), {step}), CAST(array() AS ARRAY<INT>))"
+        return f"if(size({tokens}) > 0, sequence(1, size({tokens}), {step}), {_none('INT')})"
 
-    # A run's tags are cut out once; a slice of the whole page would be read anew for each chunk.
+    # A run is cut out once, so that its chunks slice a short array.
     inner = _let(
-        f"slice(tags, first, {wide})", "run",
-        _let(width, "width", _folded(starts("run", "width"), "start", "a.stack", chunk)),
+        f"slice(closes, first, {wide})", "run",
+        _let(width, "width", _folded(starts("run", "width"), "start", "a", chunk)),
     )
     joined = _let(
         inner, "done",
-        "named_struct('stack', done.stack, 'parts', concat(a.parts, array(done.out)))",
+        "named_struct('n', done.n, 'stack', done.stack, 'codes', done.codes,"
+        " 'tops', concat(a.tops, array(done.tops)), 'ends', concat(a.ends, array(done.ends)))",
     )
-    whole = _folded(starts("tags", wide), "first", _none(_ENTRY), joined, page_end)
-    found = _let(_paired(tag_tokens), "tags", f"{whole}.out")
-    return f"if({tag_tokens} IS NOT NULL, sort_array({found}), NULL)"
+    nothing = f"named_struct('n', 0, 'stack', {_none('INT')}, 'codes', {_none('INT')})"
+    return _folded(starts("closes", wide), "first", nothing, joined, page_end)
+
+
+def spans(tag_tokens: str, page_end: str) -> str:
+    """ARRAY<STRUCT<pos, end, parent, tag>> of all elements, in document order.
+
+    ``pos`` is the token of the start tag, ``end`` the token that closes it and
+    ``parent`` the start of the surrounding element (-1 at the top).
+
+    Tags between which nothing closes need no fold: their parent is the tag before.
+    """
+    names = f"array_distinct(transform(filter({tag_tokens}, t -> t.kind = 1), t -> t.tag))"
+    code = "CAST(array_position(names, t.tag) AS INT)"
+    opens = _chosen("placed", 1, j="i", pos="t.pos", tag="t.tag")
+    closes = _chosen("placed", -1, j="i", pos="t.pos", code=code)
+    numbered = "transform(found, (t, i) -> named_struct('n', t.j - i, 'j', t.j, 'pos', t.pos, 'code', t.code))"
+    low = "4294967295"
+    # The tag open last after each start and end tag, as its number from 1; two runs to merge.
+    tops = (
+        "concat(transform(opens, (t, i) -> shiftleft(CAST(t.j AS BIGINT), 32) + i + 1),"
+        " transform(closes, (t, i) -> shiftleft(CAST(t.j AS BIGINT), 32) + get(page.tops, i) + 1))"
+    )
+    after = f"transform(sort_array({tops}), v -> CAST(v & {low} AS INT) - 1)"
+
+    def element(end: str, place: str) -> str:
+        parent = f"coalesce(get(opens, get(after, {place} - 1)).pos, -1)"
+        return f"named_struct('pos', t.pos, 'end', {end}, 'parent', {parent}, 'tag', t.tag)"
+
+    # Each start tag has one end, so the sorted ends stand in its place.
+    with_end = f"transform(opens, (t, i) -> {element(f'CAST(get(ends, i) & {low} AS INT)', 't.j')})"
+    empties = _chosen("tags", 0, i="i", pos="t.pos", end="t.end", tag="t.tag")
+    # Without the empty elements before it, the place among all tags is that among start and end tags.
+    empty = f"transform({empties}, (t, i) -> {element('t.end', 't.i - i')})"
+    found = _let(after, "after", _let("sort_array(page.ends)", "ends", f"sort_array(concat({with_end}, {empty}))"))
+    steps = (
+        (names, "names"),
+        (_paired(tag_tokens), "tags"),
+        ("filter(tags, t -> t.kind <> 0)", "placed"),
+        (opens, "opens"),
+        (_let(closes, "found", numbered), "closes"),
+        (f"transform(opens, t -> {code})", "codes"),
+        (_fold_ends(page_end), "page"),
+    )
+    for value, name in reversed(steps):
+        found = _let(value, name, found)
+    return f"if({tag_tokens} IS NOT NULL, {found}, NULL)"
 
 
 def text_runs(toks: str) -> str:
