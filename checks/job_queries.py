@@ -61,17 +61,20 @@ def read_url_csv(spark: SparkSession, sf: str) -> DataFrame:
     return url_lists.read_url_csv(spark, path).select("url")
 
 
+# Pages in one JSON list, whatever the table size.
+_LIST_PAGES = 1000
+
+
 @query("SELECT url FROM pages UNION ALL SELECT page_id::VARCHAR FROM pages")
 def read_url_json(spark: SparkSession, sf: str) -> DataFrame:
-    """One small JSON array per host."""
+    """JSON arrays of up to a thousand pages, one to a file."""
     path = new_path(spark, "urls-json")
     pages = R.table(spark, sf, "pages")
-    rows = pages.select(
-        F.to_json(F.array(F.concat(F.lit(" "), "url"), F.col("page_id").cast("string"), F.lit(" "))).alias("value")
-    )
-    # One array per file: each row becomes a file of its own folder.
-    numbered = rows.withColumn("part", F.sha2("value", 256))
-    numbered.write.partitionBy("part").text(path)
+    items = F.array(F.concat(F.lit(" "), "url"), F.col("page_id").cast("string"), F.lit(" "))
+    # By place, not by value, so that no file grows with equal rows.
+    placed = pages.select(F.floor(F.monotonically_increasing_id() / _LIST_PAGES).alias("list"), items.alias("items"))
+    lists = placed.groupBy("list").agg(F.to_json(F.flatten(F.collect_list("items"))).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return url_lists.read_url_json(spark, path).select("url")
 
 

@@ -2,10 +2,12 @@
 
 import gzip
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import job_queries
 from sitefold.operators.requests import search_requests
 from sitefold.plans.catalog import export_catalog
 from sitefold.plans.metrics import catalog_metrics, review_totals
@@ -300,3 +302,23 @@ def test_csv_lists_are_in_file_order(spark, tmp_path):
     rows = url_lists.read_url_csv(spark, f"{tmp_path}/*.csv").orderBy("ordinal").collect()
     sizes = (("a.csv", 3), ("b.csv", 400), ("c.csv", 90))
     assert [r.url for r in rows] == [f"{f}/{i}" for f, n in sizes for i in range(n)]
+
+
+def test_url_lists_of_many_pages_share_files(spark, tmp_path, monkeypatch):
+    n = 5000
+    pages = spark.range(n).selectExpr("id AS page_id", "concat('https://h.com/', id % 100) AS url")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    folders = []
+    read = url_lists.read_url_json
+
+    def noted(session, path):
+        folders.append(path)
+        return read(session, path)
+
+    monkeypatch.setattr(url_lists, "read_url_json", noted)
+    urls = job_queries.read_url_json(spark, str(tmp_path)).groupBy("url").count().collect()
+    assert {r.url: r["count"] for r in urls if not r.url.isdigit()} == {f"https://h.com/{i}": n // 100 for i in range(100)}
+    assert {r.url for r in urls if r.url.isdigit()} == {str(i) for i in range(n)}
+    # One list per task and thousand pages; a file for each page before.
+    files = list(Path(folders[0].removeprefix("file:")).rglob("part-*"))
+    assert len(files) <= n / 1000 + 2 * spark.sparkContext.defaultParallelism
