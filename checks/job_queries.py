@@ -476,9 +476,11 @@ def _run_stream(spark: SparkSession, pages: DataFrame, start, name: str) -> Data
     """Land pages as several files and stream them in several batches, in two runs."""
     source, target = new_path(spark, f"{name}-in"), new_path(spark, f"{name}-out")
     checkpoint = new_path(spark, f"{name}-state")
-    pages.repartition(6, *pages.columns[:2]).write.parquet(source)
+    # A batch needs a file for each core, or most of them wait while two files are parsed.
+    cores = spark.sparkContext.defaultParallelism
+    pages.repartition(3 * cores, *pages.columns[:2]).write.parquet(source)
     for _ in range(2):
-        stream = stream_pages(spark, source, pages.schema, maxFilesPerTrigger="2")
+        stream = stream_pages(spark, source, pages.schema, maxFilesPerTrigger=str(cores))
         start(stream, target, checkpoint).awaitTermination()
     return spark.read.parquet(target)
 

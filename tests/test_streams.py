@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks import job_queries
 from sitefold.operators import prefilter
 from sitefold.operators.discover import traverse
 from sitefold.operators.prefilter import key_bits, may_hold, only_wanted, surely_without
@@ -168,3 +169,24 @@ def test_refusals_of_review_pages(spark, reason):
     found = {(r.source, r.reason) for r in refused_inputs(pages, reason).collect()}
     assert found == {("u1", "status 500"), ("u3", "no response")}
     assert refused_inputs(pages.limit(0), reason).count() == 0
+
+
+def test_stream_batches_have_a_file_for_each_core(spark, monkeypatch):
+    """Pages land as three batches; two files to a batch left most cores idle."""
+    cores, batches = spark.sparkContext.defaultParallelism, []
+    pages = spark.range(4000).selectExpr("id AS ordinal", "'u' AS request_url")
+
+    def noted(session, path, schema, maxFilesPerTrigger):
+        files = session.read.parquet(path).inputFiles()
+        batches.append((len(files), int(maxFilesPerTrigger)))
+        return stream_pages(session, path, schema, maxFilesPerTrigger=maxFilesPerTrigger)
+
+    def copy(stream, target, checkpoint):
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start(target)
+
+    monkeypatch.setattr(job_queries, "stream_pages", noted)
+    written = job_queries._run_stream(spark, pages, copy, "stream-files")
+    assert written.distinct().count() == written.count() == 4000
+    for files, at_once in batches:
+        assert at_once >= cores and files >= 2 * at_once
