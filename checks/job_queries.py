@@ -229,6 +229,12 @@ def _fails(user: Column, day: Column) -> Column:
     return (user * _DAYS + day) % 100 == 37
 
 
+def _event_url() -> Column:
+    """Product URL of a user."""
+    user = F.lpad(F.col("user_id").cast("string"), 9, "0")
+    return F.concat(F.lit(f"{R.SITE}/phone/p/itm1?iid=7&pid=USR"), user)
+
+
 def event_review_pages(spark: SparkSession, sf: str) -> DataFrame:
     rows = R.table(spark, sf, "events").select(
         "user_id", F.dayofmonth("ts").alias("page_no"), F.expr(_EVENT_KEY).alias("key")
@@ -244,10 +250,9 @@ def event_review_pages(spark: SparkSession, sf: str) -> DataFrame:
         "page_no", F.explode(F.sequence(F.lit(1), F.lit(_DAYS)))
     )
     pages = R.many_tasks(days.join(filled, ["user_id", "page_no"], "left"))
-    user = F.lpad(F.col("user_id").cast("string"), 9, "0")
     body = F.when(F.col("reviews").isNull(), F.lit("")).otherwise(R.jsonld(F.col("reviews")))
     return pages.select(
-        F.concat(F.lit(f"{R.SITE}/phone/p/itm1?iid=7&pid=USR"), user).alias("product_url"),
+        _event_url().alias("product_url"),
         "page_no",
         F.when(_fails(F.col("user_id"), F.col("page_no")), 500).otherwise(200).alias("status"),
         R.html_page(body, F.lit("<body>")).alias("html"),
@@ -363,7 +368,9 @@ def _requested_run(spark: SparkSession, sf: str):
     landed = all_pages.filter(~gone).select(
         F.explode(F.array(to_review_url(F.col("product_url"), page))).alias("request_url"), "status", "html"
     )
-    urls = all_pages.filter(user % 7 != 0).select(user.alias("ordinal"), F.col("product_url").alias("url"))
+    # The products of the pages, from the users alone: the pages need not be built again for them.
+    products = R.table(spark, sf, "events").select(_event_url().alias("product_url"))
+    urls = products.filter(user % 7 != 0).select(user.alias("ordinal"), F.col("product_url").alias("url"))
     options = ReviewOptions(max_pages=_DAYS, seen_stop_threshold=2, max_empty_pages=3)
     return ingest_requested(landed, urls.distinct(), options, event_seen(spark, sf))
 

@@ -27,7 +27,7 @@ _PLACE_PREFIX = r'(?<=[{,])"\d{%d} ' % _PLACE_DIGITS
 _VARIANTS = "ARRAY<VARIANT>"
 _OBJECT = "MAP<STRING, VARIANT>"
 _ENTRIES = "ARRAY<STRUCT<k: STRING, v: VARIANT>>"
-_NODES = "ARRAY<STRUCT<path: ARRAY<INT>, node: VARIANT>>"
+_NODES = f"ARRAY<STRUCT<path: ARRAY<INT>, object: {_OBJECT}, list: {_VARIANTS}>>"
 
 
 def parse_items(raw: str) -> str:
@@ -54,25 +54,31 @@ def _kind(value: str) -> str:
 
 
 def is_object(value: str) -> str:
-    return f"startswith({_kind(value)}, 'OBJECT')"
+    """By cast, which looks one level deep; the schema of a value is built over all of it."""
+    return f"(try_cast({value} AS {_OBJECT}) IS NOT NULL)"
 
 
 def is_array(value: str) -> str:
-    return f"startswith({_kind(value)}, 'ARRAY')"
+    return f"(try_cast({value} AS {_VARIANTS}) IS NOT NULL)"
 
 
 def items(value: str) -> str:
     """Items of a JSON array; no items for any other value."""
-    return f"if({is_array(value)}, try_cast({value} AS {_VARIANTS}), CAST(array() AS {_VARIANTS}))"
+    return f"coalesce(try_cast({value} AS {_VARIANTS}), CAST(array() AS {_VARIANTS}))"
 
 
 def members(value: str) -> str:
     """ARRAY<STRUCT<k, v>> of an object in source order; empty for any other value."""
+    return members_of(f"try_cast({value} AS {_OBJECT})")
+
+
+def members_of(fields: str) -> str:
+    """The same of a MAP of keys with their place; empty for null."""
     entries = (
-        f"transform(map_entries(try_cast({value} AS {_OBJECT})), e -> named_struct("
+        f"transform(map_entries({fields}), e -> named_struct("
         f"'k', substr(e.key, {_PLACE_DIGITS + 2}), 'v', e.value))"
     )
-    return f"if({is_object(value)}, {entries}, CAST(array() AS {_ENTRIES}))"
+    return f"coalesce({entries}, CAST(array() AS {_ENTRIES}))"
 
 
 def member(entries: str, key: str) -> str:
@@ -146,26 +152,30 @@ def nesting(raw: str) -> str:
     )
 
 
-def all_nodes(documents: str, depth: str) -> str:
-    """All objects and arrays in the documents: ARRAY<STRUCT<path, node>>.
+def all_objects(documents: str, depth: str) -> str:
+    """All objects in the documents: ARRAY<STRUCT<path, object, list>>, ``list`` null.
 
     ``path`` sorts in document order. Works level by level down to ``depth``, the
-    nesting the texts really have, so nothing is cut off.
+    nesting the texts really have, so nothing is cut off. Each value is cast once, as
+    an object and as a list, which both look one level deep.
     """
-    roots = f"transform({documents}, (d, i) -> named_struct('path', array(i), 'node', d))"
-    values = (
-        f"coalesce(map_values(try_cast(x.node AS {_OBJECT})), try_cast(x.node AS {_VARIANTS}))"
-    )
-    children = (
-        f"transform(s.open, x -> transform({values}, (v, i) -> named_struct("
-        "'path', concat(x.path, array(i)), 'node', v)))"
-    )
-    nested = f"filter(flatten({children}), c -> {is_object('c.node')} OR {is_array('c.node')})"
+
+    def read(values: str, path: str) -> str:
+        """Objects and lists among the values; the place ``c.i`` of one ends its path."""
+        cast = (
+            f"named_struct('i', i, 'object', try_cast(v AS {_OBJECT}), 'list', try_cast(v AS {_VARIANTS}))"
+        )
+        nodes = f"filter(transform({values}, (v, i) -> {cast}), c -> c.object IS NOT NULL OR c.list IS NOT NULL)"
+        node = f"named_struct('path', {path}, 'object', c.object, 'list', c.list)"
+        return f"transform({nodes}, c -> {node})"
+
+    values = "coalesce(map_values(x.object), x.list)"
+    children = f"flatten(transform(s.open, x -> {read(values, 'concat(x.path, array(c.i))')}))"
     return (
-        f"aggregate(sequence(1, greatest({depth}, 1)),"
-        f" named_struct('open', CAST({roots} AS {_NODES}), 'found', CAST(array() AS {_NODES})),"
-        f" (s, level) -> named_struct('open', CAST({nested} AS {_NODES}),"
-        " 'found', concat(s.found, s.open)), s -> s.found)"
+        f"aggregate(sequence(1, greatest({depth}, 1)), named_struct("
+        f"'open', CAST({read(documents, 'array(c.i)')} AS {_NODES}), 'found', CAST(array() AS {_NODES})),"
+        f" (s, level) -> named_struct('open', CAST({children} AS {_NODES}),"
+        " 'found', concat(s.found, filter(s.open, c -> c.object IS NOT NULL))), s -> s.found)"
     )
 
 

@@ -39,14 +39,16 @@ WINDOWS_1252 = {
 _TAG_REST = r"""[^\s/>]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>))|[^=>])*+>"""
 _COMMENT = r"<!--[\s\S]*?-->"
 _RAW = r"<(?:script|style)(?=[\s/>])" + _TAG_REST
-_SCRIPT = r"<script(?=[\s/>])" + _TAG_REST + r"(?:[\s\S]*?</script\s*+>|[\s\S]*+)"
-_STYLE = r"<style(?=[\s/>])" + _TAG_REST + r"(?:[\s\S]*?</style\s*+>|[\s\S]*+)"
+# Up to the first end tag of the name, or to the end; text without tags is taken in one step.
+_SCRIPT = r"<script(?=[\s/>])" + _TAG_REST + r"(?:[^<]++|<(?!/script\s*+>))*+(?:</script\s*+>)?+"
+_STYLE = r"<style(?=[\s/>])" + _TAG_REST + r"(?:[^<]++|<(?!/style\s*+>))*+(?:</style\s*+>)?+"
 _OPEN = r"<[a-z]" + _TAG_REST
 _CLOSE = r"</[a-z][^>]*+>"
 _OTHER = r"<[!?/][^>]*+>"
 _TEXT = r"(?:[^<]|<(?![a-z/!?]))++"
 _TOKEN = "(?i)" + "|".join((_COMMENT, _SCRIPT, _STYLE, _OPEN, _CLOSE, _OTHER, _TEXT, "<"))
-_SCRIPT_ONLY = "(?i)" + "|".join((_COMMENT, _SCRIPT, _STYLE))
+# The bracket that all three begin with stands first, so other text is passed over quickly.
+_SCRIPT_ONLY = "(?i)<(?:" + "|".join(p[1:] for p in (_COMMENT, _SCRIPT, _STYLE)) + ")"
 _START_TAGS = "(?i)" + "|".join((_COMMENT, _SCRIPT, _STYLE, _OPEN))
 
 _VALUE = r"""\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 # (?U) makes \s, \d, \w and \b Unicode-aware; \x1c-\x1f also count as blanks here.
 _BLANKS = r"(?U)[\s\x1c-\x1f]+"
-_EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# From the first to the last character that is no blank: anchored, so only the ends are searched.
+_BETWEEN_EDGES = r"(?sU)^[\s\x1c-\x1f]*+(.*[^\s\x1c-\x1f])"
 
 # Texts that stand for "no value" in embedded page state.
 NO_VALUE_WORDS = ("null", "none", "na")
@@ -31,7 +32,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(value: Column) -> Column:
     """Drop blanks at both ends."""
-    return F.regexp_replace(value, F.lit(_EDGE_BLANKS), F.lit(""))
+    return find(value, _BETWEEN_EDGES, 1)
 
 
 def normalize_space(value: Column) -> Column:
@@ -146,7 +147,7 @@ def literals(texts: Iterable[str]) -> str:
 
 
 def strip_sql(value: str) -> str:
-    return f"regexp_replace({value}, {literal(_EDGE_BLANKS)}, '')"
+    return find_sql(value, _BETWEEN_EDGES, 1)
 
 
 def normalize_space_sql(value: str) -> str:

@@ -68,7 +68,17 @@ def query_of(url: Column) -> Column:
 
 
 def join_url(scheme: Column, host: Column, path: Column, query: Column | None = None) -> Column:
-    """Put URL parts together again."""
+    """Put URL parts together again. Each part is worked out once."""
+    parts = F.struct(
+        scheme.alias("scheme"),
+        host.alias("host"),
+        path.alias("path"),
+        (F.lit("") if query is None else query).alias("query"),
+    )
+    return let(parts, lambda p: _joined(p["scheme"], p["host"], p["path"], p["query"]))
+
+
+def _joined(scheme: Column, host: Column, path: Column, query: Column) -> Column:
     rooted = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(
         path
     )
@@ -79,8 +89,6 @@ def join_url(scheme: Column, host: Column, path: Column, query: Column | None =
         .otherwise(path)
     )
     head = F.when(scheme == "", body).otherwise(F.concat(scheme, F.lit(":"), body))
-    if query is None:
-        return head
     return F.when(query != "", F.concat(head, F.lit("?"), query)).otherwise(head)
 
 
@@ -90,12 +98,16 @@ _PAIRS = "array<struct<k:string,v:string>>"
 
 
 def _decode(text: Column) -> Column:
-    return F.url_decode(F.regexp_replace(text, F.lit("%(?![0-9A-Fa-f]{2})"), F.lit("%25")))
+    """``text`` is written several times, so it should be cheap. Most texts hold no escape."""
+    decoded = F.url_decode(F.regexp_replace(text, F.lit("%(?![0-9A-Fa-f]{2})"), F.lit("%25")))
+    return F.when(text.contains("%") | text.contains("+"), decoded).otherwise(text)
 
 
 def _encode(text: Column) -> Column:
+    """``text`` is written several times, so it should be cheap. Most texts need no escape."""
     encoded = F.replace(F.url_encode(text), F.lit("%7E"), F.lit("~"))
-    return F.replace(encoded, F.lit("*"), F.lit("%2A"))
+    escaped = F.replace(encoded, F.lit("*"), F.lit("%2A"))
+    return F.when(text.rlike(r"^[A-Za-z0-9._-]*+\z"), text).otherwise(escaped)
 
 
 def parse_query(query: Column) -> Column:
@@ -105,7 +117,7 @@ def parse_query(query: Column) -> Column:
         parts,
         lambda p: F.struct(
             _decode(F.substring_index(p, "=", 1)).alias("k"),
-            _decode(F.regexp_replace(p, F.lit("^[^=]*="), F.lit(""))).alias("v"),
+            _decode(F.substr(p, F.instr(p, F.lit("=")) + 1)).alias("v"),
         ),
     )
     return let(
@@ -197,11 +209,15 @@ def canonical_product_url(url: Column) -> Column:
     return let(_clean(strip(url)), build)
 
 
+def _path_code(path: Column) -> Column:
+    """First code in a path, or null."""
+    return let(find(path, r"(?U)\b([A-Z0-9]{10,20})\b", 1), blank_to_null)
+
+
 def extract_pid(url: Column) -> Column:
     """Review-side id: ``pid`` value, else a code in the path, else UNKNOWN."""
     u = _clean(url)
-    code = find(path_of(u), r"(?U)\b([A-Z0-9]{10,20})\b", 1)
-    return F.coalesce(_query_id(u), blank_to_null(code), F.lit(UNKNOWN_ID))
+    return F.coalesce(_query_id(u), _path_code(path_of(u)), F.lit(UNKNOWN_ID))
 
 
 def _id_in_path(url: Column, path: Column) -> Column:
@@ -230,19 +246,24 @@ def to_review_url(url: Column, page: Column) -> Column:
     """URL of review page ``page`` of a product.
 
     Only four query keys stay, none of them a tracking key, so the query is read
-    once from the URL as given.
+    once from the URL as given. A ``pid`` it holds stays, else the code in the path is put there.
     """
 
     def build(u: Column) -> Column:
         path = path_of(u)
-        path = F.when(
+        review_path = F.when(
             ~path.contains("/product-reviews/"),
             F.regexp_replace(path, F.lit(r"^((?:(?!/p/)[\s\S])*+)/p/"), F.lit("$1/product-reviews/")),
         ).otherwise(path)
-        pid = F.nullif(extract_pid(u), F.lit(UNKNOWN_ID))
-        pairs = set_query_values(parse_query(query_of(u)), pid=pid, page=page.cast("string"))
-        pairs = F.filter(pairs, lambda p: p["k"].isin(*REVIEW_URL_KEYS))
-        return join_url(scheme_of(u), host_of(u), path, encode_query(pairs))
+        query = let(parse_query(query_of(u)), lambda pairs: query_text(pairs, path))
+        return join_url(scheme_of(u), host_of(u), review_path, query)
+
+    def query_text(pairs: Column, path: Column) -> Column:
+        # The code is looked for only where no pid is given.
+        code = F.when(~F.array_contains(pairs["k"], "pid"), _path_code(path))
+        kept = F.filter(pairs, lambda p: p["k"].isin(*REVIEW_URL_KEYS))
+        values = F.struct(code.alias("pid"), page.cast("string").alias("page"))
+        return let(values, lambda v: encode_query(set_query_values(kept, pid=v["pid"], page=v["page"])))
 
     return let(_with_scheme(_clean(strip(url))), build)
 

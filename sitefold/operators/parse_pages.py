@@ -46,6 +46,17 @@ def staged(df: DataFrame, **columns: str) -> DataFrame:
     return df.selectExpr("*", f"inline(array({P.struct(**columns)}))")
 
 
+def nested(result: str, **steps: str) -> str:
+    """``result`` over steps that each may use those before, in one expression.
+
+    The one-item arrays name a step as ``staged`` does, but no row is copied between them. For
+    short steps only: the analyzer needs some rounds for every level.
+    """
+    for name, step in reversed(steps.items()):
+        result = f"get(transform(array({step}), {name} -> {result}), 0)"
+    return result
+
+
 # --- JSON-LD ----------------------------------------------------------------------
 
 
@@ -56,27 +67,31 @@ def jsonld_documents(pages: DataFrame) -> DataFrame:
     return found.filter(f"size({J.parse_items('document')}) = 1")
 
 
-def _with_documents(df: DataFrame, likely: str) -> DataFrame:
-    """Adds ``_texts`` that may hold the word, and ``_docs``, the values that parse."""
+def _with_texts(df: DataFrame, likely: str) -> DataFrame:
+    """Adds ``_texts``, the JSON-LD texts that may hold the word."""
     # The word may be spelled with \\u escapes; no other text can hold it.
     has_word = f"contains(t, '{likely}') OR contains(t, {X.literal('\\u')})"
-    df = staged(df, _texts=f"filter({P.jsonld_texts('html')}, t -> {has_word})")
-    df = staged(df, _items=f"transform(_texts, t -> {J.parse_items('t')})")
-    return staged(df, _docs="transform(filter(_items, x -> size(x) = 1), x -> get(x, 0))")
+    return staged(df, _texts=f"filter({P.jsonld_texts('html')}, t -> {has_word})")
+
+
+def _documents(texts: str) -> str:
+    """The values of the texts that parse."""
+    items = f"transform({texts}, t -> {J.parse_items('t')})"
+    return f"transform(filter({items}, x -> size(x) = 1), x -> get(x, 0))"
 
 
 def _with_json_reviews(df: DataFrame) -> DataFrame:
-    """Adds ``_json``: reviews of the JSON-LD documents in document order."""
-    df = _with_documents(df, "Review")
-    df = staged(df, _depth=J.nesting("array_join(_texts, '')"))
-    df = staged(df, _nodes=J.all_nodes("_docs", "_depth"))
-    objects = P.struct(path="n.path", es=J.members("n.node"))
-    df = staged(df, _objects=f"transform(_nodes, n -> {objects})")
-    df = staged(df, _found=f"filter(_objects, n -> {J.has_type('n.es', 'Review')})")
-    df = staged(df, _values=f"transform(_found, n -> {J.review_parts('n')})")
-    rows = P.struct(path="p.path", **J.review_fields("p"))
-    df = staged(df, _read=f"sort_array(transform(_values, p -> {rows}))")
-    return staged(df, _json=_reviews("_read"))
+    """Adds ``_json``: reviews of the JSON-LD documents in document order.
+
+    Each step has one use, so they are one expression and no row is copied between them.
+    """
+    df = _with_texts(df, "Review")
+    nodes = J.all_objects(_documents("_texts"), J.nesting("array_join(_texts, '')"))
+    entries = P.struct(path="n.path", es=J.members_of("n.object"))
+    found = f"filter(transform({nodes}, n -> {entries}), n -> {J.has_type('n.es', 'Review')})"
+    values = f"transform({found}, n -> {J.review_parts('n')})"
+    rows = f"sort_array(transform({values}, p -> {P.struct(path='p.path', **J.review_fields('p'))}))"
+    return staged(df, _json=f"if(size(_texts) > 0, {_reviews(rows)}, {_NO_REVIEWS})")
 
 
 def _reviews(rows: str) -> str:
@@ -100,9 +115,9 @@ def _with_marks(df: DataFrame, when: str, selectors: tuple) -> DataFrame:
     )
     df = staged(df, _tags=M.tags("_toks"))
     df = staged(df, _spans=M.spans("_tags", "size(_toks)"))
-    df = staged(df, _level=P.elements_by_parent("_toks", "_spans", names))
-    df = staged(df, _els=P.elements_in_order("_level"))
-    df = staged(df, _hits=f"filter(_els, e -> {P.matches_any('e', selectors)})")
+    level = P.elements_by_parent("_toks", "_spans", names)
+    hits = f"filter({P.elements_in_order('_level')}, e -> {P.matches_any('e', selectors)})"
+    df = staged(df, _hits=nested(hits, _level=level))
     df = staged(df, _runs=f"if(size(_hits) > 0, {M.text_runs('_toks')}, NULL)")
     return staged(df, _marks=P.with_text("_hits", "_runs"))
 
@@ -152,18 +167,17 @@ def _with_html_reviews(df: DataFrame, when: str) -> DataFrame:
     block = P.struct(
         pos="b.pos", blob="b.text", inner="filter(_marks, e -> e.pos > b.pos AND e.pos < b.end)"
     )
-    df = staged(df, _blocks=f"transform(filter(_marks, e -> {is_block}), b -> {block})")
-    df = staged(df, _parts=f"transform(_blocks, b -> {_block_parts('b')})")
-    df = staged(df, _rows=f"transform(_parts, p -> {_block_review('p')})")
+    blocks = f"transform(filter(_marks, e -> {is_block}), b -> {block})"
+    parts = f"transform({blocks}, b -> {_block_parts('b')})"
     placed = P.fields_of("r", ("pos",) + REVIEW_FIELDS)
     key = X.in_page_review_key_sql("r.reviewer", "r.review_date", "r.title", "r.review_text")
     # Equal keys stand next to each other after the sort, the first in the page first.
-    df = staged(df, _keyed=f"sort_array(transform(_rows, r -> {P.struct(key=key, **placed)}))")
-    df = staged(
-        df, _firsts="filter(_keyed, (r, i) -> i = 0 OR get(_keyed, i - 1).key <> r.key)"
-    )
-    df = staged(df, _ordered=f"sort_array(transform(_firsts, r -> {P.struct(**placed)}))")
-    return staged(df, _html=_reviews("_ordered"))
+    rows = f"transform({parts}, p -> {_block_review('p')})"
+    keyed = f"sort_array(transform({rows}, r -> {P.struct(key=key, **placed)}))"
+    firsts = "filter(_keyed, (r, i) -> i = 0 OR get(_keyed, i - 1).key <> r.key)"
+    ordered = f"sort_array(transform({firsts}, r -> {P.struct(**placed)}))"
+    df = staged(df, _keyed=keyed)
+    return staged(df, _html=_reviews(ordered))
 
 
 def _explode_reviews(df: DataFrame, keep: list[str], column: str) -> DataFrame:
@@ -205,7 +219,8 @@ _JSON_FIELDS = ("title", "category", "price", "currency", "rating", "review_coun
 
 def _with_json_product(df: DataFrame) -> DataFrame:
     """Adds ``_json``: text fields of the first top-level Product object, or blanks."""
-    df = _with_documents(df, "Product")
+    df = _with_texts(df, "Product")
+    df = staged(df, _docs=_documents("_texts"))
     tops = f"if({J.is_array('d')}, {J.items('d')}, array(d))"
     df = staged(df, _tops=f"flatten(transform(_docs, d -> {tops}))")
     df = staged(df, _nodes=f"transform(_tops, d -> {J.members('d')})")
