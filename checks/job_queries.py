@@ -369,7 +369,9 @@ def _requested_run(spark: SparkSession, sf: str):
         F.explode(F.array(to_review_url(F.col("product_url"), page))).alias("request_url"), "status", "html"
     )
     # The products of the pages, from the users alone: the pages need not be built again for them.
-    products = R.table(spark, sf, "events").select(_event_url().alias("product_url"))
+    # Distinct users first: an event is no new URL.
+    users = R.table(spark, sf, "events").select("user_id").distinct()
+    products = users.select(F.explode(F.array(_event_url())).alias("product_url"))
     urls = products.filter(user % 7 != 0).select(user.alias("ordinal"), F.col("product_url").alias("url"))
     options = ReviewOptions(max_pages=_DAYS, seen_stop_threshold=2, max_empty_pages=3)
     return ingest_requested(landed, urls.distinct(), options, event_seen(spark, sf))

@@ -27,6 +27,11 @@ UNKNOWN_ID = "UNKNOWN"
 # Schemes whose URLs have a host part, ``;params`` and relative links.
 WEB_SCHEMES = ("", "http", "https", "ftp", "sftp")
 
+# No query key twice, lower-case scheme, plain host and path, plain keys with values that need no escape.
+_CANONICAL = (
+    r"^(?!.*[?&](KEYS)=.*&\1=)https?://[A-Za-z0-9.:-]++(?:/[A-Za-z0-9._~/-]*+)?+"
+    r"(?:\?(?:KEYS)=[A-Za-z0-9._-]++(?:&(?:KEYS)=[A-Za-z0-9._-]++)*+)?+\z"
+)
 _SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
 _HOST = r"(?://[^/?#]*)?"
 
@@ -163,9 +168,15 @@ def set_query_values(pairs: Column, **values: Column) -> Column:
 
 
 def _query_id(url: Column) -> Column:
-    """The decoded ``pid`` value, or null; URLs without 'pid' skip the parse."""
+    """The decoded ``pid`` value, or null; URLs without 'pid', or with a plain one in front, skip the parse."""
     query = query_of(url)
-    return F.when(query.rlike("p|%"), query_value(parse_query(query), "pid"))
+    return let(
+        query,
+        lambda q: F.coalesce(
+            blank_to_null(find(q, r"^pid=([A-Za-z0-9._-]++)(?:&|\z)", 1)),
+            F.when(q.rlike("p|%"), query_value(parse_query(q), "pid")),
+        ),
+    )
 
 
 # --- canonical forms --------------------------------------------------------------
@@ -177,7 +188,10 @@ def canonicalize_url(
     tracking_prefixes: Iterable[str] = TRACKING_PREFIXES,
 ) -> Column:
     """Product URL without tracking keys, params and fragment; host case stays."""
-    keys, prefixes = list(tracking_keys), list(tracking_prefixes)
+    keys, prefixes = list(tracking_keys), tuple(tracking_prefixes)
+    # One pattern tells URLs that are canonical as they stand, if they have no other query key.
+    own = "|".join(k for k in REVIEW_URL_KEYS if k not in keys and not k.startswith(prefixes)) or r"(?!)"
+    canonical = _CANONICAL.replace("KEYS", own)
 
     def kept(pair: Column) -> Column:
         low = F.lower(pair["k"])
@@ -193,7 +207,7 @@ def canonicalize_url(
         )
         return join_url(scheme_of(u), host_of(u), path_of(u), cleaned)
 
-    return let(_with_scheme(_clean(strip(url))), build)
+    return F.when(url.rlike(canonical), url).otherwise(let(_with_scheme(_clean(strip(url))), build))
 
 
 def canonical_product_url(url: Column) -> Column:

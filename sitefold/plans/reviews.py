@@ -33,7 +33,7 @@ class ReviewRun:
 
 
 def parse_landed(
-    pages: DataFrame, max_pages: int | None, listed: DataFrame | None = None
+    pages: DataFrame, max_pages: int | None, listed: DataFrame | None = None, with_id: bool = True
 ) -> DataFrame:
     """Parse review pages once and settle the narrow result.
 
@@ -42,7 +42,7 @@ def parse_landed(
     a text or with an HTTP error failed. Of a page that landed several times one that did
     not fail counts, of these the one with most reviews. With ``listed`` (product_url, settled)
     pages of other products are left out before parsing, but for a few beyond the size that
-    can be broadcast.
+    can be broadcast. ``product_id`` is read from the URL unless ``with_id`` is false.
     """
     wanted = F.col("page_no") >= 1
     if max_pages is not None:
@@ -63,7 +63,9 @@ def parse_landed(
         ["failed", F.col("n_rows").desc(), F.xxhash64("reviews")],
     )
     # Settled after the choice: rows, counters and failures read it, the latter without reviews.
-    return settle(once.withColumn("product_id", extract_pid(F.col("product_url"))), "review-lists")
+    if with_id:
+        once = once.withColumn("product_id", extract_pid(F.col("product_url")))
+    return settle(once, "review-lists")
 
 
 def _page_counts(lists: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -173,8 +175,11 @@ def ingest_requested(
     listed = settle(dedupe_urls(urls), "listed-urls")
     # One-item explodes: the URL forms are long expressions that must not be nested.
     first = F.explode(F.array(review_base(F.col("product_url")))).alias("_first")
+    # The id is read once for a product, not for each of its pages.
     manifest = listed.select("product_url", first).select(
-        "product_url", canonicalize_url(F.col("_first")).alias("_base")
+        "product_url",
+        canonicalize_url(F.col("_first")).alias("_base"),
+        extract_pid(F.col("product_url")).alias("product_id"),
     )
     manifest = settle(manifest, "request-manifest")
     asked = pages.select(
@@ -184,16 +189,11 @@ def ingest_requested(
         "html",
     )
     bases = manifest.select(F.col("_base").alias("product_url"))
-    found = parse_landed(asked, options.max_pages, bases).drop("product_id")
+    found = parse_landed(asked, options.max_pages, bases, with_id=False)
     side = manifest
-    if is_small(manifest, text_bytes(F.col("product_url"), F.col("_base"))):
+    if is_small(manifest, text_bytes(*[F.col(c) for c in manifest.columns])):
         side = F.broadcast(manifest)
-    lists = (
-        found.withColumnRenamed("product_url", "_base")
-        .join(side, "_base")
-        .drop("_base")
-        .withColumn("product_id", extract_pid(F.col("product_url")))
-    )
+    lists = found.withColumnRenamed("product_url", "_base").join(side, "_base").drop("_base")
     last_request = options.max_pages if options.max_pages is not None else 2**31 - 1
     refused = refused_inputs(pages, review_page_reason)
     return _ingest(lists, listed, refused, options, seen, as_of, last_request)
