@@ -99,7 +99,8 @@ def tokens(html: str) -> str:
 
 def scripts(html: str) -> str:
     """ARRAY<STRING> of whole script elements; those inside comments do not count."""
-    return f"filter({_all_matches(html, _SCRIPT_ONLY)}, t -> t rlike '(?i)^<script')"
+    # The second letter tells them from styles and comments.
+    return f"filter({_all_matches(html, _SCRIPT_ONLY)}, t -> substr(t, 3, 1) IN ('c', 'C'))"
 
 
 def start_tags(html: str) -> str:
@@ -108,9 +109,13 @@ def start_tags(html: str) -> str:
     return f"filter({_all_matches(html, _START_TAGS)}, t -> t rlike {other})"
 
 
-def script_body(script: str) -> str:
+def script_body(script: str, start: str = "") -> str:
+    """Text of a whole script; ``start``: an open tag that many have, written just so."""
     body = f"regexp_replace({script}, {literal('(?i)^' + _RAW)}, '')"
-    return f"regexp_replace({body}, {literal(r'(?i)</script\s*>\z')}, '')"
+    if start:
+        body = f"if(startswith({script}, {literal(start)}), substr({script}, {len(start) + 1}), {body})"
+    inner = f"regexp_replace(x, {literal(r'(?i)</script\s*>\z')}, '')"
+    return _let(body, "x", f"if(endswith(x, '</script>'), left(x, length(x) - 9), {inner})")
 
 
 def open_tag(element: str) -> str:

@@ -24,10 +24,15 @@ def jsonld_texts(html: str) -> str:
     kind = M.raw_attribute(M.open_tag("s"), "type")
     # The type may be written with an entity for its plus sign.
     plain = f"replace(replace({kind}, '&#43;', '+'), '&plus;', '+')"
-    chosen = f"filter({M.scripts(html)}, s -> {plain} = '{J.JSONLD_TYPE}')"
-    texts = f"transform({chosen}, s -> {strip_sql(M.script_body('s'))})"
+    # Written plainly most of the time, which no pattern need tell.
+    start = f'<script type="{J.JSONLD_TYPE}">'
+    chosen = f"filter({M.scripts(html)}, s -> startswith(s, {literal(start)}) OR {plain} = '{J.JSONLD_TYPE}')"
+    bare = " AND ".join(f"({f}(b, '{o}') OR {f}(b, '{c}'))" for f, o, c in (("startswith", "{", "["), ("endswith", "}", "]")))
+    stripped = f"get(transform(array({M.script_body('s', start)}), b -> if({bare}, b, {strip_sql('b')})), 0)"
+    texts = f"transform({chosen}, s -> {stripped})"
     none = "CAST(array() AS ARRAY<STRING>)"
-    return f"if({html} rlike {literal(r'ld(\+|&)')}, filter({texts}, t -> t <> ''), {none})"
+    likely = f"contains({html}, 'ld+') OR contains({html}, 'ld&')"
+    return f"if({likely}, filter({texts}, t -> t <> ''), {none})"
 
 
 def selector_names(*selectors: Sequence) -> str:

@@ -86,7 +86,8 @@ def _with_json_reviews(df: DataFrame) -> DataFrame:
     Each step has one use, so they are one expression and no row is copied between them.
     """
     df = _with_texts(df, "Review")
-    nodes = J.all_objects(_documents("_texts"), J.nesting("array_join(_texts, '')"))
+    depth = f"array_max(transform(_texts, t -> {J.nesting('t')}))"
+    nodes = J.all_objects(_documents("_texts"), f"coalesce({depth}, 1)")
     entries = P.struct(path="n.path", es=J.members_of("n.object"))
     found = f"filter(transform({nodes}, n -> {entries}), n -> {J.has_type('n.es', 'Review')})"
     values = f"transform({found}, n -> {J.review_parts('n')})"

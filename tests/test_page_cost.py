@@ -60,3 +60,30 @@ def test_objects_in_document_order(spark):
     found = J.all_objects(docs, J.nesting("t"))
     paths = rows.selectExpr(f"transform({found}, n -> n.path) AS p").first().p
     assert sorted(paths) == [[0, 0], [0, 0, 0], [0, 0, 1, 0, 0], [0, 2]]
+
+
+def test_bad_text_hides_no_later_review(spark):
+    """Brackets that a bad text closes but never opened do not count against the next text."""
+    texts = ("}}} Review", '{"a": [[{"@type": ["Review"], "name": "n", "author": {"name": "NaN"}}]]}')
+    html = "".join(f'<script type="application/ld+json">{t}</script>' for t in texts)
+    row = P.jsonld_reviews(spark.createDataFrame([(1, html)], "id long, html string")).first()
+    assert (row.title, row.reviewer) == ("n", "NaN")
+
+
+@pytest.mark.parametrize(
+    "text, depth",
+    [("5", 1), ("{}", 1), ('["]]", {}, {"[": "{"}]', 2), ('{"a": [{"b": []}, {}]}', 4), ("[{}, [[{}]], {}]", 4)],
+)
+def test_depth_is_exact(spark, text, depth):
+    row = spark.createDataFrame([(text,)], "t string").selectExpr(f"greatest({J.nesting('t')}, 1) AS d").first()
+    assert row.d == depth
+
+
+@pytest.mark.parametrize(
+    "tag", ['<script type="application/ld+json">', "<SCRIPT id=a TYPE='application/ld&#43;json' >"]
+)
+@pytest.mark.parametrize("end", ["</script>", "</SCRIPT >", ""])
+def test_script_text_in_any_spelling(spark, tag, end):
+    html = f'<style>a</style>{tag} \n{{"a": "</script x"}}\t{end}'
+    rows = spark.createDataFrame([(html,)], "html string").selectExpr(f"inline(array({P.P.struct(t=P.P.jsonld_texts('html'))}))")
+    assert rows.first().t == ['{"a": "</script x"}']
