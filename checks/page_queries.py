@@ -158,15 +158,28 @@ def large_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
     found = P.elements(pages)
     is_item = F.col("tag") == "li"
+    # Different places are counted as bits, 64 to a row, so that a page leaves fewer rows than it has items.
+    word = {c: F.when(is_item, F.shiftright(c, 6)) for c in ("end_id", "parent_id")}
+    bits = {c: F.bit_or(F.when(is_item, F.expr(f"shiftleft(1L, {c} & 63)"))) for c in word}
+    rows = found.groupBy("doc_id", *[w.alias(f"{c}_word") for c, w in word.items()]).agg(
+        F.count_if(is_item).alias("n_items"),
+        F.count_if(F.col("tag") == "b").alias("n_words"),
+        *[b.alias(f"{c}_bits") for c, b in bits.items()],
+    )
+    # Words of one column meet again: a word of the one lies with several of the other.
+    words = rows.selectExpr(
+        "doc_id",
+        """inline(array(
+            struct('end' AS kind, end_id_word AS word, end_id_bits AS bits, n_items, n_words),
+            struct('parent' AS kind, parent_id_word AS word, parent_id_bits AS bits, 0L AS n_items, 0L AS n_words)))""",
+    )
+    sums = {n: F.sum(n).alias(n) for n in ("n_items", "n_words")}
+    words = words.groupBy("doc_id", "kind", "word").agg(F.bit_or("bits").alias("bits"), *sums.values())
+    # All items end with the list; each lies in the one before.
+    n_of = {k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.bit_count("bits"))), F.lit(0)) for k in ("end", "parent")}
     return (
-        found.groupBy("doc_id")
-        .agg(
-            F.count_if(is_item).alias("n_items"),
-            F.count_if(F.col("tag") == "b").alias("n_words"),
-            # All items end with the list; each lies in the one before.
-            F.count_distinct(F.when(is_item, F.col("end_id"))).alias("n_ends"),
-            F.count_distinct(F.when(is_item, F.col("parent_id"))).alias("deepest"),
-        )
+        words.groupBy("doc_id")
+        .agg(*sums.values(), n_of["end"].alias("n_ends"), n_of["parent"].alias("deepest"))
         .where("n_items > 0")
     )
 

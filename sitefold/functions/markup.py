@@ -45,8 +45,11 @@ _STYLE = r"<style(?=[\s/>])" + _TAG_REST + r"(?:[^<]++|<(?!/style\s*+>))*+(?:</s
 _OPEN = r"<[a-z]" + _TAG_REST
 _CLOSE = r"</[a-z][^>]*+>"
 _OTHER = r"<[!?/][^>]*+>"
-_TEXT = r"(?:[^<]|<(?![a-z/!?]))++"
-_TOKEN = "(?i)" + "|".join((_COMMENT, _SCRIPT, _STYLE, _OPEN, _CLOSE, _OTHER, _TEXT, "<"))
+_TEXT = r"(?:[^<]++|<(?![a-z/!?]))++"
+# Names alone come first, as most tags are; the bracket that all but text begin with is read once.
+_BARE = r"<(?!script|style)[a-z][a-z0-9]*+>"
+_TAGGED = "<(?:" + "|".join(p[1:] for p in (_BARE, _COMMENT, _SCRIPT, _STYLE, _OPEN, _CLOSE, _OTHER)) + ")"
+_TOKEN = "(?i)" + "|".join((_TAGGED, _TEXT, "<"))
 # The bracket that all three begin with stands first, so other text is passed over quickly.
 _SCRIPT_ONLY = "(?i)<(?:" + "|".join(p[1:] for p in (_COMMENT, _SCRIPT, _STYLE)) + ")"
 _START_TAGS = "(?i)" + "|".join((_COMMENT, _SCRIPT, _STYLE, _OPEN))
@@ -62,6 +65,9 @@ _OPEN_VALUE_AT_END = r"""=\s*[^\s"'>][^\s>]*/>\z"""
 _FOLD_CHUNK = 64
 _FOLD_RUN = 64
 
+# Up to so many different tags of a page are looked up for each token.
+_FEW_TAGS = 32
+
 
 def unescape(text: str) -> str:
     """Decode numeric and named entities in one pass; unknown ones stay as they are.
@@ -282,31 +288,6 @@ def _folded(starts: str, start: str, zero: str, one: str, end: str = "") -> str:
     )
 
 
-def _paired(tag_tokens: str) -> str:
-    """Tags with ``end``, without those the fold need not see; the elements are the same.
-
-    ``names`` holds the names of start tags. An end tag of another name ends nothing. One that
-    follows its start tag at once ends that element, which then needs no place among the open tags.
-    """
-    live = f"filter({tag_tokens}, t -> t.kind <> -1 OR array_contains(names, t.tag))"
-    after, before = "get(live, i + 1)", "get(live, i - 1)"
-    whole = f"t.kind = 1 AND coalesce({after}.kind = -1 AND {after}.tag = t.tag, false)"
-    done = f"t.kind = -1 AND i > 0 AND {before}.kind = 1 AND {before}.tag = t.tag"
-    marked = (
-        f"transform(live, (t, i) -> CASE WHEN {done} THEN NULL WHEN {whole} THEN"
-        f" named_struct('pos', t.pos, 'kind', 0, 'tag', t.tag, 'end', {after}.pos)"
-        " ELSE named_struct('pos', t.pos, 'kind', t.kind, 'tag', t.tag, 'end', t.pos) END)"
-    )
-    return _let(live, "live", f"filter({marked}, t -> t IS NOT NULL)")
-
-
-def _chosen(tag_list: str, kind: int, **fields: str) -> str:
-    """Tags ``t`` of one kind as structs; ``i`` is their place in the list."""
-    struct = ", ".join(f"'{k}', {v}" for k, v in fields.items())
-    kept = f"transform({tag_list}, (t, i) -> if(t.kind = {kind}, named_struct({struct}), NULL))"
-    return f"filter({kept}, t -> t IS NOT NULL)"
-
-
 def _fold_ends(page_end: str) -> str:
     """``tops`` of the end tags ``closes``, and ``ends`` of all start tags, of which ``codes`` has the names.
 
@@ -350,49 +331,152 @@ def _fold_ends(page_end: str) -> str:
     return _folded(starts("closes", wide), "first", nothing, joined, page_end)
 
 
-def spans(tag_tokens: str, page_end: str) -> str:
-    """ARRAY<STRUCT<pos, end, parent, tag>> of all elements, in document order.
+# A tag as one number: its token in the high half, below it 4 * name + kind. Kinds: 0 without
+# content, 1 opens, 3 closes; 2 closes an element that is marked as without content.
+_LOW = "4294967295"
+_HIGH = "-4294967296"
+_DEAD = "(-9223372036854775807 - 1)"
+
+
+def _token(tag: str) -> str:
+    return f"CAST(shiftright({tag}, 32) AS INT)"
+
+
+def _low(tag: str) -> str:
+    return f"({tag} & {_LOW})"
+
+
+def _kind(tag: str) -> str:
+    return f"({tag} & 3)"
+
+
+def _at(token: str, low: str) -> str:
+    return f"(shiftleft(CAST({token} AS BIGINT), 32) + {low})"
+
 
-    ``pos`` is the token of the start tag, ``end`` the token that closes it and
-    ``parent`` the start of the surrounding element (-1 at the top).
+def _numbers(read: str, names: str) -> str:
+    """ARRAY<BIGINT> of tags as numbers, without end tags of a name that no start tag has."""
+    opened = f"array_distinct(transform(filter({read}, t -> t.kind = 1), t -> t.tag))"
+    low = f"(4 * (array_position({names}, t.tag) - 1) + {_kind('t.kind')})"
+    live = f"filter({read}, t -> t.kind <> -1 OR array_contains(opened, t.tag))"
+    return _let(opened, "opened", f"transform({live}, t -> {_at('t.pos', low)})")
 
-    Tags between which nothing closes need no fold: their parent is the tag before.
+
+def _names(read: str) -> str:
+    return f"array_distinct(transform({read}, t -> t.tag))"
+
+
+def tag_steps(toks: str) -> dict[str, str]:
+    """Steps to ``_names`` and ``_numbers``, the tags of a page as numbers.
+
+    A page with few different tags has them read once each, not once for every token.
+    """
+    seen = f"filter(array_distinct({toks}), t -> startswith(t, '<'))"
+    few = f"size(_seen) <= {_FEW_TAGS}"
+    # The number of no tag comes first, for tokens that are not found.
+    number = "get(lows, CAST(array_position(live, t) AS INT))"
+    found = f"filter(transform({toks}, (t, i) -> if(startswith(t, '<'), {_at('i', number)}, {_DEAD})), x -> x >= 0)"
+    found = _let(f"transform(_read_numbers, x -> get(_seen, {_token('x')}))", "live", found)
+    found = _let(f"flatten(array(array({_DEAD}), transform(_read_numbers, x -> {_low('x')})))", "lows", found)
+    return {
+        "_seen": seen,
+        "_read": tags(f"if({few}, _seen, {toks})"),
+        "_names": _names("_read"),
+        "_read_numbers": _numbers("_read", "_names"),
+        "_numbers": f"if({few}, {found}, _read_numbers)",
+    }
+
+
+def _tops() -> str:
+    """Start token of the tag open last after each tag of ``_placed``; -1 at the top."""
+    after = (
+        "concat(array(coalesce(get(starts, get(_page.tops, k)), -1)),"
+        " slice(starts, c.n + 1, coalesce(get(_closes, k + 1).n, size(starts)) - c.n))"
+    )
+    first = "slice(starts, 1, coalesce(get(_closes, 0).n, size(starts)))"
+    found = f"flatten(array({first}, flatten(transform(_closes, (c, k) -> {after}))))"
+    return _let(f"transform(_opens, x -> {_token('x')})", "starts", found)
+
+
+def _parents() -> str:
+    """Parents of the elements, in document order.
+
+    All elements from a tag to the next one that opens or closes have the tag open between as parent.
     """
-    names = f"array_distinct(transform(filter({tag_tokens}, t -> t.kind = 1), t -> t.tag))"
-    code = "CAST(array_position(names, t.tag) AS INT)"
-    opens = _chosen("placed", 1, j="i", pos="t.pos", tag="t.tag")
-    closes = _chosen("placed", -1, j="i", pos="t.pos", code=code)
-    numbered = "transform(found, (t, i) -> named_struct('n', t.j - i, 'j', t.j, 'pos', t.pos, 'code', t.code))"
-    low = "4294967295"
-    # The tag open last after each start and end tag, as its number from 1; two runs to merge.
-    tops = (
-        "concat(transform(opens, (t, i) -> shiftleft(CAST(t.j AS BIGINT), 32) + i + 1),"
-        " transform(closes, (t, i) -> shiftleft(CAST(t.j AS BIGINT), 32) + get(page.tops, i) + 1))"
+    listed = f"filter(_marked, x -> {_kind('x')} <> 2)"
+    rank = f"if((x & 1) = 1, {_at('i', _kind('x'))}, -1L)"
+    ranks = f"filter(transform(listed, (x, i) -> {rank}), x -> x >= 0)"
+    following = "get(ranks, i + 1)"
+    n = (
+        f"coalesce({_token(following)} - if({_kind(following)} = 3, 1, 0), size(listed) - 1)"
+        f" - {_token('x')}"
     )
-    after = f"transform(sort_array({tops}), v -> CAST(v & {low} AS INT) - 1)"
-
-    def element(end: str, place: str) -> str:
-        parent = f"coalesce(get(opens, get(after, {place} - 1)).pos, -1)"
-        return f"named_struct('pos', t.pos, 'end', {end}, 'parent', {parent}, 'tag', t.tag)"
-
-    # Each start tag has one end, so the sorted ends stand in its place.
-    with_end = f"transform(opens, (t, i) -> {element(f'CAST(get(ends, i) & {low} AS INT)', 't.j')})"
-    empties = _chosen("tags", 0, i="i", pos="t.pos", end="t.end", tag="t.tag")
-    # Without the empty elements before it, the place among all tags is that among start and end tags.
-    empty = f"transform({empties}, (t, i) -> {element('t.end', 't.i - i')})"
-    found = _let(after, "after", _let("sort_array(page.ends)", "ends", f"sort_array(concat({with_end}, {empty}))"))
-    steps = (
-        (names, "names"),
-        (_paired(tag_tokens), "tags"),
-        ("filter(tags, t -> t.kind <> 0)", "placed"),
-        (opens, "opens"),
-        (_let(closes, "found", numbered), "closes"),
-        (f"transform(opens, t -> {code})", "codes"),
-        (_fold_ends(page_end), "page"),
+    before = f"coalesce({_token('get(ranks, 0)')} + if({_kind('get(ranks, 0)')} = 1, 1, 0), size(listed))"
+    runs = f"flatten(transform(ranks, (x, i) -> array_repeat(get(tops, i), {n})))"
+    found = f"flatten(array(array_repeat(-1, {before}), {runs}))"
+    return _let(listed, "listed", _let(ranks, "ranks", _let(_tops(), "tops", found)))
+
+
+def span_steps(page_end: str) -> dict[str, str]:
+    """Steps from ``_numbers`` to ``_elements``, ``_ends`` and ``_parents``, one value an element.
+
+    Work is by arrays of numbers: a pass over them costs a fraction of one over structs. An end tag
+    that follows its start tag at once ends that element, which then needs no place among the open tags.
+    """
+    after, before = "get(given, i + 1)", "get(given, i - 1)"
+    # Kind 1 with 3 next, of one name: 0 and 2.
+    paired = (
+        f"CASE {_kind('x')} WHEN 1 THEN if({_low(after)} = {_low('x')} + 2, x - 1, x)"
+        f" WHEN 3 THEN if({_low(before)} = {_low('x')} - 2, x - 1, x) ELSE x END"
     )
-    for value, name in reversed(steps):
+    following = "get(given, i + 1)"
+    end = f"if({_kind(following)} = 2, shiftright({following}, 32), shiftright(x, 32))"
+    short = f"if({_kind('x')} = 0, (x & {_HIGH}) + {end}, -1L)"
+    shorts = _let("_marked", "given", f"filter(transform(given, (x, i) -> {short}), x -> x >= 0)")
+    close = f"named_struct('j', i, 'pos', {_token('x')}, 'code', CAST(shiftright({_low('x')}, 2) AS INT))"
+    closing = f"filter(transform(_placed, (x, i) -> if({_kind('x')} = 3, {close}, NULL)), x -> x IS NOT NULL)"
+    closes = f"transform({closing}, (t, i) -> named_struct('n', t.j - i, 'pos', t.pos, 'code', t.code))"
+    codes = f"transform(_opens, x -> CAST(shiftright({_low('x')}, 2) AS INT))"
+    page = _let("_closes", "closes", _let(codes, "codes", _fold_ends(page_end)))
+    ended = _let("_opens", "given", f"transform(_page.ends, x -> (get(given, {_token('x')}) & {_HIGH}) + {_low('x')})")
+    return {
+        # A name for an array that is looked into spares reading its column each time.
+        "_marked": _let("_numbers", "given", f"transform(given, (x, i) -> {paired})"),
+        "_placed": "filter(_marked, x -> (x & 1) = 1)",
+        "_opens": f"filter(_placed, x -> {_kind('x')} = 1)",
+        "_closes": closes,
+        "_page": page,
+        # Each element has one end, so the sorted ends stand in its place.
+        "_ends": f"sort_array(flatten(array({ended}, {shorts})))",
+        "_parents": _parents(),
+        "_elements": f"filter(_marked, x -> {_kind('x')} < 2)",
+    }
+
+
+def span(toks: str = "") -> str:
+    """ARRAY<STRUCT<pos, end, parent, tag>> of all elements, in document order, after the steps.
+
+    ``pos`` is the token of the start tag, ``end`` the token that closes it and ``parent`` the
+    start of the surrounding element (-1 at the top). With ``toks`` also ``token``, the start tag.
+    """
+    tag = f"get(_names, CAST(shiftright({_low('x')}, 2) AS INT))"
+    struct = (
+        f"'pos', {_token('x')}, 'end', CAST({_low('get(_ends, i)')} AS INT), 'parent', get(_parents, i), 'tag', {tag}"
+    )
+    if toks:
+        # A script or style is one token with its content; only its start tag has attributes.
+        whole = f"get({toks}, {_token('x')})"
+        struct += f", 'token', if({tag} IN ({literals(RAW_TAGS)}), {open_tag(whole)}, {whole})"
+    return f"transform(_elements, (x, i) -> named_struct({struct}))"
+
+
+def spans(tag_tokens: str, page_end: str) -> str:
+    """``span`` of tags that were read before, in one expression."""
+    steps = {"_names": _names(tag_tokens), "_numbers": _numbers(tag_tokens, "_names"), **span_steps(page_end)}
+    found = span()
+    for name, value in reversed(steps.items()):
         found = _let(value, name, found)
-    return f"if({tag_tokens} IS NOT NULL, {found}, NULL)"
+    return found
 
 
 def text_runs(toks: str) -> str:

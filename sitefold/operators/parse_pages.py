@@ -356,27 +356,27 @@ def product_links(
 _CLASS = "coalesce(attrs['class'], '')"
 
 
+def _with_spans(df: DataFrame) -> DataFrame:
+    """Adds what ``M.span`` reads, from ``_toks``; a step for each value, as large pages have large ones."""
+    for name, step in {**M.tag_steps("_toks"), **M.span_steps("size(_toks)")}.items():
+        df = staged(df, **{name: step})
+    return df
+
+
 def elements(pages: DataFrame) -> DataFrame:
     """One row per HTML element: ``node_id``, ``end_id``, ``parent_id``, tag, attributes.
 
     ``x`` lies inside ``b`` iff ``x.node_id > b.node_id AND x.node_id < b.end_id``.
     """
     keep = _keep(pages, "html")
-    df = staged(pages, _toks=M.tokens("html"))
-    df = staged(df, _tags=M.tags("_toks"))
-    df = staged(df, _spans=M.spans("_tags", "size(_toks)"))
-    # A script or style is one token with its content; only its start tag has attributes.
-    whole = "get(_toks, e.pos)"
-    start = f"if(e.tag IN ({X.literals(M.RAW_TAGS)}), {M.open_tag(whole)}, {whole})"
-    token = P.struct(
-        node_id="e.pos", end_id="e.end", parent_id="e.parent", tag="e.tag", token=start
-    )
-    rows = df.selectExpr(*keep, f"inline(transform(_spans, e -> {token}))")
-    rows = staged(rows, _read=M.attributes("token"))
+    df = _with_spans(staged(pages, _toks=M.tokens("html")))
+    columns = ("node_id", "end_id", "parent_id", "tag")
+    rows = df.selectExpr(*keep, f"inline({M.span('_toks')}) AS ({', '.join(columns)}, token)")
+    # No generator here: who asks for no attributes does not have them read.
     names = "transform(_read, a -> a.k)"
     last = f"filter(_read, (a, i) -> NOT array_contains(slice({names}, i + 2, size(_read)), a.k))"
-    rows = staged(rows, attrs=f"map_from_entries({last})")
-    columns = ("node_id", "end_id", "parent_id", "tag")
+    attrs = nested(f"map_from_entries({last})", _read=M.attributes("token"))
+    rows = rows.selectExpr(*keep, *columns, f"{attrs} AS attrs")
     return rows.selectExpr(
         *keep, *columns, f"{M.class_list(_CLASS)} AS classes", "attrs"
     )

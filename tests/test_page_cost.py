@@ -87,3 +87,39 @@ def test_script_text_in_any_spelling(spark, tag, end):
     html = f'<style>a</style>{tag} \n{{"a": "</script x"}}\t{end}'
     rows = spark.createDataFrame([(html,)], "html string").selectExpr(f"inline(array({P.P.struct(t=P.P.jsonld_texts('html'))}))")
     assert rows.first().t == ['{"a": "</script x"}']
+
+
+def test_attributes_are_read_on_request(spark):
+    found = P.elements(spark.createDataFrame([(1, "<p id=a>")], "id long, html string"))
+    assert "map_from_entries" not in _plan(found.select("id", "tag", "node_id", "end_id", "parent_id"))
+    assert [r.attrs for r in found.select("attrs").collect()] == [{"id": "a"}]
+
+
+def test_large_pages_count_places_without_a_row_for_each(spark, tmp_path):
+    """No expanded rows and no distinct places before the shuffle, and texts of one id count as one."""
+    from checks import QUERIES
+
+    texts = [(1, "a b " * 300), (1, "a b"), (None, "c"), (None, ""), (2, None), (3, "<>& A"), (4, "d " * 65)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["large_pages"](spark, str(tmp_path))
+    assert "Expand" not in _plan(found)
+    n = {1: 600, None: 1, 4: 65}
+    # Ends of equal doc_id: those of the long text and of the short one differ.
+    want = {(k, m + 2 * (k == 1), m + 2 * (k == 1), 1 + (k == 1), m) for k, m in n.items()}
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_few_and_many_different_tags(spark):
+    """Tags are read once for each different one or once for each token: the same elements."""
+    names = [f"x{i}" for i in range(20)]
+    part = "".join(f"<{n}>a</{n.upper()} ></p></{n}><br/><{n} /><a=x /> <1 <BR><!-- <p> -->" for n in names)
+    other = "<style>p</style><td id=1>" * 3 + "<script>x</script></td>"
+    rows = []
+    for html in (part + other, part[: len(part) // 20] + other):
+        frame = spark.createDataFrame([(html,)], "html string")
+        steps = P.staged(frame, _toks=P.M.tokens("html"))
+        few = P._with_spans(steps).selectExpr("size(_seen) AS n", f"{P.M.span()} AS found").first()
+        each = steps.selectExpr(f"{P.M.spans(P.M.tags('_toks'), 'size(_toks)')} AS found").first()
+        assert few.found == each.found and few.found
+        rows.append(few.n > P.M._FEW_TAGS)
+    assert rows == [True, False]
