@@ -453,20 +453,40 @@ def span_steps(page_end: str) -> dict[str, str]:
     }
 
 
-def span(toks: str = "") -> str:
+def _tag_of(element: str) -> str:
+    return f"get(_names, CAST(shiftright({_low(element)}, 2) AS INT))"
+
+
+def row_steps(toks: str) -> dict[str, str]:
+    """Steps after those of ``span_steps`` to ``_tag`` and ``_token``, one value an element."""
+    return {
+        "_tag": f"transform(_elements, x -> {_tag_of('x')})",
+        "_token": f"transform(_elements, x -> get({toks}, {_token('x')}))",
+    }
+
+
+def span_rows() -> str:
+    """Rows of the elements after the steps, in document order, for ``span_columns``."""
+    return "inline(arrays_zip(_elements, _ends, _parents, _tag, _token)) AS (_element, _end, _parent, _tag, _token)"
+
+
+def span_columns(pos: str, end: str, parent: str) -> list[str]:
+    """Columns of a row with the names given, and ``tag``; their values are those of ``span``."""
+    return [
+        f"{_token('_element')} AS {pos}", f"CAST({_low('_end')} AS INT) AS {end}", f"_parent AS {parent}", "_tag AS tag"
+    ]
+
+
+def span() -> str:
     """ARRAY<STRUCT<pos, end, parent, tag>> of all elements, in document order, after the steps.
 
     ``pos`` is the token of the start tag, ``end`` the token that closes it and ``parent`` the
-    start of the surrounding element (-1 at the top). With ``toks`` also ``token``, the start tag.
+    start of the surrounding element (-1 at the top).
     """
-    tag = f"get(_names, CAST(shiftright({_low('x')}, 2) AS INT))"
     struct = (
-        f"'pos', {_token('x')}, 'end', CAST({_low('get(_ends, i)')} AS INT), 'parent', get(_parents, i), 'tag', {tag}"
+        f"'pos', {_token('x')}, 'end', CAST({_low('get(_ends, i)')} AS INT),"
+        f" 'parent', get(_parents, i), 'tag', {_tag_of('x')}"
     )
-    if toks:
-        # A script or style is one token with its content; only its start tag has attributes.
-        whole = f"get({toks}, {_token('x')})"
-        struct += f", 'token', if({tag} IN ({literals(RAW_TAGS)}), {open_tag(whole)}, {whole})"
     return f"transform(_elements, (x, i) -> named_struct({struct}))"
 
 

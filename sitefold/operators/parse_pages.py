@@ -370,12 +370,16 @@ def elements(pages: DataFrame) -> DataFrame:
     """
     keep = _keep(pages, "html")
     df = _with_spans(staged(pages, _toks=M.tokens("html")))
+    for name, step in M.row_steps("_toks").items():
+        df = staged(df, **{name: step})
     columns = ("node_id", "end_id", "parent_id", "tag")
-    rows = df.selectExpr(*keep, f"inline({M.span('_toks')}) AS ({', '.join(columns)}, token)")
+    rows = df.selectExpr(*keep, M.span_rows()).selectExpr(*keep, *M.span_columns(*columns[:3]), "_token")
+    # A script or style is one token with its content; only its start tag has attributes.
+    start = f"if(tag IN ({X.literals(M.RAW_TAGS)}), {M.open_tag('_token')}, _token)"
     # No generator here: who asks for no attributes does not have them read.
     names = "transform(_read, a -> a.k)"
     last = f"filter(_read, (a, i) -> NOT array_contains(slice({names}, i + 2, size(_read)), a.k))"
-    attrs = nested(f"map_from_entries({last})", _read=M.attributes("token"))
+    attrs = nested(f"map_from_entries({last})", _start=start, _read=M.attributes("_start"))
     rows = rows.selectExpr(*keep, *columns, f"{attrs} AS attrs")
     return rows.selectExpr(
         *keep, *columns, f"{M.class_list(_CLASS)} AS classes", "attrs"
